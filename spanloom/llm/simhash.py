@@ -1,16 +1,16 @@
 """SimHash near-duplicates of whole documents, candidates pruned by the pigeonring principle.
 
-A document's signature has 504 bits, in 8 words of 3 segments of 21 bits, from the set of its words (lower case, letters
+A document's signature has 432 bits, in 8 words of 3 segments of 18 bits, from the set of its words (lower case, letters
 and digits only). Of m = 24 segments on a ring, a pair of signatures at a distance of at most k has a start from
 which every run of l segments differs in at most l * k / m bits. Documents meet in the buckets of the segments that
 they share bit by bit; there, the runs that begin with the shared segment are held against that budget, and only
 pairs that stay within it get the full Hamming check.
 
 A start without any difference isn't certain when k >= m, so the search is approximate: with words changed in about 4
-per cent of places, a segment is shared with a probability of 0.13 to 0.2, and one of 24 by more than 0.95 of pairs.
+per cent of places, a segment is shared with a probability of 0.15 to 0.25, and one of 24 by more than 0.95 of pairs.
 In a bucket each signature is compared with the leaders (those that matched none before) instead of with all others:
-work in a bucket of copies is linear in its size. At `bits` bits a segment, random meetings grow with the square of
-the number of distinct signatures over 2 ** 21.
+work in a bucket of copies is linear in its size. Random meetings grow with the square of
+the number of distinct signatures over 2 ** SEGMENT.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, binary, checkpoint, fixed, mix, plain, run_starts, semi, slices, stars, sums, words
 
-WORDS, PER_WORD, SEGMENT = 8, 3, 21
+WORDS, PER_WORD, SEGMENT = 8, 3, 18
 SEGMENTS = WORDS * PER_WORD
 USED = np.uint64((1 << PER_WORD * SEGMENT) - 1)
 PART = np.uint64((1 << SEGMENT) - 1)
-MAX_DISTANCE, CHAIN = 84, 6
+MAX_DISTANCE, CHAIN = 72, 6
 SEEDS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(GOLDEN)
 
 
@@ -38,7 +38,7 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, offsets, distinct = words(texts)
     of, forms = plain(distinct)
     base = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
-    lanes = np.unpackbits((mix(base[:, None] + SEEDS[None, :]) & USED).view(np.uint8).reshape(len(forms), -1), axis=1, bitorder="little").view(np.uint64)
+    lanes = np.unpackbits((mix(base[:, None] + SEEDS[None, :]) & USED).view(np.uint8).reshape(len(forms), WORDS * 8), axis=1, bitorder="little").view(np.uint64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     word = of[codes]
     key = np.sort((doc[word >= 0] << 32) | word[word >= 0])

@@ -141,3 +141,72 @@ def binary(rows: np.ndarray) -> pa.Array:
     """Rows of bytes as a binary column."""
     n, width = rows.shape
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+class Memo:
+    """Rows of numbers kept by token, within a Python worker; emptied when it holds `most` tokens, which changes no result."""
+
+    def __init__(self, width: int, compute, most: int = 400_000):
+        self.compute, self.most, self.width = compute, most, width
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.width))
+
+    def of(self, distinct: pa.Array) -> np.ndarray:
+        """A row for each of the distinct tokens."""
+        if len(self.place) > self.most:
+            self.clear()
+        tokens = distinct.to_pylist()
+        new = [t for t in tokens if t not in self.place]
+        if new:
+            lo = len(self.place)
+            self.place.update(zip(new, range(lo, lo + len(new))))
+            if len(self.place) > len(self.rows):
+                rows = np.zeros((max(2 * len(self.rows), len(self.place)), self.width))
+                rows[:lo] = self.rows[:lo]
+                self.rows = rows
+            self.rows[lo : lo + len(new)] = self.compute(pa.array(new, pa.string()))
+        return self.rows[np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))]
+
+
+class Hashed:
+    """Open addressing over 64-bit keys: indices of many keys at once, -1 for those that aren't there."""
+
+    def __init__(self, keys: np.ndarray, load: int = 8):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * load))))
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.full(1 << self.bits, -1, np.int64)
+        left = np.arange(len(keys))
+        slot = self.slot(keys)
+        self.depth = 0
+        while len(left):
+            self.depth += 1
+            free = self.at[slot[left]] < 0
+            _, first = np.unique(slot[left[free]], return_index=True)
+            put = left[free][first]
+            self.keys[slot[put]], self.at[slot[put]] = keys[put], put
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(GOLDEN)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slot(keys)
+        at = self.at[slot]
+        out = np.where((at >= 0) & (self.keys[slot] == keys), at, -1)
+        for step in range(1, self.depth):
+            todo = np.flatnonzero((out < 0) & (at >= 0))
+            if not len(todo):
+                break
+            s = (slot[todo] + step) & ((1 << self.bits) - 1)
+            hit = (self.at[s] >= 0) & (self.keys[s] == keys[todo])
+            out[todo[hit]] = self.at[s[hit]]
+        return out
+
+
+def codepoints(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(all code points, offsets of each string's)."""
+    return np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(np.fromiter(map(len, forms), np.int64, len(forms)))]).astype(np.int64)

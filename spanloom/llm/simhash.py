@@ -37,23 +37,28 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows of 8 words, whether the text has any word). Ties between ones and zeros count as zero."""
     codes, offsets, distinct = words(texts)
     of, forms = plain(distinct)
-    base = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
-    lanes = np.unpackbits((mix(base[:, None] + SEEDS[None, :]) & USED).view(np.uint8).reshape(len(forms), WORDS * 8), axis=1, bitorder="little").view(np.uint64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     word = of[codes]
-    key = np.sort((doc[word >= 0] << 32) | word[word >= 0])
+    sigs, n = sketch(doc[word >= 0], word[word >= 0], len(offsets) - 1, forms, WORDS, USED)
+    return sigs, n > 0
+
+
+def sketch(doc: np.ndarray, word: np.ndarray, docs: int, forms: list[str], width: int, used: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of width words of signature, distinct words of each text) from pairs of a text and one of its words."""
+    base = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
+    lanes = np.unpackbits((mix(base[:, None] + SEEDS[None, :width]) & used).view(np.uint8).reshape(len(forms), width * 8), axis=1, bitorder="little").view(np.uint64)
+    key = np.sort((doc << 32) | word)
     key = key[run_starts(key)]
     doc, word = key >> 32, key & 0xFFFFFFFF
-    n = np.bincount(doc, minlength=len(offsets) - 1)
+    n = np.bincount(doc, minlength=docs)
     ends = np.concatenate([[0], np.cumsum(n)])
     # eight counters of a byte share a word, so at most 255 rows are added before they are widened
     cuts = np.unique(np.concatenate([ends, np.arange(0, len(word), 255)]))
-    few = np.zeros((max(0, len(cuts) - 1), WORDS * 8), np.uint64)
+    few = np.zeros((max(0, len(cuts) - 1), width * 8), np.uint64)
     for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         np.add.reduce(lanes.take(word[lo:hi], axis=0), axis=0, out=few[i])
     counts = sums(few.view(np.uint8).astype(np.int32), np.searchsorted(cuts, ends))
-    bits = counts * 2 > n[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(-1, WORDS), n > 0
+    return np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1, width), n
 
 
 def segment(sigs: np.ndarray, j: np.ndarray | int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html, langid, lines, simhash
+from . import bpe, chat, decontam, html, langid, lines, quality, simhash, toxicity
 from .common import table
 
 
@@ -27,15 +27,28 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.detect(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_bpe, op4_html_extract, op6_language_id, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_bpe, op4_html_extract, op5_toxicity, op6_language_id, op7_quality_rules, op9_chat_format, op10_decontaminate)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat_format": chat.ORACLE}

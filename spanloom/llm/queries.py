@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, html, langid, lines, quality, simhash, toxicity
+from . import bpe, chat, decontam, html, langid, lines, lm, quality, simhash, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -49,6 +53,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_bpe, op4_html_extract, op5_toxicity, op6_language_id, op7_quality_rules, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_bpe, op4_html_extract, op5_toxicity, op6_language_id, op7_quality_rules, op8_lm_score, op9_chat_format, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {"op9_chat_format": chat.ORACLE}

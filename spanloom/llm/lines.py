@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words
+from .common import GOLDEN, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words, written
 from .simhash import sketch
 
 MIN_WORDS = 5
@@ -179,14 +179,13 @@ def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> D
     """(doc, txt, line) of every occurrence to be removed: doc_id, hash of the text, number of the line from 0."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("txt"), "text").where("text is not null")
     lines = own.mapInArrow(normal_lines, f"h1 long, h2 long, {LINE}, sig binary")
-    lines = checkpoint(lines.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "txt", "line").mapInArrow(firsts, f"id long, {LINE}, sig binary"))
+    lines = written(lines.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "txt", "line").mapInArrow(firsts, f"id long, {LINE}, sig binary"))
     first = lines.where("sig is not null")
     buckets = first.select("id", "sig").mapInArrow(spread, "key int, id long, rest long")
     pairs = checkpoint(buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct())
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = first.join(ends, "id", "left_semi").groupBy("doc", "txt").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
     texts = own.join(wanted.toDF("d", "t", "lines"), own.doc.eqNullSafe(F.col("d")) & (F.col("txt") == F.col("t"))).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x")).select(F.col("x.id").alias("id"), F.get("all", F.col("x.line")).alias("words")).groupBy("id").agg(F.first("words").alias("words"))
-    texts = checkpoint(texts)
     near = pairs.join(texts.toDF("a", "wa"), "a").join(texts.toDF("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(verify(min_similarity), "a long, b long")
     groups = stars(near)
     members = checkpoint(groups.union(groups.select("root", "root").distinct()).toDF("id", "root").join(first.select("id", "doc", "txt", "line"), "id"))

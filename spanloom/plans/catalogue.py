@@ -1,10 +1,502 @@
-"""The named queries of the engine and their SQL."""
+"""The named queries of the engine over the driver's tables, and the same in SQL.
+
+documents is the corpus; the longer words of benchmark are the gazetteer, by item (an item is an id, its number modulo four a
+taxon); lang is the taxon that a document speaks of; labels are judgements; pages are raw HTML.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import offsets, text
+from ..functions.similarity import column as similarity
+from ..operators import filters, gazetteer, joins, learn, rank, relations, segment
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+LANGS = ("en", "fr", "de", "es")
+#: Common table expressions that the SQL of the queries begins with.
+WITH = r"""
+WITH pieces AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS text FROM (SELECT doc_id, regexp_extract_all(text, '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)', 1) AS a FROM documents)),
+placed AS (SELECT doc_id, pos, text, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS b FROM pieces),
+tokens AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS tok_no, b AS "begin", CAST(b + length(text) AS INTEGER) AS "end", text FROM placed WHERE regexp_matches(text, '^[\p{L}\p{N}]')),
+spieces AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS text FROM (SELECT doc_id, regexp_extract_all(text, '([^.!?\n]*[.!?]+|[^.!?\n]+|\n+)', 1) AS a FROM documents)),
+splaced AS (SELECT doc_id, pos, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, regexp_replace(text, '^[ \t\n\r\f\v]+', '') AS l FROM spieces),
+strim AS (SELECT doc_id, pos, CAST(b + length(text) - length(l) AS INTEGER) AS "begin", regexp_replace(l, '[ \t\n\r\f\v]+$', '') AS text FROM splaced),
+sentences AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS sent_no, "begin", CAST("begin" + length(text) AS INTEGER) AS "end", text FROM strim WHERE text <> ''),
+gaz AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS id, lower(w) AS name, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS taxon FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS w FROM benchmark) WHERE length(w) >= 6),
+mentions AS (SELECT DISTINCT doc_id, "begin", "end", text AS "match", id, name, taxon FROM tokens JOIN gaz ON lower(text) = name)
+"""
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents")
+
+
+def gaz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("w")).where(F.length("w") >= 6)
+    taxon = F.element_at(F.array(*map(F.lit, LANGS)), (F.col("item_id") % 4 + 1).cast("int"))
+    return own.select(F.col("item_id").cast("string").alias("id"), F.lower("w").alias("name"), taxon.alias("taxon")).distinct()
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gazetteer.match_tokens(docs(spark, sf_dir), gaz(spark, sf_dir))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions as annotations: namespace is the taxon, identifier the id."""
+    return mentions(spark, sf_dir).select("doc_id", "begin", "end", F.col("taxon").alias("namespace"), F.col("id").alias("identifier"))
+
+
+def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sentences(docs(spark, sf_dir), "single")
+
+
+def query(sql: str | None = None, prelude: bool = True) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (WITH + sql) if prelude else sql
+        return f
+
+    return add
+
+
+@query("SELECT * FROM tokens")
+def seg_tokens_offsets(spark, d):
+    return segment.tokens(docs(spark, d))
+
+
+@query("SELECT * FROM sentences")
+def seg_sentences_single(spark, d):
+    return sents(spark, d)
+
+
+@query()
+def seg_sentences_successive(spark, d):
+    return segment.sentences(docs(spark, d), "successive")
+
+
+@query("""SELECT s.doc_id, sent_no, substring(d.text, coalesce(lag("end") OVER (PARTITION BY s.doc_id ORDER BY sent_no), 0) + 1, "begin" - coalesce(lag("end") OVER (PARTITION BY s.doc_id ORDER BY sent_no), 0)) AS gap FROM sentences s JOIN documents d USING (doc_id)""")
+def seg_gap_text(spark, d):
+    return segment.gaps(sents(spark, d), docs(spark, d))
+
+
+TAG = "CASE WHEN tok_no % 7 IN (1, 4) THEN 'B-NP' WHEN tok_no % 7 IN (2, 3) THEN 'I-NP' WHEN tok_no % 7 = 5 THEN 'I-NP' ELSE 'O' END"
+
+
+@query(f"""SELECT doc_id, tok_no, CASE WHEN tag <> 'O' THEN substring(tag, 3) END AS chunk, tag LIKE 'B%' AS chunk_begin, tag <> 'O' AND (nxt IS NULL OR nxt NOT LIKE 'I%') AS chunk_end
+FROM (SELECT doc_id, tok_no, tag, lead(tag) OVER (PARTITION BY doc_id ORDER BY tok_no) AS nxt FROM (SELECT *, {TAG} AS tag FROM tokens))""")
+def win_chunk_flags(spark, d):
+    return segment.chunk_flags(segment.tokens(docs(spark, d)), F.expr(TAG)).select("doc_id", "tok_no", "chunk", "chunk_begin", "chunk_end")
+
+
+@query(f"""SELECT doc_id, min("begin") AS "begin", max("end") AS "end", 'NP' AS label FROM (
+SELECT *, sum(CASE WHEN tag LIKE 'B%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY tok_no) AS run FROM (SELECT *, {TAG} AS tag FROM tokens)) WHERE tag <> 'O' AND run > 0 GROUP BY doc_id, run""")
+def win_bio_spans(spark, d):
+    return segment.bio_spans(segment.tokens(docs(spark, d)), F.expr(TAG))
+
+
+@query("""SELECT s.doc_id, sent_no, count(*) AS n_tokens, min(t.tok_no) AS first_tok, max(t.tok_no) AS last_tok FROM sentences s JOIN tokens t ON s.doc_id = t.doc_id AND t."begin" >= s."begin" AND t."end" <= s."end" GROUP BY ALL""")
+def join_tokens_in_sentence(spark, d):
+    both = joins.within(segment.tokens(docs(spark, d)), sents(spark, d).drop("text"), "s_")
+    return both.groupBy("doc_id", F.col("s_sent_no").alias("sent_no")).agg(F.count("*").alias("n_tokens"), F.min("tok_no").alias("first_tok"), F.max("tok_no").alias("last_tok"))
+
+
+_NEAR = """spans AS (SELECT DISTINCT doc_id, "begin", "end" FROM mentions),
+near AS (SELECT s.*, CASE WHEN s."begin" - b."end" < 10 THEN b.text END AS before, CASE WHEN a."begin" - s."end" < 10 THEN a.text END AS after
+FROM spans s ASOF LEFT JOIN tokens b ON s.doc_id = b.doc_id AND s."begin" >= b."end" ASOF LEFT JOIN tokens a ON s.doc_id = a.doc_id AND s."end" <= a."begin")"""
+
+
+@query(f", {_NEAR} SELECT * FROM near")
+def join_asof_before_after(spark, d):
+    near = joins.neighbours(mentions(spark, d), segment.tokens(docs(spark, d)))
+    return near.select("doc_id", "begin", "end", "before", "after")
+
+
+REGEX = ["th[aeiou]nd", "^[AEIOU]"]
+
+
+@query("SELECT doc_id, sent_no, text FROM sentences WHERE regexp_matches(text, 'th[aeiou]nd') OR regexp_matches(text, '^[AEIOU]')")
+def flt_sentence_regex(spark, d):
+    return filters.sentences_matching(sents(spark, d), REGEX).select("doc_id", "sent_no", "text")
+
+
+@query("SELECT doc_id, sent_no, text FROM sentences WHERE NOT (regexp_matches(text, 'th[aeiou]nd') OR regexp_matches(text, '^[AEIOU]'))")
+def flt_sentence_regex_remove(spark, d):
+    return filters.sentences_matching(sents(spark, d), REGEX, remove=True).select("doc_id", "sent_no", "text")
+
+
+@query("""SELECT doc_id, "begin", "end", taxon AS namespace, id AS identifier FROM mentions WHERE taxon = 'fr' AND id = '5'""")
+def flt_constraint(spark, d):
+    return annotations(spark, d).where(filters.constraint(namespace="fr", identifier="5"))
+
+
+@query("""SELECT doc_id, sent_no FROM sentences s WHERE EXISTS (SELECT 1 FROM mentions m WHERE m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end")""")
+def flt_unmatched_sentences(spark, d):
+    return filters.sentences_with(sents(spark, d), annotations(spark, d)).select("doc_id", "sent_no")
+
+
+@query("SELECT * FROM mentions")
+def gaz_boundary(spark, d):
+    return mentions(spark, d)
+
+
+@query(""", g AS (SELECT DISTINCT id, w AS name FROM (SELECT CAST(item_id AS VARCHAR) AS id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS w FROM benchmark) WHERE length(w) >= 6) SELECT DISTINCT doc_id, "begin", "end", text AS "match", id, name FROM tokens JOIN g ON text = name""")
+def gaz_case_sensitive(spark, d):
+    own = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("name")).where(F.length("name") >= 6)
+    return gazetteer.match_tokens(docs(spark, d), own, case_sensitive=True)
+
+
+@query("""SELECT DISTINCT doc_id, "begin", "end", text AS "match", g.id, g.name, g.taxon FROM tokens JOIN (SELECT id, name, taxon FROM gaz UNION SELECT id, id, taxon FROM gaz) g ON lower(text) = g.name""")
+def gaz_id_matching(spark, d):
+    return gazetteer.match_tokens(docs(spark, d), gazetteer.with_ids(gaz(spark, d)))
+
+
+@query("""SELECT name AS key, list_sort(list(DISTINCT id)) AS ids, CAST(count(DISTINCT id) AS INTEGER) AS n_ids FROM gaz GROUP BY name""")
+def gaz_keys(spark, d):
+    return gazetteer.grouped(gaz(spark, d))
+
+
+@query("""SELECT DISTINCT CAST(item_id AS VARCHAR) AS id, unnest([a || '-' || b, a || ' ' || b]) AS name FROM (SELECT item_id, regexp_extract(text, '^([A-Z][a-z]+) ([a-z]+)', 1) AS a, regexp_extract(text, '^([A-Z][a-z]+) ([a-z]+)', 2) AS b FROM benchmark) WHERE length(a) >= 2 AND length(b) >= 2""", prelude=False)
+def gaz_variants_keys(spark, d):
+    own = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.regexp_extract("text", "^([A-Z][a-z]+ [a-z]{2,})", 1).alias("name")).where("name <> ''")
+    return gazetteer.with_variants(own)
+
+
+@query()
+def gaz_exact_all_positions(spark, d):
+    return gazetteer.match_everywhere(docs(spark, d), gaz(spark, d))
+
+
+@query("""SELECT m.* FROM mentions m WHERE length("match") % 2 = 0 AND "match" IN (SELECT name FROM gaz WHERE taxon = 'en') AND "match" NOT IN (SELECT name FROM gaz WHERE id = '4')""")
+def gaz_whitelist_blacklist(spark, d):
+    g = gaz(spark, d)
+    return gazetteer.listed(mentions(spark, d).where(F.length("match") % 2 == 0), g.where("taxon = 'en'").select("name"), g.where("id = '4'").select("name"))
+
+
+@query("""SELECT doc_id, "begin", "end", count(DISTINCT id) AS n_ids FROM mentions GROUP BY ALL HAVING count(DISTINCT id) > 1""")
+def gaz_ambiguity(spark, d):
+    return mentions(spark, d).groupBy("doc_id", "begin", "end").agg(F.count_distinct("id").alias("n_ids")).where("n_ids > 1")
+
+
+@query("""SELECT m.* FROM mentions m JOIN documents d USING (doc_id) WHERE m.taxon = d.lang OR d.doc_id % 5 = 0""")
+def gaz_taxon_semi(spark, d):
+    taxa = docs(spark, d).where("doc_id % 5 <> 0").select("doc_id", F.col("lang").alias("taxon"))
+    return gazetteer.in_taxa(mentions(spark, d), taxa)
+
+
+@query("""SELECT doc_id, "begin", "end", id, CASE WHEN n_name IS NULL THEN 'name=' || name ELSE 'name=' || name || ';nation=' || n_name END AS properties FROM mentions LEFT JOIN nation ON id = CAST(n_nationkey AS VARCHAR)""")
+def gaz_ref_map_left(spark, d):
+    own = mentions(spark, d).withColumn("properties", F.array(F.struct(F.lit("name").alias("name"), F.col("name").alias("value"))))
+    refs = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit("nation").alias("namespace"), F.col("n_name").alias("accession"))
+    own = gazetteer.with_reference(own, refs)
+    return own.select("doc_id", "begin", "end", "id", F.array_join(F.transform("properties", lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";").alias("properties"))
+
+
+@query("""SELECT doc_id, "begin", "end", id, CASE taxon WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE taxon END AS taxon FROM mentions""")
+def gaz_tax_remap(spark, d):
+    mapping = spark.createDataFrame([("fr", "fra"), ("de", "deu")], "k string, v string")
+    return gazetteer.remapped(mentions(spark, d), "taxon", mapping).select("doc_id", "begin", "end", "id", "taxon")
+
+
+_PROPS = """, src AS (SELECT DISTINCT doc_id, id FROM mentions WHERE taxon = 'en' AND doc_id % 3 <> 0)
+SELECT doc_id, "begin", "end", id FROM mentions m WHERE taxon = 'fr' AND (NOT EXISTS (SELECT 1 FROM src s WHERE s.doc_id = m.doc_id) OR {} EXISTS (SELECT 1 FROM src s WHERE s.doc_id = m.doc_id AND CAST(CAST(s.id AS INTEGER) + 1 AS VARCHAR) = m.id))"""
+
+
+def _by_property(spark, d, blacklist):
+    own = mentions(spark, d)
+    targets = own.where("taxon = 'fr'").withColumn("properties", F.array(F.struct(F.lit("x").alias("name"), F.col("id").alias("value"))))
+    sources = own.where("taxon = 'en' AND doc_id % 3 <> 0").select("doc_id", (F.col("id").cast("int") + 1).cast("string").alias("identifier"))
+    return filters.by_property(targets, sources, "x", blacklist).select("doc_id", "begin", "end", "id")
+
+
+@query(_PROPS.format(""))
+def flt_property_select(spark, d):
+    return _by_property(spark, d, False)
+
+
+@query(_PROPS.format("NOT"))
+def flt_property_blacklist(spark, d):
+    return _by_property(spark, d, True)
+
+
+@query(f""", {_NEAR} SELECT m.doc_id, m."begin", m."end", m.id FROM mentions m JOIN near USING (doc_id, "begin", "end") WHERE coalesce(before NOT IN ('the', 'of', 'le', 'der', 'de'), true) AND coalesce(after NOT IN ('and', 'et', 'und'), true)""")
+def flt_token_context(spark, d):
+    own, tok = mentions(spark, d), segment.tokens(docs(spark, d))
+    around = joins.surroundings(own, tok)
+    return filters.by_context(own, around, sets={"before": ["the", "of", "le", "der", "de"], "after": ["and", "et", "und"]}).select("doc_id", "begin", "end", "id")
+
+
+@query("""SELECT s.doc_id, sent_no AS rel_id FROM sentences s WHERE EXISTS (SELECT 1 FROM mentions m WHERE m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" AND (m."begin" <> s."begin" OR m."end" <> s."end") AND taxon = 'de')""")
+def flt_relationship(spark, d):
+    rels = sents(spark, d).select("doc_id", F.col("sent_no").alias("rel_id"), F.array(F.struct("begin", "end")).alias("targets"))
+    return filters.relations_mapped(rels, annotations(spark, d).where("namespace = 'de'")).select("doc_id", "rel_id")
+
+
+@query("""SELECT s.doc_id, sent_no, string_agg(m."begin" || ':' || m."end" || ':' || id, ';' ORDER BY CASE taxon WHEN 'en' THEN 0 ELSE 1 END, m."begin", m."end", id) AS targets
+FROM sentences s JOIN mentions m ON m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" WHERE taxon IN ('en', 'fr') GROUP BY s.doc_id, sent_no HAVING count(DISTINCT taxon) = 2""")
+def rel_cooccurrence(spark, d):
+    own = annotations(spark, d)
+    rel = relations.cooccurrence(sents(spark, d), own.where("namespace = 'en'"), own.where("namespace = 'fr'"))
+    return rel.select("doc_id", "sent_no", F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["begin"], t["end"], t["identifier"])), ";").alias("targets"))
+
+
+@query(""", have AS (SELECT s.doc_id, sent_no, list(DISTINCT id) AS h FROM sentences s JOIN mentions m ON m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" GROUP BY ALL),
+rels AS (SELECT DISTINCT doc_id, list_sort([id, CAST(CAST(id AS INTEGER) + 1 AS VARCHAR)]) AS rel FROM mentions),
+pairs AS (SELECT doc_id, sent_no, rel, len(rel) = len(h) AS exact FROM have JOIN rels USING (doc_id) WHERE list_has_all(h, rel))
+SELECT doc_id, sent_no, array_to_string(rel, ',') AS rel FROM pairs p WHERE exact OR NOT EXISTS (SELECT 1 FROM pairs q WHERE q.doc_id = p.doc_id AND q.sent_no = p.sent_no AND q.exact)""")
+def rel_known_subset(spark, d):
+    own = annotations(spark, d)
+    rels = own.select("doc_id", F.array("identifier", (F.col("identifier").cast("int") + 1).cast("string")).alias("rel"))
+    return relations.known(sents(spark, d), own, rels).select("doc_id", "sent_no", F.array_join("rel", ",").alias("rel"))
+
+
+@query("""SELECT a.doc_id, a."begin" AS b1, b."begin" AS b2 FROM (SELECT DISTINCT doc_id, "begin", "end" FROM mentions WHERE id = '1') a JOIN (SELECT DISTINCT doc_id, "begin", "end" FROM mentions WHERE id = '2') b ON a.doc_id = b.doc_id WHERE a."end" <= b."begin" OR b."end" <= a."begin" """)
+def rel_combinations(spark, d):
+    own = relations.combinations(annotations(spark, d), ["doc_id"], ["1", "2"])
+    at = lambda i: F.filter("combo", lambda m: m["identifier"] == i)[0]["begin"]
+    return own.select("doc_id", at("1").alias("b1"), at("2").alias("b2"))
+
+
+_COUNTED = """, counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, id) AS n_id, count(*) OVER (PARTITION BY doc_id, "match") AS n_name, count(*) OVER (PARTITION BY doc_id, id, "match") AS n_id_name, count(*) OVER (PARTITION BY doc_id, "begin", "end") AS ambiguity FROM mentions)"""
+
+
+@query(_COUNTED + """ SELECT doc_id, "begin", "end", id, ambiguity, round(n_id / max(n_id) OVER (PARTITION BY doc_id), 6) AS n_id, round(n_name / max(n_name) OVER (PARTITION BY doc_id), 6) AS n_name, round(n_id_name / max(n_id_name) OVER (PARTITION BY doc_id), 6) AS n_id_name FROM counted""")
+def agg_mention_counts_norm(spark, d):
+    own = rank.over_max(rank.counts(mentions(spark, d)), ["n_id", "n_name", "n_id_name"])
+    return own.select("doc_id", "begin", "end", "id", "ambiguity", *(F.round(c, 6).alias(c) for c in ("n_id", "n_name", "n_id_name")))
+
+
+def _ranked(spark, d):
+    own, g = mentions(spark, d), gaz(spark, d)
+    tok = segment.tokens(docs(spark, d))
+    taxa = own.where("CAST(id AS INT) % 3 = 0").select("doc_id", "taxon", "begin", "end").distinct()
+    ner = tok.where("tok_no % 6 = 0").select("doc_id", "begin", "end", F.element_at(F.array(*map(F.lit, rank.NER)), (F.col("tok_no") / 6 % 5 + 1).cast("int")).alias("label"))
+    links = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), (F.col("n_nationkey") % 7 + 1).alias("n"))
+    symbols = g.groupBy("name").agg(F.count("*").alias("n"))
+    refs = g.groupBy("id", "name").agg(F.max(F.length("name")).alias("n"))
+    return rank.features(own.withColumn("confidence", F.when(F.col("match") == F.col("name"), 1.0).otherwise(0.5)), taxa, ner, links, symbols, refs)
+
+
+_FEATURES = _COUNTED + """, taxa AS (SELECT DISTINCT doc_id, taxon, "begin" AS tb, "end" AS te FROM mentions WHERE CAST(id AS INTEGER) % 3 = 0),
+dist AS (SELECT m.doc_id, m.taxon, m."begin", m."end", min(least(abs(tb - m."begin"), abs(te - m."end"))) AS distance FROM (SELECT DISTINCT doc_id, taxon, "begin", "end" FROM mentions) m JOIN taxa t ON m.doc_id = t.doc_id AND m.taxon = t.taxon GROUP BY ALL),
+ntax AS (SELECT doc_id, taxon, count(*) AS n_taxon FROM taxa GROUP BY ALL),
+ner AS (SELECT doc_id, "begin", "end", ['cell_line', 'cell_type', 'DNA', 'protein', 'RNA'][CAST((tok_no // 6) % 5 + 1 AS INTEGER)] AS label FROM tokens WHERE tok_no % 6 = 0),
+raw AS (SELECT c.*, label, coalesce(CASE WHEN distance = 0 THEN 1.0 ELSE 1.0 / distance END, 0.0) AS taxon_nearness, coalesce(n_nationkey % 7 + 1, 0) AS links, coalesce(s.n, 0) AS symbol, CASE WHEN g.name IS NULL THEN 0 ELSE length(g.name) END AS id_symbol, coalesce(n_taxon, 0) AS n_taxon, CASE WHEN "match" = c.name THEN 1.0 ELSE 0.5 END AS confidence
+FROM counted c LEFT JOIN dist USING (doc_id, taxon, "begin", "end") LEFT JOIN ntax USING (doc_id, taxon) LEFT JOIN ner USING (doc_id, "begin", "end") LEFT JOIN nation ON c.id = CAST(n_nationkey AS VARCHAR)
+LEFT JOIN (SELECT name, count(*) AS n FROM gaz GROUP BY name) s ON s.name = "match" LEFT JOIN (SELECT DISTINCT id, name FROM gaz) g ON g.id = c.id AND g.name = "match"),
+feats AS (SELECT doc_id, "begin", "end", id, "match", CASE WHEN label IS NULL THEN 1.0 ELSE 0.0 END AS no_ner, CASE WHEN label = 'protein' THEN 1.0 ELSE 0.0 END AS protein, confidence, round(taxon_nearness, 6) AS taxon_nearness, round(1.0 / ambiguity, 6) AS unambiguity,
+""" + ", ".join(f"round(coalesce({c} / nullif(max({c}) OVER (PARTITION BY doc_id), 0), 0), 6) AS {c}" for c in ("n_id", "n_name", "n_id_name", "links", "symbol", "id_symbol", "n_taxon")) + " FROM raw)"
+_SHOWN = ("no_ner", "protein", "confidence", "taxon_nearness", "unambiguity", "n_id", "n_name", "n_id_name", "links", "symbol", "id_symbol", "n_taxon")
+_DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SHOWN)
+
+
+def _features(spark, d):
+    return _ranked(spark, d).select("doc_id", "begin", "end", "id", "match", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in _SHOWN))
+
+
+@query(_FEATURES + f""" SELECT doc_id, "begin", "end", id, "match", {_DOUBLES} FROM feats""")
+def rank_features(spark, d):
+    return _features(spark, d)
+
+
+@query(_FEATURES + """ SELECT * FROM (SELECT doc_id, "begin", "end", id, CAST(round(n_id * 2 + n_name + confidence + links * 0.5, 4) AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(n_id * 2 + n_name + confidence + links * 0.5, 4) DESC, "begin", "end", id) AS INTEGER) AS rank FROM feats) WHERE rank <= 3""")
+def rank_topk(spark, d):
+    score = F.round(rank.linear_score({"n_id": 2.0, "n_name": 1.0, "confidence": 1.0, "links": 0.5}), 4)
+    return rank.top(_features(spark, d), score, ["doc_id"], ["begin", "end", "id"], 3).select("doc_id", "begin", "end", "id", "score", "rank")
+
+
+@query(_FEATURES + """ SELECT doc_id, "begin", "end", id, CASE WHEN quality = 1 THEN '1' ELSE '0' END || ' qid:' || doc_id || ' 1:' || format('{:.6f}', CAST(n_id AS DOUBLE)) || ' 2:' || format('{:.6f}', CAST(confidence AS DOUBLE)) AS line FROM feats JOIN labels USING (doc_id)""")
+def rank_training_rows(spark, d):
+    own = _features(spark, d).join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    line = rank.training_rows(own, F.when(F.col("quality") == 1, "1").otherwise("0"), F.col("doc_id"), ("n_id", "confidence"))
+    return own.select("doc_id", "begin", "end", "id", line.alias("line"))
+
+
+def _judged(spark, d):
+    own = mentions(spark, d)
+    near = joins.surroundings(own, segment.tokens(docs(spark, d)))
+    gold = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("hit"))
+    rows = own.select("doc_id", "begin", "end", "match").distinct().join(near, ["doc_id", "begin", "end"]).join(gold, "doc_id")
+    return rows.select("doc_id", "begin", "end", "hit", "before", "after", F.lit("").alias("prefix"), F.lit("").alias("suffix"), F.col("match").alias("token"))
+
+
+_JUDGED = f""", {_NEAR}, judged AS (SELECT n.doc_id, n."begin", n."end", quality = 1 AS hit, before, after, '' AS prefix, '' AS suffix, "match" AS token FROM (SELECT DISTINCT doc_id, "begin", "end", "match" FROM mentions) m JOIN near n USING (doc_id, "begin", "end") JOIN labels USING (doc_id)),
+counts AS (SELECT field, value, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT hit, unnest(['before', 'after', 'prefix', 'suffix', 'token']) AS field, unnest([before, after, prefix, suffix, token]) AS value FROM judged) WHERE value IS NOT NULL GROUP BY field, value),
+context AS (SELECT field, value FROM counts WHERE field <> 'token' AND CASE WHEN hits > 0 AND misses > 0 THEN misses / hits >= CASE WHEN field IN ('before', 'after') THEN 1.2 ELSE 1.1 END ELSE hits = 0 AND misses >= 1.2 END),
+less AS (SELECT token AS value, count(*) AS less FROM judged WHERE NOT hit AND (before IN (SELECT value FROM context WHERE field = 'before') OR after IN (SELECT value FROM context WHERE field = 'after') OR prefix IN (SELECT value FROM context WHERE field = 'prefix') OR suffix IN (SELECT value FROM context WHERE field = 'suffix')) GROUP BY token),
+toks AS (SELECT field, value FROM (SELECT field, value, hits, greatest(misses - coalesce(less, 0), 0) AS misses FROM counts LEFT JOIN less USING (value) WHERE field = 'token') WHERE CASE WHEN hits > 0 AND misses > 0 THEN misses / hits >= 1.2 ELSE hits = 0 AND misses >= 1.2 END)"""
+
+
+@query(_JUDGED + " SELECT * FROM counts")
+def learn_filter_counts(spark, d):
+    return learn.field_counts(_judged(spark, d))
+
+
+@query(_JUDGED + " SELECT * FROM context UNION ALL SELECT * FROM toks")
+def learn_filter_tokens(spark, d):
+    return learn.learn_filters(_judged(spark, d))
+
+
+@query("""SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS p, round(tp / (tp + fn), 6) AS r, round(2 * tp / (2 * tp + fp + fn), 6) AS f FROM (SELECT count(*) FILTER (a AND b) AS tp, count(*) FILTER (a AND NOT b) AS fp, count(*) FILTER (b AND NOT a) AS fn FROM (
+SELECT coalesce(x.a, false) AS a, coalesce(y.b, false) AS b FROM (SELECT DISTINCT doc_id, id, true AS a FROM mentions WHERE taxon = 'en') x FULL JOIN (SELECT DISTINCT doc_id, id, true AS b FROM mentions WHERE CAST(id AS INTEGER) % 6 = 0) y ON x.doc_id = y.doc_id AND x.id = y.id))""")
+def eval_prf(spark, d):
+    own = mentions(spark, d)
+    out = learn.precision_recall(own.where("taxon = 'en'"), own.where("CAST(id AS INT) % 6 = 0"), "doc_id", "id")
+    return out.select("tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in "prf"))
+
+
+@query("""SELECT tp, fn, round(100.0 * tp / (tp + fn), 6) AS recall FROM (SELECT count(*) FILTER (f IS NOT NULL) AS tp, count(*) FILTER (f IS NULL) AS fn FROM (SELECT DISTINCT doc_id, lang FROM documents) d LEFT JOIN (SELECT DISTINCT doc_id, taxon AS f FROM mentions) m ON d.doc_id = m.doc_id AND d.lang = m.f)""")
+def doc_evidence_recall(spark, d):
+    out = learn.recall(docs(spark, d).select("doc_id", F.col("lang").alias("taxon")), mentions(spark, d), ["doc_id", "taxon"])
+    return out.select("tp", "fn", F.round("recall", 6).alias("recall"))
+
+
+@query("""SELECT conv_id, CAST(sum(new) OVER w AS BIGINT) AS run, role, text, turn FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS new FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""".join(["SELECT conv_id, run, role, count(*) AS n, string_agg(turn, ',' ORDER BY turn) AS turns FROM (", ") GROUP BY conv_id, run, role"]), prelude=False)
+def agg_run_collapse(spark, d):
+    own = read(spark, d, "conversations").select("conv_id", "turn", "role", F.col("turn").alias("number"))
+    return learn.collapse_runs(own, ["conv_id"], ["turn"], ["role"], "number").select("conv_id", "run", "role", "n", F.array_join("numbers", ",").alias("turns"))
+
+
+@query("SELECT name AS key, array_to_string(list_sort(list(DISTINCT id)), ',') AS vals FROM gaz GROUP BY name")
+def src_key_sets(spark, d):
+    return gaz(spark, d).groupBy(F.col("name").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("vals"))
+
+
+@query("SELECT lang AS key, arg_max(source, doc_id) AS val FROM documents GROUP BY lang", prelude=False)
+def src_last_wins(spark, d):
+    return docs(spark, d).groupBy(F.col("lang").alias("key")).agg(F.max_by("source", "doc_id").alias("val"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL", prelude=False)
+def src_counters(spark, d):
+    return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name AS key, r AS pos, ['region', 'nation'][r + 1] AS type, CASE r WHEN 0 THEN r_name ELSE n_name END AS id FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([0, 1]) AS r)", prelude=False)
+def src_relation_unnest(spark, d):
+    own = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    e = lambda t, c: F.struct(F.lit(t).alias("type"), F.col(c).alias("id"))
+    return own.select(F.col("n_name").alias("key"), F.posexplode(F.array(e("region", "r_name"), e("nation", "n_name"))).alias("pos", "x")).select("key", "pos", "x.type", "x.id")
+
+
+@query("SELECT s_name AS name FROM supplier UNION SELECT p_name FROM part", prelude=False)
+def set_union_distinct(spark, d):
+    return read(spark, d, "supplier").select(F.col("s_name").alias("name")).union(read(spark, d, "part").select("p_name")).distinct()
+
+
+_NAMES = """SELECT {0} AS id, n_regionkey AS taxon, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity > 45
+UNION SELECT {1}, n_regionkey, p_name FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 45"""
+
+
+@query(_NAMES.format("s_suppkey", "p_partkey"), prelude=False)
+def sql_name_union(spark, d):
+    line = read(spark, d, "lineitem").where("l_quantity > 45").select("l_partkey", "l_suppkey")
+    sup = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    one = sup.join(line, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("taxon"), F.col("s_name").alias("name"))
+    pairs = line.distinct().join(sup.select("s_suppkey", "n_regionkey"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_partkey", "n_regionkey").distinct()
+    two = read(spark, d, "part").join(pairs, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "n_regionkey", "p_name")
+    return one.union(two).distinct()
+
+
+@query(f""", {_NEAR} SELECT doc_id, coalesce(before, '') || chr(9) || "match" || chr(9) || coalesce(after, '') || chr(9) || "begin" || ':' || "end" || chr(9) || taxon || ':' || id || chr(9) || 'name="' || name || '"' AS line FROM mentions JOIN near USING (doc_id, "begin", "end")""")
+def snk_annotation_line(spark, d):
+    own = mentions(spark, d).join(joins.neighbours(mentions(spark, d), segment.tokens(docs(spark, d))), ["doc_id", "begin", "end"])
+    line = F.concat_ws("\t", F.coalesce("before", F.lit("")), text.flat(F.col("match")), F.coalesce("after", F.lit("")), text.offset_string(F.col("begin"), F.col("end")), F.concat_ws(":", "taxon", "id"), text.quoted_property(F.lit("name"), F.col("name")))
+    return own.select("doc_id", line.alias("line"))
+
+
+@query(r"""SELECT s.doc_id, sent_no, string_agg(t.text || '_' || lower(t.text), ' ' ORDER BY tok_no) AS line FROM sentences s JOIN tokens t ON s.doc_id = t.doc_id AND t."begin" >= s."begin" AND t."end" <= s."end" GROUP BY ALL""")
+def snk_tagged_sentence(spark, d):
+    both = joins.within(segment.tokens(docs(spark, d)), sents(spark, d).drop("text"), "s_")
+    word = F.concat_ws("_", text.escape_underscores(F.col("text")), F.lower("text"))
+    return both.groupBy("doc_id", F.col("s_sent_no").alias("sent_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", word.alias("w")))), lambda x: x["w"]), " ").alias("line"))
+
+
+@query("""SELECT doc_id, taxon || chr(9) || id || chr(9) || "begin" || ':' || "end" || chr(9) || "match" AS line FROM mentions""")
+def snk_semantic_line(spark, d):
+    return mentions(spark, d).select("doc_id", F.concat_ws("\t", "taxon", "id", text.offset_string(F.col("begin"), F.col("end")), text.flat(F.col("match"))).alias("line"))
+
+
+@query("""SELECT s.doc_id, sent_no, 'rel:coocc#c=1.00000' || chr(9) || string_agg(taxon || '/' || id || '#c=1.00000', chr(9) ORDER BY CASE taxon WHEN 'en' THEN 0 ELSE 1 END, m."begin", m."end", id) AS line
+FROM sentences s JOIN mentions m ON m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" WHERE taxon IN ('en', 'fr') GROUP BY s.doc_id, sent_no HAVING count(DISTINCT taxon) = 2""")
+def snk_relationship_line(spark, d):
+    own = annotations(spark, d)
+    rel = relations.cooccurrence(sents(spark, d), own.where("namespace = 'en'"), own.where("namespace = 'fr'"))
+    conf = F.concat(F.lit("#c="), F.format_number(F.lit(1.0), 5))
+    parts = F.transform("targets", lambda t: F.concat(t["namespace"], F.lit("/"), t["identifier"], conf))
+    return rel.select("doc_id", "sent_no", F.concat_ws("\t", F.concat(F.lit("rel:coocc"), conf), F.array_join(parts, "\t")).alias("line"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[\t\x0B\f\r\x1C-\x1F\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', ' ', 'g')) AS t FROM documents""", prelude=False)
+def str_normalize_spaces(spark, d):
+    return docs(spark, d).select("doc_id", text.normalize_spaces(F.col("text")).alias("t"))
+
+
+@query("SELECT doc_id, replace(text, '_', '␣') AS t FROM documents", prelude=False)
+def str_escape(spark, d):
+    return docs(spark, d).select("doc_id", text.escape_underscores(F.col("text")).alias("t"))
+
+
+@query("""SELECT doc_id, source || '="' || replace(text, '"', '\\"') || '"' AS t FROM documents""", prelude=False)
+def str_quote_property(spark, d):
+    return docs(spark, d).select("doc_id", text.quoted_property(F.col("source"), F.col("text")).alias("t"))
+
+
+@query("""SELECT doc_id, tok_no, "begin" || ':' || "end" AS o FROM tokens""")
+def str_offset(spark, d):
+    return segment.tokens(docs(spark, d)).select("doc_id", "tok_no", text.offset_string(F.col("begin"), F.col("end")).alias("o"))
+
+
+def _replaced(column: str, names: dict[str, str]) -> str:
+    for k, v in names.items():
+        column = f"replace({column}, '{k}', '{v}')"
+    return column
+
+
+@query(f"SELECT doc_id, {_replaced('text', text.GREEK_NAMES)} AS t FROM documents", prelude=False)
+def str_greek_latin(spark, d):
+    return docs(spark, d).select("doc_id", text.greek_to_latin(F.col("text")).alias("t"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{Nd}]', '', 'g') AS t FROM documents", prelude=False)
+def str_compressed(spark, d):
+    return docs(spark, d).select("doc_id", text.compressed(F.col("text")).alias("t"))
+
+
+@query("""SELECT doc_id, "begin", "end", id, namespace FROM (SELECT doc_id, "begin", "end", id, taxon AS namespace FROM mentions) ORDER BY doc_id, "begin", "end" DESC, namespace, id""")
+def ord_canonical(spark, d):
+    own = annotations(spark, d)
+    return offsets.canonical_order(own).select("doc_id", "begin", "end", F.col("identifier").alias("id"), "namespace")
+
+
+def _similar(name: str) -> None:
+    def run(spark, d):
+        g = gaz(spark, d).select("name").distinct()
+        pairs = g.select(F.col("name").alias("a")).crossJoin(g.select(F.col("name").alias("b"))).where("substring(a, 1, 2) = substring(b, 1, 2) AND a < b")
+        return pairs.select("a", "b", similarity(name)("a", "b").alias("value"))
+
+    run.__name__ = f"sim_{name}"
+    query()(run)
+
+
+for _name in ("leitner_similarity", "osa_distance", "jaro", "jaro_winkler"):
+    _similar(_name)
+
+
+@query(f""", {_NEAR} SELECT m.doc_id, m."begin", m."end", "match", m.id, taxon, CAST(1.0 AS DOUBLE) AS confidence, before, after FROM mentions m JOIN near USING (doc_id, "begin", "end")""")
+def gaz_annotate_context(spark, d):
+    """The flagship: dictionary mentions with their neighbours."""
+    own = mentions(spark, d)
+    near = joins.neighbours(own, segment.tokens(docs(spark, d)))
+    return own.join(near, ["doc_id", "begin", "end"]).select("doc_id", "begin", "end", "match", "id", "taxon", F.lit(1.0).alias("confidence"), "before", "after")

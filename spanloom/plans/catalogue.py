@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import offsets, text
 from ..functions.similarity import column as similarity
-from ..operators import filters, gazetteer, joins, learn, rank, relations, segment
+from ..operators import entities, extract, filters, gazetteer, joins, learn, patterns, rank, relations, segment, tagging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -500,3 +500,63 @@ def gaz_annotate_context(spark, d):
     own = mentions(spark, d)
     near = joins.neighbours(own, segment.tokens(docs(spark, d)))
     return own.join(near, ["doc_id", "begin", "end"]).select("doc_id", "begin", "end", "match", "id", "taxon", F.lit(1.0).alias("confidence"), "before", "after")
+
+
+@query()
+def ext_html_text(spark, d):
+    return extract.extract(read(spark, d, "pages"), "page_id", "html").select("page_id", "text")
+
+
+@query()
+def ext_html_structure(spark, d):
+    return extract.structure(extract.extract(read(spark, d, "pages"), "page_id", "html"), "page_id").select("page_id", "begin", "end", "identifier")
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]+)/*$', 1) AS name FROM pages", prelude=False)
+def ext_resource_name(spark, d):
+    return read(spark, d, "pages").select("page_id", text.base_name(F.col("url")).alias("name"))
+
+
+@query("SELECT doc_id, k AS namespace, CASE k WHEN 'lang' THEN lang ELSE source END AS identifier FROM documents, (SELECT unnest(['lang', 'source']) AS k)", prelude=False)
+def ext_metadata(spark, d):
+    own = docs(spark, d).withColumn("meta", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    return extract.metadata(own, "meta")
+
+
+@query()
+def seg_tagged_tokens(spark, d):
+    return tagging.token_rows(tagging.tag_sentences(sents(spark, d))).select("doc_id", "sent_no", "tok_no", "begin", "end", "pos", "stem", "chunk")
+
+
+@query()
+def pat_syntax(spark, d):
+    resource = [("( [ NP DT_* . + ] ) [ PP IN_* ] ( [ NP . + ] )", [("rel", "of"), ("sem", "head"), ("sem", "part")])]
+    return patterns.annotate(tagging.tag_sentences(sents(spark, d)), resource)
+
+
+@query()
+def gaz_expansions(spark, d):
+    own = docs(spark, d).select("doc_id", F.concat(F.lit("gene7-9 : gene7/9, "), F.substring("text", 1, 20)).alias("text"))
+    genes = spark.createDataFrame([(str(i), f"gene{i}") for i in range(12)], "id string, name string")
+    return gazetteer.match_expansions(own, gazetteer.match_tokens(own, genes), genes)
+
+
+@query()
+def ent_known_regex(spark, d):
+    g = gaz(spark, d)
+    wanted = docs(spark, d).select("doc_id", F.lit("word").alias("type"), F.lit("gaz").alias("namespace"), (F.col("doc_id") % 40).cast("string").alias("id"))
+    names = g.select(F.lit("gaz").alias("namespace"), "id", "name")
+    return entities.known_entities(docs(spark, d), wanted, names)
+
+
+@query()
+def gaz_best_names(spark, d):
+    g = gaz(spark, d)
+    own = mentions(spark, d).select("doc_id", "begin", "end", "match", "id")
+    return gazetteer.best_names(own, g.select("id", "name"), least=0.5)
+
+
+@query("""SELECT doc_id, CAST(begin AS INTEGER) AS "begin", CAST(begin AS INTEGER) AS utf16 FROM (SELECT doc_id, "begin" AS begin FROM tokens)""")
+def str_utf16_offset(spark, d):
+    own = segment.tokens(docs(spark, d)).select("doc_id", "begin").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return own.select("doc_id", "begin", offsets.to_utf16_offset(F.col("text"), F.col("begin")).cast("int").alias("utf16"))

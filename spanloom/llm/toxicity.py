@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,37 +84,68 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def fit(texts: list[str], toxic: np.ndarray, min_docs: int = MIN_DOCS, steps: int = STEPS) -> Model:
+def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """Of some texts at a time: (text, sentence, plain form) of each token from the first text and sentence on, number of sentences of each text, forms."""
+    for lo, hi in slices(texts):
+        codes, cut, docs, distinct = sentences_of(texts.slice(lo, hi - lo))
+        of, forms = plain(distinct)
+        word = of[codes] if len(codes) else np.zeros(0, np.int64)
+        sentence = np.repeat(np.arange(len(cut) - 1), np.diff(cut))[word >= 0]
+        yield sentence, word[word >= 0], np.diff(docs), forms
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = MIN_DOCS, steps: int = STEPS) -> Model:
     """Gradient descent (Adam) on the likelihood of the documents' labels, first with an absolute penalty, which leaves few
-    features a weight, then without it."""
-    codes, cut, docs, distinct = sentences_of(pa.array(texts, pa.string()))
-    of, forms = plain(distinct)
-    word = of[codes] if len(codes) else np.zeros(0, np.int64)
-    sentence = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    doc = np.repeat(np.arange(len(docs) - 1), np.diff(docs))
-    sentence, word = sentence[word >= 0], word[word >= 0]
+    features a weight, then without it.
+
+    Two passes over the texts, some at a time: the first counts documents of hashed features, the second keeps those
+    of features that can be frequent enough, so that rare ones take no memory.
+    """
+    some = np.zeros(1 << 22, np.int32)
+    for sentence, word, n, forms in _parts(texts):
+        own = [[xxhash.xxh3_64_intdigest(f) & (len(some) - 1) for f in features(form)] for form in forms]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+        feature = np.array([f for x in own for f in x], np.int64)
+        doc = np.repeat(np.arange(len(n)), n)[sentence]
+        key = np.sort((doc << 32) | word)
+        key = key[run_starts(key)]  # each document's distinct words
+        at, place = ranges(ends[key & 0xFFFFFFFF], ends[(key & 0xFFFFFFFF) + 1])
+        key = np.sort((key[at] >> 32 << 32) | feature[place])
+        some += np.bincount(key[run_starts(key)] & 0xFFFFFFFF, minlength=len(some)).astype(np.int32)
     names: dict[str, int] = {}
-    own = [[names.setdefault(f, len(names)) for f in features(form)] for form in forms]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    feature = np.array([f for x in own for f in x], np.int64)
-    key = np.sort((doc[sentence] << 32) | word)
-    key = key[run_starts(key)]  # each document's distinct words
-    at, place = ranges(ends[key & 0xFFFFFFFF], ends[(key & 0xFFFFFFFF) + 1])
-    key = np.sort((key[at] >> 32 << 32) | feature[place])
-    df = np.bincount(key[run_starts(key)] & 0xFFFFFFFF, minlength=len(names))
-    keep = df[feature] >= min_docs
-    ends, feature = np.concatenate([[0], np.cumsum(keep)])[ends], feature[keep]
+    ids: dict[str, int] = {}
+    lists: list[list[int]] = []
+    tokens, sentences_, sizes = [], [], []
+    base = 0
+    for sentence, word, n, forms in _parts(texts):
+        known = np.zeros(len(forms), np.int32)
+        for i, form in enumerate(forms):
+            if (k := ids.get(form)) is None:
+                k = ids[form] = len(ids)
+                lists.append([names.setdefault(f, len(names)) for f in features(form) if some[xxhash.xxh3_64_intdigest(f) & (len(some) - 1)] >= min_docs])
+            known[i] = k
+        tokens.append(known[word] if len(forms) else word.astype(np.int32))
+        sentences_.append((sentence + base).astype(np.int32))
+        sizes.append(n)
+        base += int(n.sum())
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    feature = np.array([f for x in lists for f in x], np.int32)
+    forms = lists
+    word, sentence = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (tokens, sentences_))
+    docs = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
+    del tokens, sentences_, ids
+    doc = np.repeat(np.arange(len(docs) - 1, dtype=np.int32), np.diff(docs))
     y = toxic.astype(bool)
     if not y.any():
         return Model({}, -30.0)
-    w, b = np.zeros(len(names)), -np.log(max(1.0, len(cut) / max(1, y.sum())))
+    w, b = np.zeros(len(names)), -np.log(max(1.0, base / max(1, y.sum())))
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     held, penalty = np.ones(len(names), bool), EVIDENCE
     for step in range(1, steps + 1):
         if step == steps * 3 // 5:  # what has a weight by now is fitted without the penalty
             held, penalty = np.abs(w) > 0.1, 0.1
             w = np.where(held, w, 0.0)
-        z = np.bincount(sentence, sums(w[feature], ends)[word], len(cut) - 1) + b
+        z = np.bincount(sentence, sums(w[feature], ends)[word], base) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.exp(sums(np.log1p(-np.minimum(p, 1 - 1e-12)), docs))  # the chance that no sentence is toxic
         pull = np.where(y, -clean / np.maximum(1 - clean, 1e-12), 1.0)
@@ -134,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model
     pick = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) < least
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("text").isNotNull() & pick("doc"))
     rows = texts.join(own.where(pick("id")), F.col("doc") == F.col("id")).select("doc", "text", "toxic").toArrow().sort_by([("doc", "ascending"), ("text", "ascending")])
-    return fit(rows["text"].to_pylist(), np.asarray(rows["toxic"]))
+    return fit(pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["toxic"]))
 
 
 def detect(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

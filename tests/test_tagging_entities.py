@@ -11,8 +11,9 @@ from spanloom.operators import tagging as T
 
 def test_known_entities(spark):
     text = "The mouse Tumor necrosis factor alpha (Tnf-alpha) gene, TNF ALPHA and tnf."
-    names = {("gene", "n", "1"): ["tumor necrosis factor alpha", "Tnf-alpha"]}
-    assert [text[b:e] for b, e, _ in E.find_entities(text, names)] == ["Tumor necrosis factor alpha", "Tnf-alpha", "TNF ALPHA"] or [text[b:e] for b, e, _ in E.find_entities(text, names)][-1] == "Tnf-alpha"
+    found = lambda *names: [text[b:e] for b, e, _ in E.find_entities(text, {("gene", "n", "1"): list(names)})]
+    assert found("tumor necrosis factor alpha", "Tnf-alpha") == ["Tnf-alpha"]  # found by case, so not looked for without it
+    assert found("tumor necrosis factor alpha", "tnf-alpha") == ["Tumor necrosis factor alpha", "Tnf-alpha", "TNF ALPHA"]
     docs = spark.createDataFrame([(1, "This is an entity mention inside the text.\n"), (2, None)], "doc_id long, text string")
     ents = spark.createDataFrame([(1, "type", "ns", "id"), (2, "type", "ns", "id")], "doc_id long, type string, namespace string, id string")
     known = spark.createDataFrame([("ns", "id", "entity mention")], "namespace string, id string, name string")
@@ -74,7 +75,7 @@ def test_matching(spark):
     gaz = spark.createDataFrame([("1", "a name b"), ("1", "name"), ("2", "NAME")], "id string, name string")
     docs = spark.createDataFrame([(1, "x a name b"), (2, "xName1"), (3, "naMex"), (4, None)], "doc_id long, text string")
     got = sorted((r.doc_id, r.begin, r.end, r.ids) for r in G.match_everywhere(docs, gaz, boundary=True).collect())
-    assert got == [(1, 2, 10, ["1"]), (1, 4, 8, ["1", "2"])] or (2, 1, 5, ["1", "2"]) in got
+    assert got == [(1, 2, 10, ["1"]), (1, 4, 8, ["1", "2"]), (2, 1, 5, ["1", "2"])]
     assert sorted(r.doc_id for r in G.match_everywhere(docs, gaz, most_keys=1).collect()) == [1, 1, 2, 3]
     assert sorted({(r.begin, r.end) for r in G.match_tokens(docs, gaz, most_words=3).collect()}) == [(2, 10), (4, 8)]
     exp = spark.createDataFrame([("0", "gene7"), ("1", "gene8"), ("2", "gene9")], "id string, name string")

@@ -127,15 +127,18 @@ def bucket(n: Column) -> Column:
     return F.when(n > 0, F.least(F.floor(F.log2(n.cast("double"))) + 1, F.lit(BUCKETS - 1))).otherwise(0).cast("int")
 
 
-def mixed(weights: list[list[float]], base: float) -> tuple[Column, list[Column]]:
-    """(interpolated probability, share of each order in the mixture with those below, from the lowest)."""
-    p, share = F.lit(base), []
-    for k in range(1, ORDER + 1):
-        w = F.element_at(F.array(*map(F.lit, weights[k - 1])), F.col(f"b{k}") + 1)
-        own = w * F.col(f"p{k}")
-        p = own + (1 - w) * p
-        share.append(own / p)
-    return p, share
+def chain(p: np.ndarray, b: np.ndarray, weights: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """(interpolated probability, share of each order in its mixture with those below) of rows with an estimate and a bucket for each order."""
+    mixed, share = np.full(len(p), base), np.empty_like(p)
+    for k in range(ORDER):
+        own = weights[k][b[:, k]] * p[:, k]
+        mixed = own + (1 - weights[k][b[:, k]]) * mixed
+        share[:, k] = own / mixed
+    return mixed, share
+
+
+def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([np.asarray(batch.column(f"p{k}")) for k in range(1, ORDER + 1)], axis=1), np.stack([np.asarray(batch.column(f"b{k}")) for k in range(1, ORDER + 1)], axis=1)
 
 
 def estimates(docs: DataFrame) -> DataFrame:
@@ -161,22 +164,37 @@ def estimates(docs: DataFrame) -> DataFrame:
     return checkpoint(out.select("gram", "held", *(f"{x}{k}" for k in range(1, ORDER + 1) for x in "pb")))
 
 
-def learn(table: DataFrame, rounds: int = ROUNDS) -> tuple[list[list[float]], float]:
-    """(weights by order and bucket, base probability). Buckets without held-out counts keep a half; an unseen context has no weight."""
+def learn(table: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(weights by order and bucket, base probability). Buckets without held-out counts keep a half; an unseen context has no weight.
+
+    Each round is one pass over the held-out n-grams that sums, by order and bucket, the counts that reach an order and
+    those that it takes: a few hundred numbers a batch.
+    """
     v = table.select(F.substring("gram", ORDER, 1).alias("c")).distinct().count()
     base = 1.0 / (v + 1)
-    weights = [[0.0] + [0.5] * (BUCKETS - 1) for _ in range(ORDER)]
+    weights = np.full((ORDER, BUCKETS), 0.5)
+    weights[:, 0] = 0.0
     own = table.where("held > 0")
     for _ in range(rounds):
-        _, share = mixed(weights, base)
-        reach, parts = F.col("held").cast("double"), []
-        for k in range(ORDER, 0, -1):
-            took = reach * share[k - 1]
-            parts.append(F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("b"), took.alias("took"), reach.alias("reach")))
-            reach = reach - took
-        for r in own.select(F.explode(F.array(*parts)).alias("x")).groupBy("x.k", "x.b").agg(F.sum("x.took").alias("took"), F.sum("x.reach").alias("reach")).collect():
-            if r.b and r.reach > 0:
-                weights[r.k - 1][r.b] = min(max(r.took / r.reach, 1e-6), 1 - 1e-6)
+
+        def expect(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            took, reached = np.zeros((ORDER, BUCKETS)), np.zeros((ORDER, BUCKETS))
+            for batch in batches:
+                p, b = columns(batch)
+                _, share = chain(p, b, weights, base)
+                reach = np.asarray(batch.column("held")).astype(float)
+                for k in reversed(range(ORDER)):
+                    part = reach * share[:, k]
+                    took[k] += np.bincount(b[:, k], part, BUCKETS)
+                    reached[k] += np.bincount(b[:, k], reach, BUCKETS)
+                    reach = reach - part
+            at = np.flatnonzero(reached)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(took.ravel()[at]), pa.array(reached.ravel()[at])], ["at", "took", "reached"])
+
+        weights = weights.copy()
+        for r in own.mapInArrow(expect, "at int, took double, reached double").groupBy("at").agg(F.sum("took").alias("took"), F.sum("reached").alias("reached")).collect():
+            if r.at % BUCKETS:
+                weights[divmod(r.at, BUCKETS)] = min(max(r.took / r.reached, 1e-6), 1 - 1e-6)
     return weights, base
 
 
@@ -197,7 +215,12 @@ def score(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, rounds: int =
     """
     table = estimates(docs)
     weights, base = learn(table, rounds)
-    logs = table.select("gram", F.ln(mixed(weights, base)[0]).alias("log"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(np.log(chain(*columns(batch), weights, base)[0]))], ["gram", "log"])
+
+    logs = table.mapInArrow(finish, "gram string, log double")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = table.count()
     scored = _by_broadcast(own, logs) if n <= broadcast_grams else _by_join(own, logs)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, run_starts, slices
+from .common import Hashed, listed, run_starts, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Slices of more bytes than this are merged one by one, with a heap.
@@ -278,7 +278,7 @@ class Encoder:
         cuts = byte[np.append(start, len(cp))].astype(np.int32)
         slices_ = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data)])
         enc = slices_.dictionary_encode()
-        lo, hi = self.lookup(enc.dictionary.to_pylist())
+        lo, hi = self.lookup(listed(enc.dictionary))
         part = np.searchsorted(start, breaks)  # the slices that part texts
         code = np.asarray(enc.indices).astype(np.int64)
         n = (hi - lo)[code]

@@ -106,10 +106,15 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.asarray(enc.indices).astype(np.int64), offsets - offsets[0], enc.dictionary
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a string or binary column as a list, by way of numpy: several times as fast as to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def plain(distinct: pa.Array) -> tuple[np.ndarray, list[str]]:
     """Lower case, letters and digits only: (index of each token's plain form, -1 if that is empty; the plain forms)."""
     enc = pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\pL\pN]+", "").dictionary_encode()
-    forms, of = enc.dictionary.to_pylist(), np.asarray(enc.indices).astype(np.int64)
+    forms, of = listed(enc.dictionary), np.asarray(enc.indices).astype(np.int64)
     if "" in forms:
         gap = forms.index("")
         forms.pop(gap)
@@ -174,7 +179,7 @@ class Memo:
         """A row for each of the distinct tokens."""
         if len(self.place) > self.most:
             self.clear()
-        tokens = distinct.to_pylist()
+        tokens = listed(distinct)
         new = [t for t in tokens if t not in self.place]
         if new:
             lo = len(self.place)

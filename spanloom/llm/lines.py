@@ -14,12 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words, written
-from .simhash import sketch
+from .simhash import hashed, sketch
 
 MIN_WORDS = 5
 MIN_SIMILARITY = 0.9
@@ -44,14 +43,15 @@ def normal_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(line, minlength=len(lines))
             begin = np.concatenate([[0], np.cumsum(n)])
             place = (np.arange(len(word)) - begin[line]).astype(np.uint64) * np.uint64(GOLDEN)
-            base = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))[word]
+            every = hashed(forms)
+            base = every[word]
             hashes = [sums(mix(base + place + np.uint64(seed)), begin).view(np.int64) for seed in (1, 2**40 + 1)]
             keep = np.flatnonzero(n >= MIN_WORDS)
             if not len(keep):
                 continue
             new = np.full(len(lines), -1)
             new[keep] = np.arange(len(keep))
-            sigs, _ = sketch(new[line][new[line] >= 0], word[new[line] >= 0], len(keep), forms, WIDTH, ALL)
+            sigs, _ = sketch(new[line][new[line] >= 0], word[new[line] >= 0], len(keep), every, WIDTH, ALL)
             row = (np.searchsorted(ends - ends[0], keep, side="right") - 1).astype(np.int64)
             at = pa.array(row + lo)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[0][keep]), pa.array(hashes[1][keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array((keep - (ends - ends[0])[row]).astype(np.int32)), binary(sigs.view(np.uint8))], ["h1", "h2", "doc", "txt", "line", "sig"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, run_starts, slices, words
+from .common import checkpoint, listed, run_starts, slices, words
 
 ALPHA, DELTA = 0.02, 0.1
 #: Rows of thresholds up to which they are broadcast; beyond, they are joined by shuffles.
@@ -57,7 +57,7 @@ def measure(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     upper, digits, other = count(2), count(3), count(0)
     letters = count(1) + upper
     codes, offsets, distinct = words(texts)
-    tokens = distinct.to_pylist()
+    tokens = listed(distinct)
     blank = np.array([not t for t in tokens] + [True])
     keep = ~blank[codes]
     doc = np.repeat(np.arange(len(own)), np.diff(offsets))[keep]

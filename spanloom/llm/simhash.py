@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, binary, checkpoint, fixed, mix, plain, run_starts, semi, slices, stars, sums, words
+from .common import GOLDEN, binary, checkpoint, fixed, mix, plain, run_starts, semi, slices, stars, words
 
 WORDS, PER_WORD, SEGMENT = 8, 3, 18
 SEGMENTS = WORDS * PER_WORD
@@ -39,14 +39,17 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     of, forms = plain(distinct)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     word = of[codes]
-    sigs, n = sketch(doc[word >= 0], word[word >= 0], len(offsets) - 1, forms, WORDS, USED)
+    sigs, n = sketch(doc[word >= 0], word[word >= 0], len(offsets) - 1, hashed(forms), WORDS, USED)
     return sigs, n > 0
 
 
-def sketch(doc: np.ndarray, word: np.ndarray, docs: int, forms: list[str], width: int, used: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of width words of signature, distinct words of each text) from pairs of a text and one of its words."""
-    base = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
-    lanes = np.unpackbits((mix(base[:, None] + SEEDS[None, :width]) & used).view(np.uint8).reshape(len(forms), width * 8), axis=1, bitorder="little").view(np.uint64)
+def hashed(forms: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))
+
+
+def sketch(doc: np.ndarray, word: np.ndarray, docs: int, base: np.ndarray, width: int, used: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of width words of signature, distinct words of each text) from pairs of a text and one of its words; base: the hash of each word."""
+    lanes = np.unpackbits((mix(base[:, None] + SEEDS[None, :width]) & used).view(np.uint8).reshape(len(base), width * 8), axis=1, bitorder="little").view(np.uint64)
     key = np.sort((doc << 32) | word)
     key = key[run_starts(key)]
     doc, word = key >> 32, key & 0xFFFFFFFF
@@ -57,8 +60,15 @@ def sketch(doc: np.ndarray, word: np.ndarray, docs: int, forms: list[str], width
     few = np.zeros((max(0, len(cuts) - 1), width * 8), np.uint64)
     for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
         np.add.reduce(lanes.take(word[lo:hi], axis=0), axis=0, out=few[i])
-    counts = sums(few.view(np.uint8).astype(np.int32), np.searchsorted(cuts, ends))
-    return np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1, width), n
+    few = few.view(np.uint8).reshape(-1, width * 64)
+    at = np.searchsorted(cuts, ends)
+    bits = np.zeros((docs, width * 64), bool)
+    one = np.flatnonzero(np.diff(at) == 1)
+    bits[one] = few[at[one]] > (n[one] // 2)[:, None].astype(np.uint8)
+    many = np.flatnonzero(np.diff(at) > 1)
+    for row in many.tolist():
+        bits[row] = few[at[row] : at[row + 1]].sum(axis=0, dtype=np.int32) * 2 > n[row]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(-1, width), n
 
 
 def segment(sigs: np.ndarray, j: np.ndarray | int) -> np.ndarray:

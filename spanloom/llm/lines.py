@@ -17,44 +17,96 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words, written
+from .common import GOLDEN, M1, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words, written
 from .simhash import hashed, sketch
 
 MIN_WORDS = 5
 MIN_SIMILARITY = 0.9
-BLOCKS, BITS, PER_WORD, WIDTH = 12, 16, 4, 4
-MAX_DISTANCE = 14  #: of the 64 bits
+BLOCKS, BITS, PER_WORD, WIDTH = 12, 16, 4, 3
+MAX_DISTANCE = 14  #: of the 64 bits of meet()
+HOT = 64  #: members of a bucket, above which its pairs are found with the words at hand
 ALL = np.uint64(2**64 - 1)
 LINE = "doc long, txt long, line int"
 
 
-def normal_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc, txt, line, sig) for each line of enough words of (doc, txt, text)."""
-    for batch in batches:
-        for lo, hi in slices(batch.column(2)):
-            rows = pc.split_pattern(batch.column(2).slice(lo, hi - lo), "\n")
-            ends = np.asarray(rows.offsets).astype(np.int64)
-            lines = rows.flatten()
-            codes, offsets, distinct = words(lines)
-            of, forms = plain(distinct)
-            word = of[codes]
-            line = np.repeat(np.arange(len(lines)), np.diff(offsets))[word >= 0]
-            word = word[word >= 0]
-            n = np.bincount(line, minlength=len(lines))
-            begin = np.concatenate([[0], np.cumsum(n)])
-            place = (np.arange(len(word)) - begin[line]).astype(np.uint64) * np.uint64(GOLDEN)
-            every = hashed(forms)
-            base = every[word]
-            hashes = [sums(mix(base + place + np.uint64(seed)), begin).view(np.int64) for seed in (1, 2**40 + 1)]
-            keep = np.flatnonzero(n >= MIN_WORDS)
-            if not len(keep):
-                continue
-            new = np.full(len(lines), -1)
-            new[keep] = np.arange(len(keep))
-            sigs, _ = sketch(new[line][new[line] >= 0], word[new[line] >= 0], len(keep), every, WIDTH, ALL)
-            row = (np.searchsorted(ends - ends[0], keep, side="right") - 1).astype(np.int64)
-            at = pa.array(row + lo)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][keep]), pa.array(hashes[1][keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array((keep - (ends - ends[0])[row]).astype(np.int32)), binary(sigs.view(np.uint8))], ["h1", "h2", "doc", "txt", "line", "sig"])
+def normal_lines(least: float, min_words: int):
+    """(h1, h2, doc, txt, line, n, sig) for each line of enough words of (doc, txt, text); no sig if only the same form can match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(2)):
+                rows = pc.split_pattern(batch.column(2).slice(lo, hi - lo), "\n")
+                ends = np.asarray(rows.offsets).astype(np.int64)
+                lines = rows.flatten()
+                line, word, forms = tokens(lines)
+                n = np.bincount(line, minlength=len(lines))
+                begin = np.concatenate([[0], np.cumsum(n)])
+                place = (np.arange(len(word)) - begin[line]).astype(np.uint64) * np.uint64(GOLDEN)
+                every = hashed(forms)
+                base = every[word]
+                hashes = [sums(mix(base + place + np.uint64(seed)), begin).view(np.int64) for seed in (1, 2**40 + 1)]
+                keep = np.flatnonzero(n >= min_words)
+                if not len(keep):
+                    continue
+                fuzzy = edits(n + 1, least) >= 1
+                fuzzy[n < min_words] = False
+                new = np.cumsum(fuzzy) - 1
+                sigs = signed(new[line[fuzzy[line]]], word[fuzzy[line]], int(fuzzy.sum()), every)
+                sig = binary(sigs.view(np.uint8)).take(pa.array(new[keep], mask=~fuzzy[keep]))
+                row = (np.searchsorted(ends - ends[0], keep, side="right") - 1).astype(np.int64)
+                at = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[0][keep]), pa.array(hashes[1][keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array((keep - (ends - ends[0])[row]).astype(np.int32)), pa.array(n[keep].astype(np.int32)), sig], ["h1", "h2", "doc", "txt", "line", "n", "sig"])
+
+    return run
+
+
+def tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(line of each word, the word's place among the forms, the forms)."""
+    codes, offsets, distinct = words(lines)
+    of, forms = plain(distinct)
+    word = of[codes]
+    return np.repeat(np.arange(len(lines)), np.diff(offsets))[word >= 0], word[word >= 0], forms
+
+
+def edits(n: np.ndarray, least: float) -> np.ndarray:
+    """The edits that a pair may have whose longer line has n words."""
+    return ((1 - least) * n + 1e-9).astype(np.int64)
+
+
+def counted(line: np.ndarray, word: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of a line's words as a set: the second, third... place of a word is an element of its own. Sorted by line."""
+    key = np.sort((line << 32) | word)
+    starts = run_starts(key)
+    again = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    return key >> 32, mix(every[key & 0xFFFFFFFF] + again.astype(np.uint64) * M1)
+
+
+def parities(element: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Rows of 128 bits: of the elements with that place, is the number odd? Sets that differ in x elements differ in at most x bits."""
+    at = element >> np.uint64(57)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    out = np.zeros((len(begin) - 1, 2), np.uint64)
+    if len(element):
+        for half in (0, 1):
+            out[:, half] = np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == half, bit, np.uint64(0)), begin[:-1])
+    return out
+
+
+def possible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of lines of n and m words, with parities a and b, may have the similarity: loses none that has it.
+
+    A replaced word changes two elements, a word more or less changes one.
+    """
+    most, gap = edits(np.maximum(n, m), least), np.abs(n - m)
+    return (gap <= most) & (np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= 2 * most - gap)
+
+
+def signed(line: np.ndarray, word: np.ndarray, n: int, every: np.ndarray) -> np.ndarray:
+    """Rows of 5 words, for n lines that all have words: three of blocks, two of parities."""
+    blocks, _ = sketch(line, word, n, every, WIDTH, ALL)
+    of, element = counted(line, word, every)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+    return np.concatenate([blocks, parities(element, begin)], axis=1)
 
 
 def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,19 +125,128 @@ def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (h[0][-1], h[1][-1])
         ids = number + np.cumsum(first)
         number = int(ids[-1])
-        sig = pc.if_else(pa.array(first), batch.column(5), pa.scalar(None, pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[2:5], sig], ["id", "doc", "txt", "line", "sig"])
+        sig = pc.if_else(pa.array(first), batch.column(6), pa.scalar(None, pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[2:6], pa.array(first), sig], ["id", "doc", "txt", "line", "n", "first", "sig"])
 
 
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block of (id, n, sig): bucket << 32 | number of words, id, parities."""
     for batch in batches:
-        sigs = fixed(batch.column(1), WIDTH * 8).view(np.uint64)
-        keys = np.stack([((sigs[:, j // PER_WORD] >> np.uint64(j % PER_WORD * BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int32) | np.int32(j << BITS) for j in range(BLOCKS)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int32()), pa.array(np.repeat(np.asarray(batch.column(0)), BLOCKS)), pa.array(np.repeat(sigs[:, WIDTH - 1].view(np.int64), BLOCKS))], ["key", "id", "rest"])
+        sigs = fixed(batch.column(2), (WIDTH + 2) * 8).view(np.uint64)
+        keys = np.stack([((sigs[:, j // PER_WORD] >> np.uint64(j % PER_WORD * BITS)) & np.uint64((1 << BITS) - 1)).astype(np.int64) | np.int64(j << BITS) for j in range(BLOCKS)], axis=1)
+        keys = keys << 32 | np.asarray(batch.column(1)).astype(np.int64)[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(y, BLOCKS) for y in (np.asarray(batch.column(0)), sigs[:, WIDTH].view(np.int64), sigs[:, WIDTH + 1].view(np.int64))))], ["key", "id", "x", "y"])
+
+
+def partners(least: float):
+    """Rows sorted by bucket: (-1, a, b) of the pairs that may be similar, or (bucket, id, -1) of the members of hot buckets.
+
+    A bucket is hot if it has many members or many such pairs; there, settle() looks at the words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        hot = -1
+
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal hot
+            key, ids, x, y = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            bucket, n, odd = key >> 32, key & 0xFFFFFFFF, np.stack([x, y], axis=1).view(np.uint64)
+            starts = run_starts(bucket)
+            sizes = np.diff(np.append(starts, len(key)))
+            large = sizes > HOT
+            large[0] |= bucket[0] == hot
+            hot = int(bucket[-1]) if large[-1] else -1
+            if not last and not large[-1]:  # the bucket may go on
+                held.append(tuple(c[starts[-1] :] for c in (key, ids, x, y)))
+                sizes[-1] = 0
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+            end = (starts + sizes)[of]
+            row = np.flatnonzero(~large[of])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            step = 1
+            while len(row := row[row + step < end[row]]):
+                hit = row[possible(n[row], n[row + step], odd[row], odd[row + step], least)]
+                left.append(hit)
+                right.append(hit + step)
+                step += 1
+            a, b = np.concatenate(left), np.concatenate(right)
+            many = np.bincount(of[a], minlength=len(starts)) > 2 * sizes
+            inner = np.zeros(len(key), bool)
+            inner[a[many[of[a]]]] = inner[b[many[of[b]]]] = True
+            inner |= large[of]
+            a, b = a[~many[of[a]]], b[~many[of[b]]]
+            none = np.full(int(inner.sum()), -1)
+            columns = (np.full(len(a), -1), bucket[inner]), (ids[a], ids[inner]), (ids[b], none)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["key", "a", "b"])
+
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(np.asarray(c) for c in batch.columns))
+                size += batch.num_rows
+                if size >= 100_000:
+                    yield flush(False)
+                    size = 0
+        if held:
+            yield flush(True)
+
+    return run
+
+
+def settle(least: float):
+    """Similar pairs (a, b) that connect what is connected in each bucket, from its lines (key, id, words) sorted by key.
+
+    Every pair is looked at but those that are connected already.
+    """
+
+    def one(ids: list[int], texts: pa.Array) -> Iterator[tuple[int, int]]:
+        line, word, forms = tokens(texts)
+        n = np.bincount(line, minlength=len(ids))
+        begin = np.concatenate([[0], np.cumsum(n)])
+        own = [word[lo:hi].tolist() for lo, hi in zip(begin[:-1], begin[1:])]
+        _, element = counted(line, word, hashed(forms))
+        odd = parities(element, begin)
+        group = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+            for j in other[possible(n[i], n[other], odd[i], odd[other], least)].tolist():
+                if group[j] != group[i] and similarity(own[i], own[j], least) >= least:
+                    group[group == group[j]] = group[i]
+                    yield ids[i], ids[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            key = np.asarray(rows["key"])
+            starts = run_starts(key).tolist()
+            pairs: list[tuple[int, int]] = []
+            for lo, hi in zip(starts, [*starts[1:], len(key)]):
+                if hi == len(key) and not last:
+                    held.extend(rows.slice(lo).to_batches())
+                else:
+                    part = rows.slice(lo, hi - lo).combine_chunks()
+                    pairs += one(part["id"].to_pylist(), pa.concat_arrays(part["words"].chunks))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                goes_on = held and batch.column(0)[-1].as_py() == held[0].column(0)[0].as_py()
+                held.append(batch)
+                if not goes_on:
+                    yield flush(False)
+        if held:
+            yield flush(True)
+
+    return run
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of rows sorted by bucket: each line and the first leader that is near enough."""
+    """Candidates (a, b) of rows sorted by bucket: each line and the first leader that is near enough. Not what repeated_lines() uses."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -165,10 +326,10 @@ def verify(least: float):
         for batch in batches:
             own = []
             for column in (batch.column(2), batch.column(3)):
-                codes, offsets, distinct = words(column)
-                of, forms = plain(distinct)
+                line, word, forms = tokens(column)
+                cuts = np.searchsorted(line, np.arange(len(column) + 1))
                 names = np.array([*forms, ""], object)
-                own.append([[w for w in names[of[codes[x:y]]] if w] for x, y in zip(offsets[:-1], offsets[1:])])
+                own.append([names[word[x:y]].tolist() for x, y in zip(cuts[:-1], cuts[1:])])
             ok = pa.array([similarity(a, b, least) >= least for a, b in zip(*own)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(ok)
 
@@ -178,20 +339,23 @@ def verify(least: float):
 def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(doc, txt, line) of every occurrence to be removed: doc_id, hash of the text, number of the line from 0."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("txt"), "text").where("text is not null")
-    lines = own.mapInArrow(normal_lines, f"h1 long, h2 long, {LINE}, sig binary")
-    lines = written(lines.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "txt", "line").mapInArrow(firsts, f"id long, {LINE}, sig binary"))
-    first = lines.where("sig is not null")
-    buckets = first.select("id", "sig").mapInArrow(spread, "key int, id long, rest long")
-    pairs = checkpoint(buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "a long, b long").distinct())
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    lines = own.mapInArrow(normal_lines(min_similarity, MIN_WORDS), f"h1 long, h2 long, {LINE}, n int, sig binary")
+    lines = written(lines.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "txt", "line").mapInArrow(firsts, f"id long, {LINE}, n int, first boolean, sig binary"))
+    first = lines.where("first")
+    buckets = first.where("sig is not null").select("id", "n", "sig").mapInArrow(spread, "key long, id long, x long, y long")
+    met = checkpoint(buckets.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "id").mapInArrow(partners(min_similarity), "key long, a long, b long").distinct())
+    pairs, hot = met.where("key < 0").select("a", "b"), met.where("key >= 0").select("key", "a")
+    ends = met.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = first.join(ends, "id", "left_semi").groupBy("doc", "txt").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
     texts = own.join(wanted.toDF("d", "t", "lines"), own.doc.eqNullSafe(F.col("d")) & (F.col("txt") == F.col("t"))).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x")).select(F.col("x.id").alias("id"), F.get("all", F.col("x.line")).alias("words")).groupBy("id").agg(F.first("words").alias("words"))
     near = pairs.join(texts.toDF("a", "wa"), "a").join(texts.toDF("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(verify(min_similarity), "a long, b long")
+    inner = hot.join(texts.toDF("a", "words"), "a").select("key", F.col("a").alias("id"), "words")
+    near = near.union(inner.repartition("key").sortWithinPartitions("key", "id").mapInArrow(settle(min_similarity), "a long, b long"))
     groups = stars(near)
     members = checkpoint(groups.union(groups.select("root", "root").distinct()).toDF("id", "root").join(first.select("id", "doc", "txt", "line"), "id"))
     kept = members.groupBy("root").agg(F.min(F.struct("doc", "txt", "line")).alias("kept"))
     lost = members.join(kept, "root").where(F.struct("doc", "txt", "line") != F.col("kept"))
-    return lines.where("sig is null").select("doc", "txt", "line").union(lost.select("doc", "txt", "line"))
+    return lines.where("not first").select("doc", "txt", "line").union(lost.select("doc", "txt", "line"))
 
 
 def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:

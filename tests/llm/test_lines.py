@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -121,3 +122,20 @@ def test_leaders_flow_over_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array([3] * 60_000, pa.int32()), pa.array(range(lo, lo + 60_000), pa.int64()), pa.array([7] * 60_000, pa.int64())], ["key", "id", "rest"]) for lo in range(0, 180_000, 60_000)]
     out = pa.Table.from_batches(list(L.meet(iter(batches))))
     assert out.num_rows == 179_999 and set(out["a"].to_pylist()) == {0}
+
+
+def test_copies_of_one_line_that_are_far_from_each_other(spark, docs):
+    """Each copy is near the base and few are near each other: a copy mustn't take the base out of a bucket."""
+    r = random.Random(4)
+    rows = []
+    for group, size in enumerate((10, 30, 100, 1000)):
+        base = line(90_000 + group, 60).split()
+        rows.append((10_000 * group + 5000, " ".join(base)))
+        for k in range(size):
+            own = list(base)
+            for at in r.sample(range(60), 5):
+                own[at] = f"w{r.randrange(10**9)}"
+            rows.append((10_000 * group + (k if k < size // 2 else 5001 + k), " ".join(own)))
+    got = Counter(x.doc // 10_000 for x in L.repeated_lines(docs(rows)).collect())
+    want = {0: 10, 1: 30, 2: 100, 3: 1000}  # all but one of each, as all are near the base
+    assert all(0.55 * n <= got[g] <= n for g, n in want.items())

@@ -138,4 +138,24 @@ def test_copies_of_one_line_that_are_far_from_each_other(spark, docs):
             rows.append((10_000 * group + (k if k < size // 2 else 5001 + k), " ".join(own)))
     got = Counter(x.doc // 10_000 for x in L.repeated_lines(docs(rows)).collect())
     want = {0: 10, 1: 30, 2: 100, 3: 1000}  # all but one of each, as all are near the base
-    assert all(0.55 * n <= got[g] <= n for g, n in want.items())
+    assert all(0.9 * n <= got[g] <= n for g, n in want.items())
+
+
+@pytest.mark.parametrize("words, changed", [(10, 1), (12, 1), (20, 2), (30, 3), (40, 3), (60, 5), (100, 10)])
+def test_recall_of_pairs_just_above_the_similarity(words, changed):
+    r = random.Random(words)
+    rows = []
+    for i in range(400):
+        own = line(70_000 + i, words).split()
+        rows.append(" ".join(own))
+        for at in r.sample(range(words), changed):
+            own[at] = f"w{r.randrange(10**9)}"
+        rows.append(" ".join(own))
+    n = pa.array(range(len(rows)), pa.int64())
+    lines = pa.Table.from_batches(L.normal_lines(0.9, L.MIN_WORDS)(iter([pa.RecordBatch.from_arrays([n, n, pa.array(rows)], ["doc", "txt", "text"])])))
+    spread = L.spread(iter(lines.select(["doc", "n", "sig"]).combine_chunks().to_batches()))
+    buckets = pa.Table.from_batches(list(spread)).sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
+    met = pa.Table.from_batches(list(L.partners(0.9)(iter(buckets.to_batches()))))
+    got = {(min(a, b), max(a, b)) for k, a, b in zip(*(met[c].to_pylist() for c in ("key", "a", "b"))) if k < 0}
+    want = {(2 * i, 2 * i + 1) for i in range(400) if L.similarity(plain(rows[2 * i]), plain(rows[2 * i + 1])) >= 0.9}
+    assert len(want) == 400 and len(want & got) >= 0.93 * len(want)

@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash of normalised lines, bands of least hashes, edit similarity, one occurrence of each group.
 
-A line's words (lower case, letters and digits only) are its normal form. Lines of the same form are one; of those, the
+A line's words (lower case, letters and digits only; single letters in scripts without spaces, as Chinese or Thai) are its normal form. Lines of the same form are one; of those, the
 first stands for all. Counted words (the second place of a word is an element of its own) of two lines with an edit
 similarity of 0.9 have a Jaccard similarity of 9/11 at least. A signature has 8 bands, each of 5 least hashes, so such a
 pair shares one with a probability of 1 - (1 - (9/11) ** 5) ** 8 = 0.97, whatever the length. Lines meet in the buckets of
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, M1, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words, written
 from .simhash import hashed
 
-MIN_WORDS = 5
+MIN_WORDS = 5  #: unless another floor is asked for; the query and the pipeline ask for 1
 MIN_SIMILARITY = 0.9
 BANDS, ROWS = 8, 5
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(GOLDEN)).reshape(BANDS, ROWS) | np.uint64(1)
 MAX_DISTANCE = 14  #: of the 64 bits of meet()
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 HOT = 64  #: members of a bucket, above which its pairs are found with the words at hand
 LINE = "doc long, txt long, line int"
 
@@ -64,12 +65,24 @@ def normal_lines(least: float, min_words: int):
 
 def tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(line of each word, the word's place among the forms, the forms)."""
-    codes, offsets, distinct = words(lines)
+    codes, offsets, distinct = words(spaced(lines))
     of, forms = plain(distinct)
     word = of[codes]
     return np.repeat(np.arange(len(lines)), np.diff(offsets))[word >= 0], word[word >= 0], forms
 
 
+def spaced(lines: pa.Array) -> pa.Array:
+    """The lines with each letter of a script that doesn't put spaces between words as a word of its own."""
+    if isinstance(lines, pa.ChunkedArray):
+        lines = lines.combine_chunks()
+    if not len(lines):
+        return lines
+    wide = pc.fill_null(pc.not_equal(pc.binary_length(lines), pc.utf8_length(lines)), False)
+    if not pc.any(wide).as_py():
+        return lines
+    return pc.replace_with_mask(lines, wide, pc.replace_substring_regex(lines.filter(wide), UNSPACED, r" \0 "))
+
+
 def edits(n: np.ndarray, least: float) -> np.ndarray:
     """The edits that a pair may have whose longer line has n words."""
     return ((1 - least) * n + 1e-9).astype(np.int64)
@@ -349,10 +362,10 @@ def verify(least: float):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, txt, line) of every occurrence to be removed: doc_id, hash of the text, number of the line from 0."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("txt"), "text").where("text is not null")
-    lines = own.mapInArrow(normal_lines(min_similarity, MIN_WORDS), f"h1 long, h2 long, {LINE}, n int, sig binary")
+    lines = own.mapInArrow(normal_lines(min_similarity, min_words), f"h1 long, h2 long, {LINE}, n int, sig binary")
     lines = written(lines.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "txt", "line").mapInArrow(firsts, f"id long, {LINE}, n int, first boolean, sig binary"))
     first = lines.where("first")
     buckets = first.where("sig is not null").select("id", "n", "sig").mapInArrow(spread, "key long, id long, x long, y long")
@@ -371,15 +384,16 @@ def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> D
     return lines.where("not first").select("doc", "txt", "line").union(lost.select("doc", "txt", "line"))
 
 
-def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns, text without repeated lines; n_chars, if there, is the length of the new text.
 
-    Lines of fewer than MIN_WORDS words stay. A document that loses all its lines goes: another has them. Null and
+    Lines of fewer than min_words words stay, and so do those without any letter or digit. Lines too short for an edit
+    (fewer than 9 words at 0.9) are repeats if their normal form is the same. A document that loses all its lines goes: another has them. Null and
     empty texts stay as they are. Identical rows, with the same doc_id and text, are one document and stay alike; rows
     with the same doc_id and other texts are documents of their own, and so are rows with a null doc_id, which come
     before all others. A line that comes again within a document is removed there too.
     """
-    gone = repeated_lines(docs, min_similarity).groupBy("doc", "txt").agg(F.collect_set("line").alias("lines"))
+    gone = repeated_lines(docs, min_similarity, min_words).groupBy("doc", "txt").agg(F.collect_set("line").alias("lines"))
     d, t, lines = (fresh(docs, n) for n in ("__doc", "__txt", "__lines"))
     both = docs.join(gone.toDF(d, t, lines), docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left")
     left = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines), i))

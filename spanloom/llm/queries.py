@@ -15,7 +15,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

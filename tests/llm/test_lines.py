@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.llm import lines as L
+from spanloom.llm.queries import op2_line_dedup
 
 VOCAB = ["".join(random.Random(i).choices("abcdefgh", k=5)) for i in range(2000)]
 
@@ -159,3 +160,13 @@ def test_recall_of_pairs_just_above_the_similarity(words, changed):
     got = {(min(a, b), max(a, b)) for k, a, b in zip(*(met[c].to_pylist() for c in ("key", "a", "b"))) if k < 0}
     want = {(2 * i, 2 * i + 1) for i in range(400) if L.similarity(plain(rows[2 * i]), plain(rows[2 * i + 1])) >= 0.9}
     assert len(want) == 400 and len(want & got) >= 0.93 * len(want)
+
+
+def test_short_lines_and_scripts_without_spaces(spark, docs, tmp_path):
+    """The query removes exact repeats of any length, and near copies where white space doesn't part words."""
+    han = "".join(chr(0x4E00 + random.Random(7).randrange(9000) + k) for k in range(40))
+    thai = "".join(chr(0x0E01 + k) for k in random.Random(8).choices(range(40), k=30))
+    rows = [f"All rights reserved.\na0\n{han}", f"ALL RIGHTS RESERVED\na1\n{han[:20]}一{han[21:]}", f"a2\n...\n{thai}", f"a3\n...\n\nHome\n{thai}", "Home\na4\nAll rights"]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: rows[0], 1: "a1", 2: rows[2], 3: "a3\n...\n\nHome", 4: "a4\nAll rights"}

@@ -6,8 +6,11 @@ which every run of l segments differs in at most l * k / m bits. Documents meet
 they share bit by bit; there, the runs that begin with the shared segment are held against that budget, and only
 pairs that stay within it get the full Hamming check.
 
-A start without any difference isn't certain when k >= m, so the search is approximate: with words changed in about 4
-per cent of places, a segment is shared with a probability of 0.15 to 0.25, and one of 24 by more than 0.95 of pairs.
+A start without any difference isn't certain when k >= m: with words changed in about 4 per cent of places, a segment is
+shared with a probability of 0.15 to 0.25, and one of 24 by more than 0.95 of pairs, but at 14 per cent by 0.7. So
+documents also meet in the buckets of 8 bands, each of 5 least hashes of the set of words; there, pairs get the full
+Hamming check at once. A pair with a Jaccard similarity of 0.75 shares a band with a probability of 0.88. The search stays
+approximate.
 In a bucket each signature is compared with the leaders (those that matched none before) instead of with all others:
 work in a bucket of copies is linear in its size. Random meetings grow with the square of
 the number of distinct signatures over 2 ** SEGMENT.
@@ -30,17 +33,39 @@ SEGMENTS = WORDS * PER_WORD
 USED = np.uint64((1 << PER_WORD * SEGMENT) - 1)
 PART = np.uint64((1 << SEGMENT) - 1)
 MAX_DISTANCE, CHAIN = 72, 6
+BANDS, ROWS, BAND_BITS = 8, 5, 27  #: bands of least hashes; their keys begin above those of segments
+FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(GOLDEN)).reshape(BANDS, ROWS) | np.uint64(1)
 SEEDS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(GOLDEN)
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows of 8 words, whether the text has any word). Ties between ones and zeros count as zero."""
+    sigs, _, some = signed(texts)
+    return sigs, some
+
+
+def signed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of 8 words, rows of BANDS keys, whether the text has any word)."""
     codes, offsets, distinct = words(texts)
     of, forms = plain(distinct)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     word = of[codes]
-    sigs, n = sketch(doc[word >= 0], word[word >= 0], len(offsets) - 1, hashed(forms), WORDS, USED)
-    return sigs, n > 0
+    every = hashed(forms)
+    sigs, n = sketch(doc[word >= 0], word[word >= 0], len(offsets) - 1, every, WORDS, USED)
+    return sigs, bands(doc[word >= 0], word[word >= 0], len(offsets) - 1, every), n > 0
+
+
+def bands(doc: np.ndarray, word: np.ndarray, docs: int, base: np.ndarray) -> np.ndarray:
+    """Keys of BANDS buckets for each text, from pairs of a text and one of its words, sorted by text; 0 if it has none."""
+    out = np.zeros((docs, BANDS), np.int32)
+    begin = run_starts(doc)
+    if len(begin):
+        for j in range(BANDS):
+            key = np.full(len(begin), j + 1, np.uint64)
+            for factor in FACTORS[j]:
+                key = mix(key ^ np.minimum.reduceat((base * factor)[word], begin))
+            out[doc[begin], j] = (key >> np.uint64(64 - BAND_BITS)).astype(np.int32) | np.int32(j + 1 << BAND_BITS)
+    return out
 
 
 def hashed(forms: list[str]) -> np.ndarray:
@@ -103,7 +128,10 @@ def linked(key: np.ndarray, ids: np.ndarray, sigs: np.ndarray, k: int, chain: in
         rest = np.ones(len(active), bool)
         rest[starts] = False
         of, member = of[rest], active[rest]
-        hit = within(sigs[of], sigs[member], key[of] >> SEGMENT, k, chain)
+        ring = key[of] < 1 << BAND_BITS
+        hit = np.zeros(len(of), bool)
+        hit[ring] = within(sigs[of[ring]], sigs[member[ring]], key[of[ring]] >> SEGMENT, k, chain)
+        hit[~ring] = np.bitwise_count((sigs[of[~ring]] ^ sigs[member[~ring]]) & USED).sum(axis=1) <= k
         left.append(ids[of[hit]])
         right.append(ids[member[hit]])
         active = member[~hit]
@@ -114,16 +142,17 @@ def linked(key: np.ndarray, ids: np.ndarray, sigs: np.ndarray, k: int, chain: in
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in slices(batch.column(1)):
-            sigs, any_word = signatures(batch.column(1).slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(any_word)), binary(sigs[any_word].view(np.uint8))], ["id", "sig"])
+            sigs, keys, some = signed(batch.column(1).slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(some)), binary(sigs[some].view(np.uint8)), binary(keys[some].view(np.uint8))], ["id", "sig", "bands"])
 
 
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment: its place on the ring and its bits are the key of a bucket."""
+    """A row for each segment, whose place on the ring and bits are the key of a bucket, and for each band."""
     for batch in batches:
         sigs = fixed(batch.column(1), 64).view(np.uint64)
-        keys = np.stack([segment(sigs, j).astype(np.int32) | np.int32(j << SEGMENT) for j in range(SEGMENTS)], axis=1).ravel() if len(sigs) else np.zeros(0, np.int32)
-        at = pa.array(np.repeat(np.arange(len(sigs)), SEGMENTS))
+        own = fixed(batch.column(2), 4 * BANDS).view(np.int32)
+        keys = np.concatenate([np.stack([segment(sigs, j).astype(np.int32) | np.int32(j << SEGMENT) for j in range(SEGMENTS)], axis=1), own], axis=1).ravel() if len(sigs) else np.zeros(0, np.int32)
+        at = pa.array(np.repeat(np.arange(len(sigs)), SEGMENTS + BANDS))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["key", "id", "sig"])
 
 
@@ -163,10 +192,10 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, chain: in
     exact copy. No table yields no rows; other columns aren't read.
     """
     # the signatures are used twice, as groups and as members of them: computed once
-    sigs = checkpoint(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null").mapInArrow(sign, "id long, sig binary"))
-    first = sigs.groupBy("sig").agg(F.min("id").alias("first"))
-    same = sigs.join(first, "sig").where("id <> first").select("first", "id")
-    buckets = first.select(F.col("first").alias("id"), "sig").mapInArrow(spread, "key int, id long, sig binary")
+    sigs = checkpoint(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null").mapInArrow(sign, "id long, sig binary, bands binary"))
+    first = sigs.groupBy("sig", "bands").agg(F.min("id").alias("first"))
+    same = sigs.join(first, ["sig", "bands"]).where("id <> first").select("first", "id")
+    buckets = first.select(F.col("first").alias("id"), "sig", "bands").mapInArrow(spread, "key int, id long, sig binary")
     near = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(link(max_distance, chain), "a long, b long")
     return stars(near.union(same)).select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -124,3 +125,22 @@ def test_stars(spark):
                 todo += near[x]
     got = {x.node: x.root for x in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k != v}
+
+
+@pytest.mark.parametrize("share", [0.08, 0.1, 0.12, 0.14])
+@pytest.mark.parametrize("n", [100, 400])
+def test_pairs_recall_of_more_changes(share, n):
+    """Of all pairs within the distance, at least 0.9 are linked, whatever the share of changed words."""
+    base = [text(i, n) for i in range(300)]
+    rows = base + [changed(t, i, share) for i, t in enumerate(base)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(rows)], ["id", "text"])
+    signed = pa.Table.from_batches(list(simhash.sign(iter([batch])))).combine_chunks()
+    sigs = simhash.fixed(signed["sig"], 64).view(np.uint64)
+    near = np.bitwise_count(sigs[:300] ^ sigs[300:]).sum(axis=1) <= simhash.MAX_DISTANCE
+    buckets = pa.Table.from_batches(list(simhash.spread(iter(signed.to_batches())))).sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
+    linked = pa.Table.from_batches(list(simhash.link(simhash.MAX_DISTANCE, simhash.CHAIN)(iter(buckets.to_batches()))))
+    got = set(zip(linked["a"].to_pylist(), linked["b"].to_pylist()))
+    hit = np.array([(i, i + 300) in got for i in range(300)])
+    print(share, n, near.sum(), hit.sum() / near.sum())
+    assert near.sum() > 100 and not (hit & ~near).any()
+    assert hit.sum() >= 0.9 * near.sum()

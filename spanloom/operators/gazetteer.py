@@ -1,7 +1,7 @@
 """Dictionary matching: keys, variants, boundaries, ambiguity, taxa, mapped references.
 
-A gazetteer is a table (id, name) with more columns at will. Two ways to match it: match_tokens joins it with runs of up
-to a few pieces of text, all in the JVM, any size of dictionary; match_everywhere finds keys at every position with an
+A gazetteer is a table (id, name) with more columns at will. Two ways to match it: match_tokens joins it with runs of
+pieces of text, all in the JVM, any size of dictionary; match_everywhere finds keys at every position with an
 Aho-Corasick automaton in Arrow batches.
 """
 
@@ -91,16 +91,25 @@ def is_boundary(text: str, at: int) -> bool:
     return True
 
 
-def match_tokens(docs: DataFrame, gazetteer: DataFrame, case_sensitive: bool = False, most_words: int = 1) -> DataFrame:
+def name_sizes(gazetteer: DataFrame) -> list[int]:
+    """The numbers of words that names have, sorted."""
+    n = gazetteer.select(F.size(F.regexp_extract_all("name", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("n"))
+    return sorted(r.n for r in n.where("n > 0").distinct().collect())
+
+
+def match_tokens(docs: DataFrame, gazetteer: DataFrame, case_sensitive: bool = False, most_words: int | None = 1) -> DataFrame:
     """(doc_id, begin, end, match, *gazetteer) wherever a key is a run of 1 to most_words words of the text and what is between.
 
+    Without most_words, runs have the numbers of words that the names have, which are read from the dictionary first.
     The dictionary joins on its key: broadcast by the planner if its statistics say it is small, shuffled otherwise.
     """
     own = pieces(docs, WORDS)
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, 2 * most_words - 2)
-    if most_words > 1:
+    sizes = name_sizes(gazetteer) if most_words is None else list(range(1, most_words + 1))
+    if sizes and sizes[-1] > 1:
+        w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, 2 * sizes[-1] - 2)
         own = own.withColumn("run", F.collect_list("text").over(w))
-        runs = F.transform(F.sequence(F.lit(1), F.size("run"), F.lit(2)), lambda n: F.array_join(F.slice("run", F.lit(1), n), ""))
+        ends = F.filter(F.array(*(F.lit(2 * n - 1) for n in sizes)), lambda n: n <= F.size("run"))
+        runs = F.transform(ends, lambda n: F.array_join(F.slice("run", F.lit(1), n), ""))
     else:
         runs = F.array("text")
     own = own.where(F.col("text").rlike(r"^[\p{L}\p{N}]")).select("doc_id", "begin", F.explode(runs).alias("match"))

@@ -65,7 +65,7 @@ def grep_sentences(docs: DataFrame, resource: list[tuple[str, list[tuple[str, st
 
 def match_taxa(docs: DataFrame, species: DataFrame, stop: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
     """match: species mentions (doc_id, begin, end, match, taxon, confidence); species: (id, name, prob), stop: (id, name) not to be taken."""
-    own = gazetteer.match_tokens(docs, species, most_words=3)
+    own = gazetteer.match_tokens(docs, species, most_words=None)
     if stop is not None:
         s = stop.select(F.col("id").alias("_i"), F.lower("name").alias("_n"))
         own = own.join(s, (F.col("id") == F.col("_i")) & (F.lower("match") == F.col("_n")), "left_anti")
@@ -89,7 +89,7 @@ def normalize(docs: DataFrame, genes: DataFrame, o: Options = Options(), taxa: D
     taxa restricts documents to the taxa they mention; references map ids; counts are (links, symbols, references) of the
     features.
     """
-    own = gazetteer.match_tokens(docs, gazetteer.with_greek(genes), most_words=2)
+    own = gazetteer.match_tokens(docs, gazetteer.with_greek(genes), most_words=None)
     own = gazetteer.best_names(own.dropDuplicates(["doc_id", "begin", "end", "id"]), genes, least=o.minimum_similarity)
     if taxa is not None:
         own = gazetteer.in_taxa(own, taxa)

@@ -58,3 +58,13 @@ def test_stream(spark, tmp_path):
     gaz = genes(spark).select("id", "name")
     stream.start(stream.mentions(stream.raw_documents(spark, f"{tmp_path}/in"), gaz), f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination()
     assert [r.match for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["alpha"]
+
+
+def test_names_of_many_words(spark):
+    text = "Tumor necrosis factor alpha and the IL-2 receptor of Escherichia coli str. K-12 substr. MG1655, not tumor necrosis."
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    g = spark.createDataFrame([("1", "9606", "tumor necrosis factor alpha"), ("2", "9606", "IL-2 receptor"), ("3", "9606", None)], "id string, taxon string, name string")
+    assert sorted((r.begin, r.end, r.id) for r in P.normalize(d, g).collect()) == [(0, 27, "1"), (36, 49, "2")]
+    species = spark.createDataFrame([("511145", "Escherichia coli str. K-12 substr. MG1655", 0.9)], "id string, name string, prob double")
+    assert [(r.begin, r.taxon) for r in P.match_taxa(d, species).collect()] == [(53, "511145")]
+    assert P.normalize(d, g.where("name is null")).collect() == []

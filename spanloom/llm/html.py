@@ -9,6 +9,7 @@ the whole page as context. It learns from pages that say where their content is
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -21,12 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import plain, slices, sums, words
 
-#: About how many pages the fit reads, chosen by a hash of page_id; longer ones aren't learnt from.
-TRAIN_PAGES, TRAIN_CHARS = 500, 100_000
+#: About how many pages the fit reads, chosen by a hash of page_id, and about how many characters they have together.
+TRAIN_PAGES, TRAIN_CHARS = 500, 20_000_000
+#: Names of a block's tag path that its vector is the mean of: the innermost ones, so that deep nesting stays linear.
+PATH = 32
 EPOCHS, SEED = 10, 7
 WORD_ROWS, TAG_ROWS, D, H = 4096, 512, 24, 16
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Every alternative that begins to match ends with a match, at the end of the page at the latest: the scan is linear. Quotes
+#: count after "=" only; one that isn't closed takes the rest, as in browsers.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -46,6 +51,7 @@ def blocks(html: str) -> tuple[str, list[Block]]:
     """(title, blocks). Unclosed and unopened tags, comments, scripts and a cut end are taken as browsers take them, roughly."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked, links, title = 0, 0, ""
 
@@ -54,12 +60,17 @@ def blocks(html: str) -> tuple[str, list[Block]]:
         own = SPACE.sub(" ", unescape("".join(text))).strip()
         text.clear()
         if own:
-            if any(t == "title" for t, _ in stack):
+            if opened["title"]:
                 title = title or own
-            elif not any(t == "head" for t, _ in stack):
-                found.append(Block(own, tuple(n for _, names in stack for n in names), linked))
+            elif not opened["head"]:
+                found.append(Block(own, tuple(n for _, names in stack[-PATH:] for n in names)[-PATH:], linked))
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -75,17 +86,19 @@ def blocks(html: str) -> tuple[str, list[Block]]:
             continue
         flush()
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
         elif tag not in VOID and not m[4].rstrip().endswith("/"):
             if tag == "body":
                 stack = [s for s in stack if s[0] not in ("head", "title")]
+                opened["head"] = opened["title"] = 0
             for_ = CLOSES.get(tag, ())
             while stack and stack[-1][0] in for_:
-                stack.pop()
+                pop()
             names = [n for x in NAMED.finditer(m[4]) for n in (x[1] or x[2] or x[3] or "").lower().split()]
             stack.append((tag, (tag, *names)))
+            opened[tag] += 1
     text.append(html[at:])
     flush()
     return title, found
@@ -120,7 +133,8 @@ class Features:
         self.words = rows[keep]
         self.word_ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
         paths = [[t for t in b.path if t not in CONTENT | REST] if hide is not None and h else b.path for b, h in zip(own, np.repeat(hide, n) if hide is not None else np.zeros(len(own)))]
-        self.tags = np.array([xxhash.xxh3_64_intdigest(t) % TAG_ROWS for p in paths for t in p], np.int64)
+        rows = {t: xxhash.xxh3_64_intdigest(t) % TAG_ROWS for t in set().union(*paths)}
+        self.tags = np.fromiter((rows[t] for p in paths for t in p), np.int64)
         self.tag_ends = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int64)
         self.numbers = numbers(own, np.arange(len(own)) - np.repeat(self.pages[:-1], n), np.repeat(n, n)) if own else np.zeros((0, 6))
 
@@ -234,11 +248,11 @@ class Labeller:
         return self
 
 
-def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Labeller:
-    """Fits to about sample pages. Rows with a null page_id or html don't count."""
+def train(pages: DataFrame, sample: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> Labeller:
+    """Fits to about sample pages of about chars characters at most, drawn whatever their length. Rows with a null page_id or html don't count."""
     have = pages.where("page_id is not null and html is not null").select(F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)).alias("at"), "html")
-    n = have.count()
-    rows = have.where((F.col("at") < int((1 << 30) * min(1.0, sample / max(n, 1)))) & (F.length("html") <= TRAIN_CHARS)).collect()
+    n, size = have.agg(F.count("*"), F.coalesce(F.sum(F.length("html")), F.lit(0))).first()
+    rows = have.where(F.col("at") < int((1 << 30) * min(1.0, sample / max(n, 1), chars / max(size, 1)))).collect()
     return Labeller().fit([blocks(r.html)[1] for r in sorted(rows)])
 
 

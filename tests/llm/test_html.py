@@ -1,7 +1,10 @@
+import math
 import random
+import time
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import html as H
@@ -29,6 +32,48 @@ def test_blocks():
     assert H.blocks("") == ("", []) and H.blocks("just text")[1][0].text == "just text"
 
 
+def test_long_pages_take_linear_time():
+    """Quotes that never close, tags that are never closed or never were opened: a megabyte each."""
+    for own in ("<a " * 330_000 + '"', '<a b="' * 170_000, "<p class='x" * 90_000, "<div>x" * 170_000, "<div>" * 100_000 + "</p>" * 100_000, "</script" + " " * 10**6, "<" * 10**6, "<script" * 140_000, "<!-- " * 200_000):
+        began = time.perf_counter()
+        _, got = H.blocks(own)
+        H.Features([got])
+        assert time.perf_counter() - began < 8
+    assert [b.text for b in H.blocks("<p title=it's>it's<p>a \"b\" c<a href='x>y'>d</a><i e=\"f>g")[1]] == ["it's", 'a "b" cd']
+
+
+def brute_lstm(m, x, d):
+    """States of one page, by loops over single numbers."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    h, c, out = [0.0] * H.H, [0.0] * H.H, []
+    for row in x:
+        a = [sum(row[i] * m.p[d + "x"][i, j] for i in range(H.D)) + sum(h[i] * m.p[d + "h"][i, j] for i in range(H.H)) + m.p[d + "b"][j] for j in range(4 * H.H)]
+        c = [sig(a[H.H + j]) * c[j] + sig(a[j]) * math.tanh(a[3 * H.H + j]) for j in range(H.H)]
+        h = [sig(a[2 * H.H + j]) * math.tanh(c[j]) for j in range(H.H)]
+        out.append(h)
+    return out
+
+
+def test_scores_against_a_plain_network():
+    """Whole pages: vectors of hashed words and paths, both directions and the output, one block at a time."""
+    pages = [H.blocks(page(i)[0])[1] for i in range(3)] + [[]]
+    m = H.Labeller()
+    got = m.score(H.Features(pages))
+    want = []
+    for own in pages:
+        x = []
+        for k, b in enumerate(own):
+            ws = [w for w in ("".join(ch for ch in t.lower() if ch.isalnum()) for t in b.text.split()) if w]
+            v = sum((m.p["word"][xxhash.xxh3_64_intdigest(w) % H.WORD_ROWS] for w in ws), np.zeros(H.D)) / max(1, len(ws))
+            v = v + sum((m.p["tag"][xxhash.xxh3_64_intdigest(t) % H.TAG_ROWS] for t in b.path), np.zeros(H.D)) / max(1, len(b.path))
+            size = len(b.text)
+            f = [math.log1p(size) / 8, b.linked / size, sum(ch in ".,;:!?" for ch in b.text) / size * 10, float(b.text[-1] in ".!?:"), k / len(own), len(b.path) / 8]
+            x.append(v + sum(n * m.p["number"][i] for i, n in enumerate(f)))
+        ahead, behind = brute_lstm(m, x, "f"), brute_lstm(m, x[::-1], "b")[::-1]
+        want += [1 / (1 + math.exp(-(np.dot(a, m.p["out"][: H.H]) + np.dot(b, m.p["out"][H.H :]) + m.p["bias"][0]))) for a, b in zip(ahead, behind)]
+    assert got.tolist() == pytest.approx(want)
+
+
 def test_gradients():
     r = random.Random(0)
     pages = [H.blocks(page(i)[0])[1] for i in range(3)]

@@ -3,7 +3,9 @@
 Every training text is cut into windows of twice the longest item's words, one such length apart, so that some window
 holds any passage as long as an item whole. A window is a query; an item's score is divided by the score that its own
 words would get, so that a window with all of them has 1. All items at or above the threshold are retrieved, and stay
-if the window repeats enough word trigrams of the item's question and of its answer.
+if the window repeats enough word trigrams of the item's question and of its answer. Of a part with fewer than SHORT words
+single words count, and then trigrams of the item as a whole too. An item of fewer than SHORT words in all is no evidence
+within a text: it is found where a text consists of it.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ THRESHOLD, MIN_QUESTION, MIN_ANSWER = 0.6, 0.5, 0.5
 BLOCK = 8
 #: Items of one broadcast index. A larger benchmark has several, each searched with every window.
 SHARD_ITEMS = 100_000
-NGRAM = 3
+NGRAM, SHORT = 3, 6
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -51,10 +55,19 @@ def ngrams(own: list[str], n: int = NGRAM) -> set[tuple[str, ...]]:
     return {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
 
 
-def overlap(own: list[str], passage: list[str]) -> float:
+def overlap(own: list[str], passage: list[str], n: int = NGRAM) -> float:
     """The share of the n-grams of own in passage; a part without words is there in any."""
-    mine = ngrams(own)
-    return len(mine & ngrams(passage, min(NGRAM, len(own)))) / len(mine) if mine else 1.0
+    mine = ngrams(own, n)
+    return len(mine & ngrams(passage, min(n, len(own)))) / len(mine) if mine else 1.0
+
+
+def overlaps(question: list[str], answer: list[str], passage: list[str], text: list[str] | None) -> tuple[float, float, float]:
+    """(question, answer, the lesser share that the item as a whole must reach) in a passage; text: the words of the whole text if it has no others."""
+    if len(question) + len(answer) < SHORT:
+        same = float(text == question + answer)
+        return same, same, same
+    q, a = (overlap(x, passage, 1 if len(x) < SHORT else NGRAM) for x in (question, answer))
+    return q, a, overlap(question + answer, passage) if min(len(question), len(answer)) < SHORT else 1.0
 
 
 @dataclass
@@ -75,27 +88,33 @@ class Index:
     impacts: np.ndarray
 
 
-def build(items: Iterable[tuple[int, str]], shard: int = SHARD_ITEMS) -> list[Index]:
-    """Indexes of at most shard items each, with the statistics of all. An item without an id or a word is left out, a repeated one too."""
-    rows: list[tuple[int, list[str], list[str]]] = []
-    seen, df, total = set(), Counter(), 0
-    for i, text in items:
-        if i is None or text is None or (i, text) in seen:
-            continue
-        seen.add((i, text))
-        q, a = parts(text)
-        if q or a:
-            rows.append((i, q, a))
-            df.update({*q, *a})
-            total += len(q) + len(a)
-    longest = max((len(q) + len(a) for _, q, a in rows), default=1)
-    found = []
-    for lo in range(0, len(rows), shard):
-        own = rows[lo : lo + shard]
+def build(items: Iterable[tuple[int, str]], shard: int = SHARD_ITEMS) -> Iterator[Index]:
+    """Indexes of at most shard items each, one at a time, with the statistics of all: items are iterated over twice.
+
+    An item without an id or a word is left out, a repeated one too.
+    """
+
+    def rows() -> Iterator[tuple[int, list[str], list[str]]]:
+        seen = set()
+        for i, text in items:
+            if i is None or text is None or (key := xxhash.xxh3_128_intdigest(f"{i} {text}")) in seen:
+                continue
+            seen.add(key)
+            q, a = parts(text)
+            if q or a:
+                yield i, q, a
+
+    df: Counter[str] = Counter()
+    many, total, longest = 0, 0, 1
+    for _, q, a in rows():
+        df.update({*q, *a})
+        many, total, longest = many + 1, total + len(q) + len(a), max(longest, len(q) + len(a))
+    left = rows()
+    while own := list(islice(left, shard)):
         terms: dict[str, int] = {}
         entries = []
         for at, (_, q, a) in enumerate(own):
-            impact = {t: math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * (len(q) + len(a)) * len(rows) / total)) for t, n in Counter(q + a).items()}
+            impact = {t: math.log(1 + (many - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * (len(q) + len(a)) * many / total)) for t, n in Counter(q + a).items()}
             whole = sum(impact.values())
             entries += [(terms.setdefault(t, len(terms)), at, x / whole) for t, x in impact.items()]
         entries.sort()
@@ -103,8 +122,17 @@ def build(items: Iterable[tuple[int, str]], shard: int = SHARD_ITEMS) -> list[In
         starts = run_starts(term, item // BLOCK)
         begin = np.searchsorted(term[starts], np.arange(len(terms) + 1))
         tops = np.maximum.reduceat(impact, starts)
-        found.append(Index([r[0] for r in own], [r[1] for r in own], [r[2] for r in own], longest, terms, np.maximum.reduceat(tops, begin[:-1]), item[starts] // BLOCK, tops, begin, np.append(starts, len(term)), item, impact))
-    return found
+        yield Index([r[0] for r in own], [r[1] for r in own], [r[2] for r in own], longest, terms, np.maximum.reduceat(tops, begin[:-1]), item[starts] // BLOCK, tops, begin, np.append(starts, len(term)), item, impact)
+
+
+class Items:
+    """The items of a benchmark table, read anew for each iteration, a partition at a time."""
+
+    def __init__(self, benchmark: DataFrame):
+        self.rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+
+    def __iter__(self) -> Iterator[tuple[int, str]]:
+        return map(tuple, self.rows.toLocalIterator())
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +202,8 @@ class Searcher:
             for w, item, score in zip(*(x.tolist() for x in self.retrieve(key >> 32, key & 0xFFFFFFFF, len(lo[some])))):
                 if w != before:
                     passage, before = [forms[i] for i in form[lo[first + w] : hi[first + w]].tolist()], w
-                q, a = overlap(self.index.question[item], passage), overlap(self.index.answer[item], passage)
-                if q >= self.least[0] and a >= self.least[1]:
+                q, a, both = overlaps(self.index.question[item], self.index.answer[item], passage, passage if windows[row[first + w]] == 1 else None)
+                if q >= self.least[0] and a >= self.least[1] and both >= min(self.least):
                     k = (int(row[first + w]), item)
                     best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (score, q, a))
         return [(*k, *v) for k, v in sorted(best.items())]
@@ -185,9 +213,9 @@ _searchers: dict[str, Searcher] = {}
 
 
 def _shards(docs: DataFrame, benchmark: DataFrame, threshold: float, min_question: float, min_answer: float):
-    """For each index, a function that gives the Searcher in a Python worker."""
+    """For each index, a function that gives the Searcher in a Python worker. The driver holds one index at a time, and the number of items of each term."""
     spark = docs.sparkSession
-    for index in build(((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator())):
+    for index in build(Items(benchmark)):
         shared = spark.sparkContext.broadcast(index)
         tag = f"{spark.sparkContext.applicationId}:{shared._jbroadcast.id()}:{threshold}:{min_question}:{min_answer}"
 
@@ -206,7 +234,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
 
     The best window counts, by score, then overlaps. Null and empty texts hold no item; a row with a null doc_id is
     reported with it; repeated rows are, each. Items without an id or a word are left out, the same item given
-    twice counts once, an empty benchmark finds nothing. Texts are searched whole, other columns aren't read.
+    twice counts once, one of fewer than SHORT words is found in texts that consist of it alone, an empty benchmark finds
+    nothing. Texts are searched whole, other columns aren't read.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

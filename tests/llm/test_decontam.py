@@ -62,8 +62,8 @@ def test_leaks_found_and_clean_left(spark, docs):
 def test_shards_agree(spark, docs, monkeypatch):
     texts = [ITEMS[i][1] + " " + ITEMS[i + 1][1] for i in range(30)]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    one = D.build(ITEMS)
-    many = D.build(ITEMS, 7)
+    one = list(D.build(ITEMS))
+    many = list(D.build(ITEMS, 7))
     assert len(one) == 1 and len(many) == 9
     for s in (D.Searcher(i, 0.6, 0.5, 0.5) for i in many):
         assert s.width == D.Searcher(one[0], 0.6, 0.5, 0.5).width
@@ -82,6 +82,19 @@ def test_answer_must_be_there(spark, docs):
     assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs(rows), bench).collect()) == [(1, 1), (2, 2)]
 
 
+def test_short_items_and_short_answers(spark, docs):
+    """Items of a few words are found in texts of nothing else; a short answer may have a word changed."""
+    items = [(1, "the"), (2, "weather report"), (3, "Is it raining?"), (4, "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu."), (5, "Sum of one and two? Three Ñ.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        "a report on the weather in the north", "The", "is it raining", "is it raining today", "Weather, report!", "weather report weather report",
+        "x alpha beta gamma delta epsilon zeta eta theta iota kappa CHANGED mu y", "x alpha beta gamma delta epsilon zeta eta theta y", "sum of one and two three ñ", "one sum and three of two", "three of them and one sum",
+    ]
+    got = sorted((r.doc_id, r.item_id) for r in D.leaks(docs(rows), bench).collect())
+    assert got == [(1, 1), (2, 3), (4, 2), (6, 4), (8, 5)]
+    assert sorted(r.doc_id for r in D.drop_leaks(docs(rows), bench).collect()) == [0, 3, 5, 7, 9, 10]
+
+
 def test_edge_cases(spark, docs):
     bench = spark.createDataFrame([(1, "Alpha beta gamma delta. Epsilon zeta eta."), (1, "Alpha beta gamma delta. Epsilon zeta eta."), (None, "x y z"), (3, None), (4, ""), (5, "...")], "item_id long, text string")
     hit = "alpha beta gamma delta epsilon zeta eta"

@@ -14,15 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, plain, run_starts, slices, sums, words
+from .common import Memo, checkpoint, plain, run_starts, slices, sums, words
 
-#: About how many labelled documents the fit reads, chosen by a hash of doc_id.
-TRAIN_DOCS = 12_000
-MIN_DOCS = 5  #: a word in fewer of them has no weight
+#: About how many labelled documents the fit reads, chosen by a hash of doc_id, and how many characters they have at most.
+TRAIN_DOCS, TRAIN_CHARS = 12_000, 100_000_000
+MIN_DOCS = 5  #: a word in fewer of them has no weight: too few to tell it from chance
 BEGINNINGS = range(3, 9)
 #: Steps of the fit, their size, and how many documents' worth of evidence a feature must bring before it has a weight.
 STEPS, RATE, EVIDENCE = 200, 0.1, 1.5
@@ -46,6 +45,8 @@ def sentences_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, p
     """(code of each token, offsets of the sentences' tokens, offsets of the texts' sentences, distinct tokens). A line's end is a sentence's too."""
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     codes, offsets, distinct = words(lines.flatten())
+    keep = codes != pc.index(distinct, "").as_py()  # what an empty line has for a token
+    codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
     ends = np.zeros(len(codes), bool)
     ends[offsets[1:][np.diff(offsets) > 0] - 1] = True
     ends |= stops(distinct)[codes] if len(codes) else False
@@ -94,79 +95,127 @@ def _parts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield sentence, word[word >= 0], np.diff(docs), forms
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = MIN_DOCS, steps: int = STEPS) -> Model:
-    """Gradient descent (Adam) on the likelihood of the documents' labels, first with an absolute penalty, which leaves few
-    features a weight, then without it.
+def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, docs) of the texts in the column text: in how many each feature is."""
+    for batch in batches:
+        for sentence, word, n, forms in _parts(batch.column("text")):
+            own = [features(form) for form in forms]
+            names: dict[str, int] = {}
+            feature = np.fromiter((names.setdefault(f, len(names)) for x in own for f in x), np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)[sentence]
+            key = np.sort((doc << 32) | word)
+            key = key[run_starts(key)]  # each document's distinct words
+            at, place = ranges(ends[key & 0xFFFFFFFF], ends[(key & 0xFFFFFFFF) + 1])
+            key = np.sort((key[at] >> 32 << 32) | feature[place])
+            many = np.bincount(key[run_starts(key)] & 0xFFFFFFFF, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(many, pa.int64())], ["feature", "docs"])
 
-    Two passes over the texts, some at a time: the first counts documents of hashed features, the second keeps those
-    of features that can be frequent enough, so that rare ones take no memory.
-    """
-    some = np.zeros(1 << 22, np.int32)
-    for sentence, word, n, forms in _parts(texts):
-        own = [[xxhash.xxh3_64_intdigest(f) & (len(some) - 1) for f in features(form)] for form in forms]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-        feature = np.array([f for x in own for f in x], np.int64)
-        doc = np.repeat(np.arange(len(n)), n)[sentence]
-        key = np.sort((doc << 32) | word)
-        key = key[run_starts(key)]  # each document's distinct words
-        at, place = ranges(ends[key & 0xFFFFFFFF], ends[(key & 0xFFFFFFFF) + 1])
-        key = np.sort((key[at] >> 32 << 32) | feature[place])
-        some += np.bincount(key[run_starts(key)] & 0xFFFFFFFF, minlength=len(some)).astype(np.int32)
-    names: dict[str, int] = {}
+
+def encoded(known: set[str]):
+    """(doc, txt, toxic, sentences, forms, word, sentence): each text's words with a feature among the known, as int32 of their forms and sentences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for sentence, word, n, forms in _parts(batch.column("text")):
+                some = np.array([*(any(f in known for f in features(form)) for form in forms), False])
+                sentence, word = sentence[some[word]], word[some[word]]
+                first = np.concatenate([[0], np.cumsum(n)])
+                cuts = np.searchsorted(sentence, first)
+                rows = []
+                for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    own, code = np.unique(word[lo:hi], return_inverse=True)
+                    rows.append((int(n[i]), [forms[k] for k in own.tolist()], code.astype(np.int32).tobytes(), (sentence[lo:hi] - first[i]).astype(np.int32).tobytes()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(n)) for c in ("doc", "txt", "toxic")), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary())))], ["doc", "txt", "toxic", "sentences", "forms", "word", "sentence"])
+                at += len(n)
+
+    return run
+
+
+@dataclass
+class Evidence:
+    """What the fit knows of the documents: features of each form, tokens by form and sentence, sentences by document."""
+
+    names: list[str]
+    feature: np.ndarray
+    ends: np.ndarray  #: where each form's features begin
+    word: np.ndarray
+    sentence: np.ndarray
+    docs: np.ndarray  #: where each document's sentences begin
+    toxic: np.ndarray
+
+
+def gather(rows: list[tuple[int, int, list[str], bytes, bytes]], names: list[str]) -> Evidence:
+    """From (toxic, sentences, forms, word, sentence) of each document."""
+    place = {n: i for i, n in enumerate(names)}
     ids: dict[str, int] = {}
     lists: list[list[int]] = []
-    tokens, sentences_, sizes = [], [], []
-    base = 0
-    for sentence, word, n, forms in _parts(texts):
-        known = np.zeros(len(forms), np.int32)
-        for i, form in enumerate(forms):
-            if (k := ids.get(form)) is None:
-                k = ids[form] = len(ids)
-                lists.append([names.setdefault(f, len(names)) for f in features(form) if some[xxhash.xxh3_64_intdigest(f) & (len(some) - 1)] >= min_docs])
-            known[i] = k
-        tokens.append(known[word] if len(forms) else word.astype(np.int32))
-        sentences_.append((sentence + base).astype(np.int32))
-        sizes.append(n)
-        base += int(n.sum())
+    tokens, sentences, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for _, n, forms, word, sentence in rows:
+        for form in forms:
+            if form not in ids:
+                ids[form] = len(ids)
+                lists.append([place[f] for f in features(form) if f in place])
+        own = np.fromiter((ids[f] for f in forms), np.int32, len(forms))
+        tokens.append(own[np.frombuffer(word, np.int32)])
+        sentences.append(np.frombuffer(sentence, np.int32) + np.int32(base))
+        base += n
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    feature = np.array([f for x in lists for f in x], np.int32)
-    forms = lists
-    word, sentence = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (tokens, sentences_))
-    docs = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
-    del tokens, sentences_, ids
-    doc = np.repeat(np.arange(len(docs) - 1, dtype=np.int32), np.diff(docs))
-    y = toxic.astype(bool)
-    if not y.any():
+    docs = np.concatenate([[0], np.cumsum([n for _, n, *_ in rows])]).astype(np.int64)
+    return Evidence(names, np.array([f for x in lists for f in x], np.int32), ends, np.concatenate(tokens), np.concatenate(sentences), docs, np.array([t for t, *_ in rows], bool))
+
+
+def slopes(w: np.ndarray, b: float, e: Evidence) -> tuple[float, np.ndarray, float]:
+    """(negative log likelihood of the documents' labels, its gradient by weights, by bias)."""
+    base = int(e.docs[-1])
+    z = np.bincount(e.sentence, sums(w[e.feature], e.ends)[e.word], base) + b
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    none = sums(np.log1p(-np.minimum(p, 1 - 1e-12)), e.docs)
+    clean = np.exp(none)  # the chance that no sentence is toxic
+    pull = np.where(e.toxic, -clean / np.maximum(1 - clean, 1e-12), 1.0)
+    g = p * np.repeat(pull, np.diff(e.docs))
+    gw = np.bincount(e.feature, np.repeat(np.bincount(e.word, g[e.sentence], len(e.ends) - 1), np.diff(e.ends)), len(e.names))
+    return float(-np.where(e.toxic, np.log(np.maximum(1 - clean, 1e-12)), none).sum()), gw, float(g.sum())
+
+
+def fit(e: Evidence, steps: int = STEPS) -> Model:
+    """Gradient descent (Adam) on the likelihood of the documents' labels, first with an absolute penalty, which leaves few
+    features a weight, then without it."""
+    many = len(e.toxic)
+    if not e.toxic.any():
         return Model({}, -30.0)
-    w, b = np.zeros(len(names)), -np.log(max(1.0, base / max(1, y.sum())))
-    m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
-    held, penalty = np.ones(len(names), bool), EVIDENCE
+    w, b = np.zeros(len(e.names)), -np.log(max(1.0, int(e.docs[-1]) / e.toxic.sum()))
+    m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
+    held, penalty = np.ones(len(w), bool), EVIDENCE
     for step in range(1, steps + 1):
         if step == steps * 3 // 5:  # what has a weight by now is fitted without the penalty
             held, penalty = np.abs(w) > 0.1, 0.1
             w = np.where(held, w, 0.0)
-        z = np.bincount(sentence, sums(w[feature], ends)[word], base) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(sums(np.log1p(-np.minimum(p, 1 - 1e-12)), docs))  # the chance that no sentence is toxic
-        pull = np.where(y, -clean / np.maximum(1 - clean, 1e-12), 1.0)
-        g = p * pull[doc] if len(doc) else p
-        gw = np.bincount(feature, np.repeat(np.bincount(word, g[sentence], len(forms)), np.diff(ends)), len(names))
-        gw, gb = held * (gw + penalty * np.tanh(20 * w)) / max(1, len(y)), g.sum() / max(1, len(y))
+        _, gw, gb = slopes(w, b, e)
+        gw, gb = held * (gw + penalty * np.tanh(20 * w)) / many, gb / many
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b -= RATE * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-8)
-    return Model({n: float(x) for n, x in zip(names, w) if abs(x) > 0.1}, float(b))
+    return Model({n: float(x) for n, x in zip(e.names, w) if abs(x) > 0.1}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model:
-    """Fits to about sample labelled documents, whole texts. A document with several labels is toxic if any says so; null labels, doc_ids and texts don't count."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
+    """Fits to about sample labelled documents of about chars characters at most, whole texts, drawn whatever their length.
+
+    Executors count features and encode the words that have a frequent one; no text reaches the driver. A document with
+    several labels is toxic if any says so; null labels, doc_ids and texts don't count.
+    """
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = own.count()
-    least = int((1 << 30) * min(1.0, sample / max(n, 1)))
-    pick = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) < least
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("text").isNotNull() & pick("doc"))
-    rows = texts.join(own.where(pick("id")), F.col("doc") == F.col("id")).select("doc", "text", "toxic").toArrow().sort_by([("doc", "ascending"), ("text", "ascending")])
-    return fit(pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string()), np.asarray(rows["toxic"]))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30))
+    least = int((1 << 30) * min(1.0, sample / max(own.count(), 1)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (at("doc") < least))
+    rows = checkpoint(texts.join(own.where(at("id") < least), F.col("doc") == F.col("id")).select("doc", F.xxhash64("text").alias("txt"), "toxic", "text"))
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    rows = rows.where(at("doc") < int(least * min(1.0, chars / max(size, 1))))
+    names = sorted(r.feature for r in rows.select("text").mapInArrow(feature_counts, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("feature").collect())
+    found = rows.mapInArrow(encoded(set(names)), "doc long, txt long, toxic int, sentences int, forms array<string>, word binary, sentence binary")
+    return fit(gather([tuple(r)[2:] for r in sorted(found.toLocalIterator(), key=lambda r: (r.doc, r.txt))], names))
 
 
 def detect(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

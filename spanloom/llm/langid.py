@@ -9,6 +9,7 @@ stands for texts in none of the languages.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,9 @@ from .common import Hashed, Memo, codepoints, plain, run_starts, slices, sums, w
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: About how many labelled documents of each language the fit reads, chosen by a hash of doc_id.
 TRAIN_DOCS = 1500
-#: Words longer than this many characters are scored like all others, but not learnt from.
-TRAIN_CHARS = 40
+#: Longer runs of letters, as in scripts without spaces, are learnt from in parts of so many characters, so that the sums of
+#: the fit stay within the range of floating point; they are scored whole.
+PART = 40
 ROUNDS = 3
 MIN_POSTERIOR = 0.5
 BASE = np.uint64(0x100000001B3)
@@ -114,8 +116,12 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     p = np.full((len(pieces) + 1, len(langs)), UNKNOWN)
     chars: set[str] = {"▁"}
     for j, lang in enumerate(langs):
-        forms = [w for w in sorted(counts[lang]) if w.isalpha() and len(w) <= TRAIN_CHARS]
-        weight = np.array([counts[lang][w] for w in forms], float)
+        own: Counter[str] = Counter()
+        for w, n in counts[lang].items():
+            for i in range(0, len(w) if w.isalpha() else 0, PART):
+                own[w[i : i + PART]] += n
+        forms = sorted(own)
+        weight = np.array([own[w] for w in forms], float)
         chars.update(*forms)
         found, offsets = lattice.of(forms)
         size = np.diff(offsets)
@@ -126,8 +132,8 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
             total = np.zeros(len(pieces) + 1)
             q[-1] = UNKNOWN
             for lo in range(0, len(forms), 20_000):
-                own = slice(lo, lo + 20_000)
-                start, n = offsets[:-1][own], size[own]
+                some = slice(lo, lo + 20_000)
+                start, n = offsets[:-1][some], size[some]
                 a, b = np.zeros((len(n), width + 1)), np.zeros((len(n), width + 1))
                 a[:, 0] = 1
                 b[np.arange(len(n)), n] = 1
@@ -142,7 +148,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
                             edges.append((t, k, rows, piece))
                 for t, k, rows, piece in reversed(edges):
                     b[rows, t - k] += b[rows, t] * q[piece]
-                z = weight[own] / np.maximum(a[np.arange(len(n)), n], 1e-300)
+                z = weight[some] / np.maximum(a[np.arange(len(n)), n], 1e-300)
                 for t, k, rows, piece in edges:
                     total += np.bincount(piece, a[rows, t - k] * q[piece] * b[rows, t] * z[rows], len(total))
             q = (total + 0.01) / (total + 0.01).sum()

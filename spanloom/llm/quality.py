@@ -84,17 +84,17 @@ def measure(texts: pa.Array, table: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, f) of each row, f the values of the rules; stratum is lang, "" if null or absent."""
+    """(doc_id, stratum, txt, f) of each row, f the values of the rules; stratum is lang, "" if null or absent; txt a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
         for batch in batches:
-            for lo, hi in slices(batch.column(2)):
-                f = measure(batch.column(2).slice(lo, hi - lo), table)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.ravel())], ["doc_id", "stratum", "f"])
+            for lo, hi in slices(batch.column(3)):
+                f = measure(batch.column(3).slice(lo, hi - lo), table)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.ListArray.from_arrays(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32), f.ravel())], ["doc_id", "stratum", "txt", "f"])
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stratum string, f array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"), F.xxhash64(F.col("text").cast("string")).alias("txt"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stratum string, txt long, f array<double>")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -125,9 +125,13 @@ def choose(histogram: dict[tuple[str, str], np.ndarray], alpha: float = ALPHA, d
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs from the labelled documents of features(). A document is good if all its labels, null ones aside, say quality 1; one with several rows counts once for each."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("good")).where("good = 1").select("id")
-    own = measured.join(good, F.col("doc_id") == F.col("id"))
+    """Cutoffs from the labelled documents of features().
+
+    Copies of a text are one draw, as the binomial test needs independent ones: a text is good if all labels of all its
+    documents, null ones aside, say quality 1.
+    """
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("good"))
+    own = measured.join(good, F.col("doc_id") == F.col("id")).groupBy("stratum", "txt").agg(F.min("good").alias("good"), F.first("f").alias("f")).where("good = 1")
 
     def exceeded(k: int, rule: str):
         return F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda c: F.col("f")[k] > c))

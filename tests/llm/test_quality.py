@@ -1,6 +1,7 @@
 import random
 from math import comb
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -48,8 +49,6 @@ def test_risk_is_controlled(spark, docs):
 
 def test_choice_is_valid_over_draws():
     """Over many holdouts, cutoffs that reject more than the share are chosen no oftener than delta."""
-    import numpy as np
-
     r = np.random.default_rng(1)
     wrong = 0
     for _ in range(200):
@@ -60,6 +59,16 @@ def test_choice_is_valid_over_draws():
     assert wrong <= 20
 
 
+def test_copies_are_one_draw(spark, docs):
+    """A text that a thousand labelled rows share counts once; one bad label makes it bad."""
+    rows = [(i, text(i, False)) for i in range(40)] + [(1000 + i, text(7, False)) for i in range(1000)] + [(5000 + i, text(9000, True)) for i in range(3)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows[:-1]] + [(5002, 0, 0)], "doc_id long, quality int, toxic int")
+    df = docs(rows)
+    once = Q.calibrate(Q.features(df.where("doc_id < 40")), labels)
+    assert Q.calibrate(Q.features(df), labels) == once  # forty good texts are too few to prove anything
+    assert once == {"en": {}} and Q.choose({("en", r): np.bincount([0] * 4000, minlength=len(c) + 1) for r, c in Q.RULES.items()})["en"]
+
+
 def test_edge_cases(spark, docs):
     rows = [(1, None), (2, ""), (None, "x"), (3, "%% " * 40), (3, "%% " * 40), (4, "a b c " * 80_000)]
     df = docs(rows, f=F.lit(1), stratum=F.lit("q"), keep=F.lit(False))

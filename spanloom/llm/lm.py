@@ -1,6 +1,7 @@
 """Language-model scores by deleted interpolation of character n-grams up to five.
 
-All documents are counted: nine in ten (by a hash of doc_id) give the maximum-likelihood estimates, the rest is held out.
+All documents are counted: nine in ten (by a hash of the text, so that copies stay together) give the maximum-likelihood
+estimates, the rest is held out.
 The estimate of each order is mixed with that of the order below, by a weight that depends on the order and on how often
 the context was seen (buckets of powers of two); expectation-maximisation on the held-out counts learns the weights. The
 lowest order is mixed with a uniform one. Letters are lower case, all ASCII digits are one character.
@@ -22,8 +23,9 @@ ORDER, BUCKETS, ROUNDS, HELD_OUT = 5, 24, 8, 10
 START = 2  #: code point before each text
 BITS = 12
 FLUSH = 3_000_000
-#: Distinct n-grams up to which each Python worker gets the model; beyond, the n-grams of documents are joined with it.
-BROADCAST_GRAMS = 20_000_000
+#: Distinct n-grams (16 bytes each) up to which each Python worker gets the model; beyond, the n-grams of documents are
+#: joined with it. Both look up the same numbers by the same hashes.
+BROADCAST_GRAMS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -143,7 +145,7 @@ def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def estimates(docs: DataFrame) -> DataFrame:
     """(gram, held, p1.., b1..) for every n-gram of ORDER characters of all documents: its estimates and the buckets of its contexts."""
-    held = (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).cast("int")
+    held = (F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(HELD_OUT)) == 0).cast("int")
     own = docs.select(held.alias("out"), F.col("text").cast("string").alias("text")).where("text is not null")
     grams = checkpoint(own.mapInArrow(count, "gram string, train long, held long").groupBy("gram").agg(F.sum("train").alias("train"), F.sum("held").alias("held")))
     out = grams
@@ -218,9 +220,13 @@ def score(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, rounds: int =
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(np.log(chain(*columns(batch), weights, base)[0]))], ["gram", "log"])
+            cp = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+            keys = np.zeros(len(cp), np.uint64)
+            for k in range(ORDER):
+                keys = keys * BASE + cp[:, k]
+            yield pa.RecordBatch.from_arrays([pa.array(mix(keys).view(np.int64)), pa.array(np.log(chain(*columns(batch), weights, base)[0]))], ["gram", "log"])
 
-    logs = table.mapInArrow(finish, "gram string, log double")
+    logs = table.mapInArrow(finish, "gram long, log double")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = table.count()
     scored = _by_broadcast(own, logs) if n <= broadcast_grams else _by_join(own, logs)
@@ -230,18 +236,14 @@ def score(docs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, rounds: int =
 def _by_broadcast(docs: DataFrame, logs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = logs.toArrow()
-    cp = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    keys = np.zeros(len(cp), np.uint64)
-    for k in range(ORDER):
-        keys = keys * BASE + cp[:, k]
-    shared = spark.sparkContext.broadcast((mix(keys), np.asarray(rows["log"]).astype(np.float32)))
+    shared = spark.sparkContext.broadcast((np.asarray(rows["gram"]).view(np.uint64), np.asarray(rows["log"])))
     tag = f"{spark.sparkContext.applicationId}:{shared._jbroadcast.id()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _models:
             _models.clear()
             keys, values = shared.value
-            _models[tag] = (Hashed(keys, 2), values.astype(np.float64))
+            _models[tag] = (Hashed(keys, 2), values)
         table, values = _models[tag]
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
@@ -258,20 +260,25 @@ _models: dict[str, tuple[Hashed, np.ndarray]] = {}
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, gram, n) of each text's distinct n-grams; row is (doc_id, hash of the text)."""
+    """(doc, txt, hash of an n-gram, n) of each text's distinct n-grams; txt is a hash of the text."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            counts = Counts()
-            cp, place, _ = characters(batch.column(2).slice(i, 1))
-            for part in [*counts.add(cp, place, np.zeros(len(place), np.int64)), *counts.flush()]:
-                k = part.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * k)), batch.column(1).take(pa.array([i] * k)), part.column(0), part.column(1)], ["doc", "txt", "gram", "n"])
+        for lo, hi in slices(batch.column(2)):
+            cp, place, offsets = characters(batch.column(2).slice(lo, hi - lo))
+            row, gram = np.repeat(np.arange(lo, hi), np.diff(offsets)), hashed(cp)[place - ORDER + 1].view(np.int64)
+            order = np.lexsort((gram, row))
+            row, gram = row[order], gram[order]
+            starts = run_starts(row, gram)
+            n = np.diff(np.append(starts, len(row)))
+            for first in range(0, len(starts), 50_000):
+                some = starts[first : first + 50_000]
+                at = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram[some]), pa.array(n[first : first + 50_000])], ["doc", "txt", "gram", "n"])
 
 
 def _by_join(docs: DataFrame, logs: DataFrame) -> DataFrame:
     """The same as _by_broadcast, by joins and sums; the way of a model too large for a worker."""
     own = docs.withColumn("txt", F.xxhash64("text"))
-    grams = own.select("doc_id", "txt", "text").distinct().where("text <> ''").mapInArrow(_grams, "doc long, txt long, gram string, n long")
+    grams = own.select("doc_id", "txt", "text").distinct().where("text <> ''").mapInArrow(_grams, "doc long, txt long, gram long, n long")
     total = grams.join(logs, "gram").groupBy("doc", "txt").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log")).alias("sum"))
     both = own.withColumnRenamed("txt", "t").join(total, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("txt")), "left")
     some = F.col("text").isNotNull()

@@ -66,14 +66,28 @@ def corpus(n=60):
 def test_against_brute_force(spark, docs, most):
     rows = corpus()
     df = docs(rows)
-    held = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id"), F.lit(lm.HELD_OUT)) == 0).collect()}
+    held = {r.doc_id for r in df.where(F.pmod(F.xxhash64("text"), F.lit(lm.HELD_OUT)) == 0).collect()}
     want = brute(rows, held)
     got = {r.doc_id: r for r in lm.score(df, most).collect()}
     assert len(got) == len(rows) and 1 < len(held) < 20
     for d, t in rows:
         assert got[d].n_chars == len(t)
-        assert got[d].log_prob == pytest.approx(want[d], rel=1e-4)
-        assert got[d].bits_per_char == pytest.approx(-want[d] / len(t) / math.log(2), rel=1e-4)
+        assert got[d].log_prob == pytest.approx(want[d], rel=1e-9)
+        assert got[d].bits_per_char == pytest.approx(-want[d] / len(t) / math.log(2), rel=1e-9)
+
+
+def test_both_ways_give_the_same(spark, docs):
+    rows = [*corpus(40), (100, "漢字 \U0001F600 " * 300), (101, "x"), (102, corpus(1)[0][1])]
+    one, two = ({r.doc_id: r.log_prob for r in lm.score(docs(rows), most).collect()} for most in (10**9, 0))
+    assert one.keys() == two.keys() and all(one[d] == pytest.approx(two[d], rel=1e-12) for d in one)
+
+
+def test_copies_are_held_out_together(spark, docs):
+    """All copies of a text are on one side, so weights aren't learnt on texts that were counted."""
+    rows = [(i, f"text number {i % 30} of thirty") for i in range(300)]
+    table = lm.estimates(docs(rows)).where("held > 0 and p5 > 0").collect()
+    held = {r.t for r in docs(rows).where(F.pmod(F.xxhash64("text"), F.lit(lm.HELD_OUT)) == 0).select(F.col("text").alias("t")).distinct().collect()}
+    assert 0 < len(held) < 30 and all(r.held % 10 == 0 for r in table)
 
 
 def test_junk_scores_worse(spark, docs):

@@ -1,12 +1,15 @@
 """Fuzzy line dedup: MinHash of normalised lines, bands of least hashes, edit similarity, one occurrence of each group.
 
-A line's words (lower case, letters and digits only; single letters in scripts without spaces, as Chinese or Thai) are its normal form. Lines of the same form are one; of those, the
-first stands for all. Counted words (the second place of a word is an element of its own) of two lines with an edit
+A line's words (lower case, letters and digits only; single letters in scripts without spaces, as Chinese or Thai) are its
+normal form. Lines of the same form are one; of those, the first stands for all. Counted words (the second place of a word is an element of its own) of two lines with an edit
 similarity of 0.9 have a Jaccard similarity of 9/11 at least. A signature has 8 bands, each of 5 least hashes, so such a
 pair shares one with a probability of 1 - (1 - (9/11) ** 5) ** 8 = 0.97, whatever the length. Lines meet in the buckets of
 the bands that they share, where all pairs are held against bounds that lose none. Those within fetch their words and
 stay if the edit similarity over words is high enough; in a hot bucket, lines fetch their words once for all pairs.
 Of a connected group, the first occurrence in the order of doc_id and line stays.
+
+SimHash isn't used here: one word of ten changes a seventh of its bits, so that no number of pigeonhole blocks that a line
+can be sent to finds nine in ten of such pairs.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, M1, binary, checkpoint, fixed, fresh, mix, plain, run_starts, slices, stars, sums, words, written
 from .simhash import hashed
 
-MIN_WORDS = 5  #: unless another floor is asked for; the query and the pipeline ask for 1
 MIN_SIMILARITY = 0.9
-BANDS, ROWS = 8, 5
+BANDS, ROWS, BAND_BYTES = 8, 5, 5
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(GOLDEN)).reshape(BANDS, ROWS) | np.uint64(1)
-MAX_DISTANCE = 14  #: of the 64 bits of meet()
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 HOT = 64  #: members of a bucket, above which its pairs are found with the words at hand
 LINE = "doc long, txt long, line int"
 
 
 def normal_lines(least: float, min_words: int):
-    """(h1, h2, doc, txt, line, n, sig) for each line of enough words of (doc, txt, text); no sig if only the same form can match."""
+    """(h1, h2, doc, txt, line, n, again, sig) for each line of enough words of (doc, txt, text); no sig if only the same form can match.
+
+    A line whose form a line before it has, in the order of (doc, txt, line) and among the texts that are read at once, is
+    there again whatever comes: it needs no sig, and gets a hash of its own for h1, so that a form that is everywhere
+    doesn't go to one task with all its occurrences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,18 +53,27 @@ def normal_lines(least: float, min_words: int):
                 place = (np.arange(len(word)) - begin[line]).astype(np.uint64) * np.uint64(GOLDEN)
                 every = hashed(forms)
                 base = every[word]
-                hashes = [sums(mix(base + place + np.uint64(seed)), begin).view(np.int64) for seed in (1, 2**40 + 1)]
-                keep = np.flatnonzero(n >= min_words)
+                keep = np.flatnonzero(n >= max(1, min_words))
                 if not len(keep):
                     continue
-                fuzzy = edits(n + 1, least) >= 1
-                fuzzy[n < min_words] = False
+                h1, h2 = (sums(mix(base + place + np.uint64(seed)), begin).view(np.int64)[keep] for seed in (1, 2**40 + 1))
+                row = (np.searchsorted(ends - ends[0], keep, side="right") - 1).astype(np.int64)
+                nth = (keep - (ends - ends[0])[row]).astype(np.int32)
+                doc, txt = (np.asarray(pc.fill_null(batch.column(i).slice(lo, hi - lo), -(2**63)))[row] for i in (0, 1))
+                order = np.lexsort((nth, txt, doc, h2, h1))
+                own = np.zeros((len(keep), 2), bool)  # the first with its place, the first with its form
+                own[order[run_starts(*(x[order] for x in (h1, h2, doc, txt, nth)))], 0] = True
+                own[order[run_starts(h1[order], h2[order])], 1] = True
+                own, first = own[own[:, 0], 1], own[:, 0]  # of identical rows, one
+                keep, row, nth, h1, h2, doc, txt = (x[first] for x in (keep, row, nth, h1, h2, doc, txt))
+                h1 = np.where(own, h1, mix(doc.view(np.uint64) + mix(txt.view(np.uint64) + nth.astype(np.uint64))).view(np.int64))
+                fuzzy = np.zeros(len(lines), bool)
+                fuzzy[keep[own]] = edits(n[keep[own]] + 1, least) >= 1
                 new = np.cumsum(fuzzy) - 1
                 sigs = signed(new[line[fuzzy[line]]], word[fuzzy[line]], int(fuzzy.sum()), every)
-                sig = binary(sigs.view(np.uint8)).take(pa.array(new[keep], mask=~fuzzy[keep]))
-                row = (np.searchsorted(ends - ends[0], keep, side="right") - 1).astype(np.int64)
                 at = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[0][keep]), pa.array(hashes[1][keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array((keep - (ends - ends[0])[row]).astype(np.int32)), pa.array(n[keep].astype(np.int32)), sig], ["h1", "h2", "doc", "txt", "line", "n", "sig"])
+                columns = [pa.array(h1), pa.array(h2), batch.column(0).take(at), batch.column(1).take(at), pa.array(nth), pa.array(n[keep].astype(np.int32)), pa.array(~own), binary(sigs).take(pa.array(new[keep], mask=~fuzzy[keep]))]
+                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc", "txt", "line", "n", "again", "sig"])
 
     return run
 
@@ -97,14 +112,8 @@ def counted(line: np.ndarray, word: np.ndarray, every: np.ndarray) -> tuple[np.n
 
 
 def parities(element: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Rows of 128 bits: of the elements with that place, is the number odd? Sets that differ in x elements differ in at most x bits."""
-    at = element >> np.uint64(57)
-    bit = np.uint64(1) << (at & np.uint64(63))
-    out = np.zeros((len(begin) - 1, 2), np.uint64)
-    if len(element):
-        for half in (0, 1):
-            out[:, half] = np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == half, bit, np.uint64(0)), begin[:-1])
-    return out
+    """64 bits of each set: of the elements with that place, is the number odd? Sets that differ in x elements differ in at most x bits."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (element >> np.uint64(58)), begin[:-1]) if len(element) else np.zeros(len(begin) - 1, np.uint64)
 
 
 def possible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -113,30 +122,31 @@ def possible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, least:
     A replaced word changes two elements, a word more or less changes one.
     """
     most, gap = edits(np.maximum(n, m), least), np.abs(n - m)
-    return (gap <= most) & (np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= 2 * most - gap)
+    return (gap <= most) & (np.bitwise_count(a ^ b).astype(np.int64) <= 2 * most - gap)
 
 
 def signed(line: np.ndarray, word: np.ndarray, n: int, every: np.ndarray) -> np.ndarray:
-    """Rows of 6 words, for n lines that all have words: four of bands, two of parities."""
+    """Rows of bytes, for n lines that all have words: BAND_BYTES of each band, eight of parities."""
     of, element = counted(line, word, every)
     begin = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
-    return np.concatenate([bands(element, begin).view(np.uint64), parities(element, begin)], axis=1)
+    keys = bands(element, begin).view(np.uint8).reshape(n, BANDS, 8)[:, :, :BAND_BYTES]
+    return np.concatenate([keys.reshape(n, BANDS * BAND_BYTES), parities(element, begin).view(np.uint8).reshape(n, 8)], axis=1)
 
 
 def bands(element: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Rows of BANDS numbers of 31 bits, each of ROWS least hashes of a set. No set may be empty."""
-    out = np.zeros((len(begin) - 1, BANDS), np.int32)
+    """Rows of BANDS hashes, each of ROWS least hashes of a set. No set may be empty."""
+    out = np.zeros((len(begin) - 1, BANDS), np.uint64)
     if len(element):
         for j in range(BANDS):
             key = np.full(len(out), j + 1, np.uint64)
             for k in range(ROWS):
                 key = mix(key ^ np.minimum.reduceat(element * FACTORS[j, k], begin[:-1]))
-            out[:, j] = (key >> np.uint64(36)).astype(np.int32) | np.int32(j << 28)
+            out[:, j] = key
     return out
 
 
 def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash, doc and line get the number of the first with their hash; only that keeps its signature."""
+    """Rows sorted by hash, doc, txt and line get the number of the first with their hash; only that keeps its signature. Of identical rows one stays."""
     from pyspark import TaskContext
 
     number = (TaskContext.get().partitionId() << 36) - 1
@@ -144,24 +154,30 @@ def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = [np.asarray(batch.column(i)) for i in (0, 1)]
-        first = np.zeros(batch.num_rows, bool)
-        first[run_starts(*h)] = True
-        first[0] = last != (h[0][0], h[1][0])
-        last = (h[0][-1], h[1][-1])
+        h = [np.asarray(c) for c in (batch.column(0), batch.column(1), pc.fill_null(batch.column(2), -(2**63)), batch.column(3), batch.column(4))]
+        first, new = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+        first[run_starts(*h[:2])] = True
+        new[run_starts(*h)] = True
+        if last:
+            first[0], new[0] = last[:2] != (h[0][0], h[1][0]), last != tuple(x[0] for x in h)
+        last = tuple(x[-1] for x in h)
         ids = number + np.cumsum(first)
         number = int(ids[-1])
-        sig = pc.if_else(pa.array(first), batch.column(6), pa.scalar(None, pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[2:6], pa.array(first), sig], ["id", "doc", "txt", "line", "n", "first", "sig"])
+        first &= ~np.asarray(batch.column(6))
+        sig = pc.if_else(pa.array(first), batch.column(7), pa.scalar(None, pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[2:6], pa.array(first), sig], ["id", "doc", "txt", "line", "n", "first", "sig"]).filter(pa.array(new))
 
 
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of (id, n, sig): bucket << 32 | number of words, id, parities."""
+    """A row for each band of (id, n, sig): bucket, id, number of words, parities."""
     for batch in batches:
-        sigs = fixed(batch.column(2), BANDS * 4 + 16)
-        keys = np.ascontiguousarray(sigs[:, : BANDS * 4]).view(np.int32).astype(np.int64) << 32 | np.asarray(batch.column(1)).astype(np.int64)[:, None]
-        odd = np.ascontiguousarray(sigs[:, BANDS * 4 :]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *(np.repeat(y, BANDS) for y in (np.asarray(batch.column(0)), odd[:, 0], odd[:, 1])))], ["key", "id", "x", "y"])
+        sigs = fixed(batch.column(2), BANDS * BAND_BYTES + 8)
+        keys = np.zeros((len(sigs), BANDS, 8), np.uint8)
+        keys[:, :, :BAND_BYTES] = sigs[:, : BANDS * BAND_BYTES].reshape(-1, BANDS, BAND_BYTES)
+        keys[:, :, BAND_BYTES] = np.arange(BANDS)
+        odd = np.ascontiguousarray(sigs[:, BANDS * BAND_BYTES :]).view(np.int64).ravel()
+        at = np.repeat(np.arange(len(sigs)), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *(pa.array(np.asarray(x)[at]) for x in (batch.column(0), batch.column(1), odd))], ["key", "id", "n", "odd"])
 
 
 def partners(least: float):
@@ -176,18 +192,18 @@ def partners(least: float):
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal hot
-            key, ids, x, y = (np.concatenate(c) for c in zip(*held))
+            bucket, ids, n, odd = own = tuple(np.concatenate(c) for c in zip(*held))
             held.clear()
-            bucket, n, odd = key >> 32, key & 0xFFFFFFFF, np.stack([x, y], axis=1).view(np.uint64)
+            n, odd = n.astype(np.int64), odd.view(np.uint64)
             starts = run_starts(bucket)
-            sizes = np.diff(np.append(starts, len(key)))
+            sizes = np.diff(np.append(starts, len(bucket)))
             large = sizes > HOT
             large[0] |= bucket[0] == hot
             hot = int(bucket[-1]) if large[-1] else -1
             if not last and not large[-1]:  # the bucket may go on
-                held.append(tuple(c[starts[-1] :] for c in (key, ids, x, y)))
+                held.append(tuple(c[starts[-1] :] for c in own))
                 sizes[-1] = 0
-            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(bucket))))
             end = (starts + sizes)[of]
             row = np.flatnonzero(~large[of])
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -199,7 +215,7 @@ def partners(least: float):
                 step += 1
             a, b = np.concatenate(left), np.concatenate(right)
             many = np.bincount(of[a], minlength=len(starts)) > 2 * sizes
-            inner = np.zeros(len(key), bool)
+            inner = np.zeros(len(bucket), bool)
             inner[a[many[of[a]]]] = inner[b[many[of[b]]]] = True
             inner |= large[of]
             a, b = a[~many[of[a]]], b[~many[of[b]]]
@@ -271,45 +287,6 @@ def settle(least: float):
     return run
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of rows sorted by bucket: each line and the first leader that is near enough. Not what repeated_lines() uses."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def flush(last: bool) -> pa.RecordBatch:
-        key, ids, rest = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        left, right, leaders = [], [], []
-        active = np.arange(len(key))
-        while len(active):
-            starts = run_starts(key[active])
-            lead = active[starts]
-            leaders.append(lead)
-            of = np.repeat(lead, np.diff(np.append(starts, len(active))))
-            others = np.ones(len(active), bool)
-            others[starts] = False
-            of, member = of[others], active[others]
-            hit = np.bitwise_count((rest[of] ^ rest[member]).view(np.uint64)) <= MAX_DISTANCE
-            left.append(ids[of[hit]])
-            right.append(ids[member[hit]])
-            active = member[~hit]
-        if not last:
-            go = np.sort(np.concatenate(leaders))
-            go = go[key[go] == key[-1]]
-            held.append((key[go], ids[go], rest[go]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(tuple(np.asarray(c) for c in batch.columns))
-            size += batch.num_rows
-            if size >= 100_000:
-                yield flush(False)
-                size = 0
-    if held:
-        yield flush(True)
-
-
 def similarity(a: list[str], b: list[str], least: float = 0.0) -> float:
     """1 - edit distance over words / length of the longer; 0 as soon as it can't be least. Bit-parallel, a bit a word."""
     longest = max(len(a), len(b))
@@ -362,32 +339,32 @@ def verify(least: float):
     return run
 
 
-def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, min_words: int = 1) -> DataFrame:
     """(doc, txt, line) of every occurrence to be removed: doc_id, hash of the text, number of the line from 0."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("txt"), "text").where("text is not null")
-    lines = own.mapInArrow(normal_lines(min_similarity, min_words), f"h1 long, h2 long, {LINE}, n int, sig binary")
+    lines = own.mapInArrow(normal_lines(min_similarity, min_words), f"h1 long, h2 long, {LINE}, n int, again boolean, sig binary")
     lines = written(lines.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "txt", "line").mapInArrow(firsts, f"id long, {LINE}, n int, first boolean, sig binary"))
     first = lines.where("first")
-    buckets = first.where("sig is not null").select("id", "n", "sig").mapInArrow(spread, "key long, id long, x long, y long")
-    met = checkpoint(buckets.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "id").mapInArrow(partners(min_similarity), "key long, a long, b long").distinct())
+    buckets = first.where("sig is not null").select("id", "n", "sig").mapInArrow(spread, "key long, id long, n int, odd long")
+    met = checkpoint(buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(partners(min_similarity), "key long, a long, b long").distinct())
     pairs, hot = met.where("key < 0").select("a", "b"), met.where("key >= 0").select("key", "a")
-    ends = met.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = first.join(ends, "id", "left_semi").groupBy("doc", "txt").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
+    ends = checkpoint(first.select("id", "doc", "txt", "line").join(met.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi"))
+    wanted = ends.groupBy("doc", "txt").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
     texts = own.join(wanted.toDF("d", "t", "lines"), own.doc.eqNullSafe(F.col("d")) & (F.col("txt") == F.col("t"))).select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x")).select(F.col("x.id").alias("id"), F.get("all", F.col("x.line")).alias("words")).groupBy("id").agg(F.first("words").alias("words"))
     near = pairs.join(texts.toDF("a", "wa"), "a").join(texts.toDF("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(verify(min_similarity), "a long, b long")
     inner = hot.join(texts.toDF("a", "words"), "a").select("key", F.col("a").alias("id"), "words")
     near = near.union(inner.repartition("key").sortWithinPartitions("key", "id").mapInArrow(settle(min_similarity), "a long, b long"))
     groups = stars(near)
-    members = checkpoint(groups.union(groups.select("root", "root").distinct()).toDF("id", "root").join(first.select("id", "doc", "txt", "line"), "id"))
+    members = checkpoint(groups.union(groups.select("root", "root").distinct()).toDF("id", "root").join(ends, "id"))
     kept = members.groupBy("root").agg(F.min(F.struct("doc", "txt", "line")).alias("kept"))
     lost = members.join(kept, "root").where(F.struct("doc", "txt", "line") != F.col("kept"))
     return lines.where("not first").select("doc", "txt", "line").union(lost.select("doc", "txt", "line"))
 
 
-def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, min_words: int = 1) -> DataFrame:
     """The documents, all columns, text without repeated lines; n_chars, if there, is the length of the new text.
 
-    Lines of fewer than min_words words stay, and so do those without any letter or digit. Lines too short for an edit
+    Lines without any letter or digit stay, and so do those of fewer than min_words words if asked for. Lines too short for an edit
     (fewer than 9 words at 0.9) are repeats if their normal form is the same. A document that loses all its lines goes: another has them. Null and
     empty texts stay as they are. Identical rows, with the same doc_id and text, are one document and stay alike; rows
     with the same doc_id and other texts are documents of their own, and so are rows with a null doc_id, which come

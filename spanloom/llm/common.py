@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = _own.get(spark.sparkContext.applicationId) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spanloom-"))
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spanloom-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        path = _own[app]
     return path
 
 
@@ -43,12 +49,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the shared folder, smaller than a checkpoint; it stays until that folder is cleared."""
+    """Cuts lineage by a table in the shared folder, smaller than a checkpoint, which goes when the application ends."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    removed(df.sparkSession, path, at_exit=True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Deletes a folder that was written here, at once or when the application ends."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        system.deleteOnExit(own)
+    else:
+        system.delete(own, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.offsets import contains
@@ -12,44 +12,57 @@ def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("doc_id",)) ->
     return df.select(*(F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns))
 
 
+#: Characters of a slot: spans meet where they share one, so that a join makes pairs of neighbours, not of all spans of a document.
+SLOT = 256
+
+
+def slot(place: Column, width: int = SLOT) -> Column:
+    return F.floor(place / width).cast("int")
+
+
 def within(inner: DataFrame, outer: DataFrame, prefix: str = "outer_", how: str = "inner", strict: bool = False) -> DataFrame:
-    """Rows of inner with every span of outer that contains them, its columns under prefix. Equal keys meet by doc_id; the rest is a filter on the pairs."""
+    """Rows of inner with every span of outer that contains them, its columns under prefix.
+
+    A span of outer is there once for each slot it reaches over, a span of inner at the slot where it begins: a pair meets
+    once, by equality of document and slot. Work is linear in the text and in what is found.
+    """
     out = renamed(outer, prefix, ()).withColumnRenamed(prefix + "doc_id", "_doc")
-    on = (inner.doc_id == out._doc) & contains(F.col(prefix + "begin"), F.col(prefix + "end"), inner.begin, inner.end)
+    out = out.withColumn("_slot", F.explode(F.sequence(slot(F.col(prefix + "begin")), F.greatest(slot(F.col(prefix + "begin")), slot(F.col(prefix + "end"))))))
+    on = (inner.doc_id == out._doc) & (slot(inner.begin) == out._slot) & contains(F.col(prefix + "begin"), F.col(prefix + "end"), inner.begin, inner.end)
     if strict:
         on &= (F.col(prefix + "begin") != inner.begin) | (F.col(prefix + "end") != inner.end)
-    return inner.join(out, on, how).drop("_doc")
+    return inner.join(out, on, how).drop("_doc", "_slot")
 
 
 def covering(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of spans and the tokens within or around them: (doc_id, begin, end) of the span, t_ columns of the token."""
-    t = renamed(tokens, "t_", ()).withColumnRenamed("t_doc_id", "_doc")
     s = spans.select("doc_id", "begin", "end").distinct()
-    inside, around = contains(s.begin, s.end, t.t_begin, t.t_end), contains(t.t_begin, t.t_end, s.begin, s.end)
-    return s.join(t, (s.doc_id == t._doc) & (inside | around)).drop("_doc")
+    around = within(s, tokens, "t_")
+    inside = within(tokens, s, "s_", strict=True)
+    inside = inside.select("doc_id", F.col("s_begin").alias("begin"), F.col("s_end").alias("end"), *(F.col(c).alias("t_" + c) for c in tokens.columns if c != "doc_id"))
+    return around.unionByName(inside)
 
 
 def neighbours(spans: DataFrame, tokens: DataFrame, gap: int = 10) -> DataFrame:
     """(doc_id, begin, end, before, after): the nearest token that ends at or before the span, and that begins at or after, fewer than gap characters away.
 
-    An as-of join both ways, without a product: spans and tokens go by one window each way over the document, ordered by
-    place; the last token seen is the nearest.
+    Only tokens of the slots within the gap are looked at, met by equality of document and slot: no product, and no
+    sorting of tokens. Of tokens equally near, before is the one that begins last. A span with a null doc_id has no neighbours.
     """
     s = spans.select("doc_id", "begin", "end").distinct()
-    t = tokens.select("doc_id", F.col("begin").alias("tb"), F.col("end").alias("te"), F.col("text").alias("tok"))
-    void = F.lit(None)
-    tok = F.struct("tb", "te", "tok")
-
-    def side(place: Column, own: Column, descending: bool) -> DataFrame:
-        rows = t.select("doc_id", own.alias("at"), F.lit(0).alias("kind"), tok.alias("tok"), void.cast("int").alias("begin"), void.cast("int").alias("end")).unionByName(
-            s.select("doc_id", place.alias("at"), F.lit(1).alias("kind"), void.cast(t.select(tok).schema[0].dataType).alias("tok"), "begin", "end")
-        )
-        w = Window.partitionBy("doc_id").orderBy(F.desc("at") if descending else F.asc("at"), "kind", F.col("tok.tb")).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("near", F.last("tok", ignorenulls=True).over(w)).where("kind = 1").select("doc_id", "begin", "end", "near")
-
-    back = side(F.col("begin"), F.col("te"), False).select("doc_id", "begin", "end", F.when(F.col("begin") - F.col("near.te") < gap, F.col("near.tok")).alias("before"))
-    ahead = side(F.col("end"), F.col("tb"), True).select("doc_id", "begin", "end", F.when(F.col("near.tb") - F.col("end") < gap, F.col("near.tok")).alias("after"))
-    return back.join(ahead, ["doc_id", "begin", "end"])
+    width = max(gap, 16)
+
+    def probe(kind: int, lo: Column, hi: Column) -> Column:
+        return F.transform(F.sequence(slot(lo, width), slot(hi, width)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("slot")))
+
+    probes = s.select("doc_id", "begin", "end", F.explode(F.concat(probe(0, F.greatest(F.col("begin") - (gap - 1), F.lit(0)), F.col("begin")), probe(1, F.col("end"), F.col("end") + (gap - 1)))).alias("_p"))
+    places = F.array(F.struct(F.lit(0).alias("kind"), slot(F.col("end"), width).alias("slot")), F.struct(F.lit(1).alias("kind"), slot(F.col("begin"), width).alias("slot")))
+    t = tokens.select(F.col("doc_id").alias("_doc"), F.col("begin").alias("tb"), F.col("end").alias("te"), F.col("text").alias("tok"), F.explode(places).alias("_t"))
+    near = F.when(F.col("_p.kind") == 0, (F.col("te") <= F.col("begin")) & (F.col("begin") - F.col("te") < gap)).otherwise((F.col("tb") >= F.col("end")) & (F.col("tb") - F.col("end") < gap))
+    both = probes.join(t, (F.col("doc_id") == F.col("_doc")) & (F.col("_p.kind") == F.col("_t.kind")) & (F.col("_p.slot") == F.col("_t.slot")) & near, "left")
+    before = F.max(F.when(F.col("_t.kind") == 0, F.struct("te", "tb", "tok")))["tok"]
+    after = F.min(F.when(F.col("_t.kind") == 1, F.struct("tb", "te", "tok")))["tok"]
+    return both.groupBy("doc_id", "begin", "end").agg(before.alias("before"), after.alias("after"))
 
 
 def surroundings(spans: DataFrame, tokens: DataFrame, gap: int = 10) -> DataFrame:

@@ -24,21 +24,22 @@ def learn_filters(judged: DataFrame) -> DataFrame:
     """(field, value) to be filtered. Misses that a context field filters already no longer count against tokens."""
     cut = F.element_at(F.create_map(*(F.lit(x) for kv in CUTOFFS.items() for x in kv)), F.col("field"))
     context = field_counts(judged, ("before", "after", "prefix", "suffix")).where(over_cutoff(cut)).select("field", "value")
-    gone = judged.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in judged.columns else judged
-    filtered = apply_filters(gone, context, ("before", "after", "prefix", "suffix"), invert=True)
+    filtered = apply_filters(judged, context, ("before", "after", "prefix", "suffix"), invert=True)
     counts = field_counts(judged, ("token",)).join(filtered.where(~F.col("hit")).groupBy(F.col("token").alias("value")).agg(F.count("*").alias("less")), "value", "left")
     tokens = counts.withColumn("misses", F.greatest(F.col("misses") - F.coalesce("less", F.lit(0)), F.lit(0))).where(over_cutoff(F.lit(CUTOFFS["token"]))).select("field", "value")
     return context.union(tokens)
 
 
 def apply_filters(rows: DataFrame, filters: DataFrame, fields: tuple[str, ...] = tuple(CUTOFFS), invert: bool = False) -> DataFrame:
-    """Rows none of whose fields is filtered, or the others. One semi- or anti-join: filters become a set of field=value."""
-    per = filters.groupBy("field").agg(F.collect_set("value").alias("values"))
-    sets = per.agg(F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("_f"))
-    hit = F.lit(False)
+    """Rows none of whose fields is filtered, or the others. One equality join for each field, which the planner broadcasts if the values are few."""
+    own = filters.distinct()
+    if not invert:
+        for f in fields:
+            rows = rows.join(own.where(F.col("field") == f).select(F.col("value").alias("_v")), F.col(f) == F.col("_v"), "left_anti")
+        return rows
     for f in fields:
-        hit |= F.coalesce(F.array_contains(F.try_element_at("_f", F.lit(f)), F.col(f)), F.lit(False))
-    return rows.crossJoin(sets).where(hit if invert else ~hit).drop("_f")
+        rows = rows.join(own.where(F.col("field") == f).select(F.col("value").alias("_v_" + f)), F.col(f) == F.col("_v_" + f), "left")
+    return rows.where(F.coalesce(*("_v_" + f for f in fields)).isNotNull()).drop(*("_v_" + f for f in fields))
 
 
 def precision_recall(found: DataFrame, gold: DataFrame, article: str = "article", item: str = "item") -> DataFrame:

@@ -1,16 +1,22 @@
 """Sentences and tokens as span tables, by regular expressions whose matches tile the text.
 
 The matches of a tiling pattern, one after another, are the text again; the sum of the lengths before a piece is the
-place where it begins. Everything stays in the JVM: one expression over each document, one window over its pieces.
+place where it begins. All of that happens within the row: the matches stay in the JVM, their lengths (not their texts) go
+through one Arrow batch that sums them up, and nothing is shuffled. Rows don't mix, whatever their doc_id: rows that share
+one, or have none, get the offsets of their own texts. Joins of span tables are by doc_id, which should be unique there.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 WORDS = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
-_GAP = r"(?:\r?\n[  \t\x0B\f]*){2,}"
+_GAP = r"(?:\r?\n[  \t\x0B\f]*){2,}"
 SENTENCES = {
     "single": r"([^.!?\n]*[.!?]+|[^.!?\n]+|\n+)",
     "ignore": r"([^.!?]*[.!?]+|[^.!?]+)",
@@ -18,17 +24,40 @@ SENTENCES = {
 }
 
 
+def running(lengths: pa.Array) -> pa.Array:
+    """Of each list, the sums of the values before each place."""
+    n = np.asarray(pc.fill_null(pc.list_value_length(lengths), 0)).astype(np.int64)
+    values = np.asarray(lengths.flatten()).astype(np.int64)
+    total = np.cumsum(values) - values
+    first = np.cumsum(n) - n
+    base = np.repeat(total[np.minimum(first, max(len(total) - 1, 0))] if len(total) else np.zeros(len(n), np.int64), n)
+    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((total - base).astype(np.int32)), mask=lengths.is_null())
+
+
+def tiled(docs: DataFrame, pattern: str, text: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, *more, tiles) for each row; tiles holds (text, begin) of every match, in their order."""
+    own = docs.select("doc_id", *more, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)).alias("_a"))
+    starts = F.arrow_udf(running, ArrayType(IntegerType()))
+    own = own.withColumn("_b", starts(F.transform("_a", lambda x: F.length(x))))
+    return own.select("doc_id", *(c for c in own.columns if c not in ("doc_id", "_a", "_b")), F.arrays_zip(F.col("_a").alias("text"), F.col("_b").alias("begin")).alias("tiles"))
+
+
 def pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """(doc_id, pos, begin, end, text) of every match. Null texts have none."""
-    own = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("pos", "text"))
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.withColumn("begin", before.cast("int")).withColumn("end", (F.col("begin") + F.length("text")).cast("int")).select("doc_id", "pos", "begin", "end", "text")
+    own = tiled(docs, pattern, text).select("doc_id", F.posexplode("tiles").alias("pos", "t"))
+    return own.select("doc_id", "pos", F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
+
+
+def word_tiles(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, tiles, off) of runs of letters and digits and of what is between; these alternate, and words are those at places off, off + 2, ..."""
+    return tiled(docs, WORDS, text, F.when(F.col(text).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1).alias("off"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, tok_no, begin, end, text) of runs of letters and digits."""
-    own = pieces(docs, WORDS).where(F.col("text").rlike(r"^[\p{L}\p{N}]"))
-    return own.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("tok_no"), "begin", "end", "text")
+    own = word_tiles(docs).select("doc_id", "off", F.posexplode("tiles").alias("pos", "t")).where("(pos + off) % 2 = 0")
+    return own.select("doc_id", (F.floor(F.col("pos") / 2) + 1).cast("int").alias("tok_no"), F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 
 def sentences(docs: DataFrame, newlines: str = "successive") -> DataFrame:
@@ -36,11 +65,14 @@ def sentences(docs: DataFrame, newlines: str = "successive") -> DataFrame:
 
     newlines: "single" ends a sentence at every line feed, "successive" at two or more, "ignore" at none.
     """
-    own = pieces(docs, SENTENCES[newlines])
-    lead = F.length("text") - F.length(F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+", ""))
-    cut = F.regexp_replace(F.regexp_replace("text", r"^[ \t\n\r\f\x0B]+", ""), r"[ \t\n\r\f\x0B]+$", "")
-    own = own.withColumn("begin", (F.col("begin") + lead).cast("int")).withColumn("text", cut).where("text <> ''")
-    return own.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("sent_no"), "begin", (F.col("begin") + F.length("text")).cast("int").alias("end"), "text")
+    blank = F.lit(" \t\n\r\f\x0b")
+
+    def trimmed(t: Column) -> Column:
+        left = F.ltrim(t["text"], blank)
+        return F.struct((t["begin"] + F.length(t["text"]) - F.length(left)).cast("int").alias("begin"), F.rtrim(left, blank).alias("text"))
+
+    own = tiled(docs, SENTENCES[newlines]).select("doc_id", F.posexplode(F.filter(F.transform("tiles", trimmed), lambda t: t["text"] != "")).alias("pos", "t"))
+    return own.select("doc_id", (F.col("pos") + 1).alias("sent_no"), F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 
 def gaps(spans: DataFrame, docs: DataFrame) -> DataFrame:

@@ -62,9 +62,8 @@ def greek_to_latin(c: Column) -> Column:
 def latin_to_greek(c: Column) -> Column:
     """Lower-case and capitalised names of Greek letters as letters, longest names first."""
     names = sorted(((v, k) for k, v in {**GREEK, **{k.upper(): v.capitalize() for k, v in GREEK.items()}}.items()), key=lambda x: (-len(x[0]), x[0]))
-    for name, letter in names:
-        c = F.replace(c, F.lit(name), F.lit(letter))
-    return c
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(letter).alias("letter")) for name, letter in names))
+    return F.aggregate(pairs, c, lambda done, p: F.replace(done, p["name"], p["letter"]))
 
 
 def clean_pattern(c: Column) -> Column:
@@ -82,3 +81,8 @@ def base_name(uri: Column, extension: bool = True) -> Column:
 def compressed(c: Column) -> Column:
     """Letters and digits only."""
     return F.regexp_replace(c, r"[^\p{L}\p{Nd}]", "")
+
+
+def entity_string(kind: Column, namespace: Column, identifier: Column) -> Column:
+    """type(namespace:id)"""
+    return F.concat(kind, F.lit("("), namespace, F.lit(":"), identifier, F.lit(")"))

@@ -57,7 +57,6 @@ BREAKS = {"html": {"br"}, "elsevier": {"ce:br", "ce:vsp"}, "pmc": {"break", "hr"
 SETS = {"html": (HTML_ONE, HTML_TWO), "elsevier": (ELSEVIER_ONE, ELSEVIER_TWO), "pmc": (PMC_ONE, PMC_TWO)}
 SPACE = re.compile("[ \n\t\f\r ]+")
 GREEK_BY_NAME = {v: k for k, v in {**GREEK, **{k.upper(): v.capitalize() for k, v in GREEK.items()}}.items()}
-MOST_CHARACTERS = 1_000_000
 NONE, SPACED, LINE, TWO_LINES = range(4)
 DUE = ("", " ", "\n", "\n\n")
 
@@ -216,7 +215,12 @@ def extract_xml(raw: str) -> tuple[str, list]:
 
 
 def extract_clean(raw: str) -> tuple[str, list]:
-    return SPACE.sub(" ", re.sub(r"<[^>]*>", " ", raw)).strip()[:MOST_CHARACTERS], []
+    """Text without tags; of what has a body, only that."""
+    body = re.search(r"<body\b[^>]*>", raw, re.I)
+    if body:
+        end = raw.lower().rfind("</body")
+        raw = raw[body.end() : end if end >= body.end() else len(raw)]
+    return SPACE.sub(" ", re.sub(r"<[^>]*>", " ", raw)).strip(), []
 
 
 EXTRACTORS = {"html": extract_html, "xml": extract_xml, "elsevier": lambda r: extract_layout_xml(r, "elsevier"), "pmc": lambda r: extract_layout_xml(r, "pmc"), "clean": extract_clean}
@@ -231,8 +235,11 @@ def kind_of(uri: Column, raw: Column, mime: Column | None = None) -> Column:
     return F.when(mime.contains("html"), "html").when(mime.contains("xml"), as_xml).when(mime.isNotNull(), "clean").when(name.rlike(r"\.x?html?$"), "html").when(name.rlike(r"\.(n?xml|nlm)$"), as_xml).when(head.startswith("<!doctype html") | head.startswith("<html"), "html").when(head.startswith("<?xml"), as_xml).otherwise("clean")
 
 
-def extract(raw: DataFrame, key: str = "doc_id", content: str = "raw", kind: Column | None = None, greek_to_latin: bool = False, namespace: str = "") -> DataFrame:
-    """(key, text, structure) of each row; structure has (begin, end, namespace, identifier, properties). Null content has null text; XML that can't be parsed is taken as plain."""
+def extract(raw: DataFrame, key: str = "doc_id", content: str = "raw", kind: Column | None = None, greek_to_latin: bool = False, namespace: str = "", most_chars: int | None = None) -> DataFrame:
+    """(key, text, structure) of each row; structure has (begin, end, namespace, identifier, properties). Null content has null text; XML that can't be parsed is taken as plain.
+
+    Texts are whole. With most_chars, plain ones end there, and "cut" says which.
+    """
     names = {**GREEK_NAMES} if greek_to_latin else {}
     ns = namespace if not namespace or namespace[-1] in "#/=" else namespace + "#"
     prop = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
@@ -240,24 +247,26 @@ def extract(raw: DataFrame, key: str = "doc_id", content: str = "raw", kind: Col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rows = [], []
+            texts, rows, cut = [], [], []
             for own, how in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if own is None:
                     texts.append(None)
                     rows.append(None)
+                    cut.append(None)
                     continue
                 for letter, name in names.items():
                     own = own.replace(letter, name)
                 try:
                     text, spans = EXTRACTORS[how or "clean"](own)
                 except xml.parsers.expat.ExpatError:
-                    text, spans = extract_clean(own)
-                texts.append(text)
+                    text, spans, how = *extract_clean(own), "clean"
+                cut.append(bool(most_chars) and (how or "clean") == "clean" and len(text) > most_chars)
+                texts.append(text[:most_chars] if cut[-1] else text)
                 rows.append([{"begin": b, "end": e, "namespace": ns, "identifier": RENAMED.get(t, t), "properties": [{"name": k, "value": v} for k, v in a]} for b, e, t, a in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(rows, pa.list_(span))], [key, "text", "structure"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(rows, pa.list_(span)), *([pa.array(cut, pa.bool_())] if most_chars else [])], [key, "text", "structure", *(["cut"] if most_chars else [])])
 
     kind = F.lit("html") if kind is None else kind
-    return raw.select(key, F.col(content).cast("string").alias("raw"), kind.alias("kind")).mapInArrow(run, f"{key} {raw.schema[key].dataType.simpleString()}, text string, structure array<struct<begin: int, end: int, namespace: string, identifier: string, properties: array<struct<name: string, value: string>>>>")
+    return raw.select(key, F.col(content).cast("string").alias("raw"), kind.alias("kind")).mapInArrow(run, f"{key} {raw.schema[key].dataType.simpleString()}, text string, structure array<struct<begin: int, end: int, namespace: string, identifier: string, properties: array<struct<name: string, value: string>>>>" + (", cut boolean" if most_chars else ""))
 
 
 def structure(extracted: DataFrame, key: str = "doc_id") -> DataFrame:

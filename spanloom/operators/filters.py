@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .joins import within
@@ -70,3 +70,8 @@ def sentences_with(sentences: DataFrame, spans: DataFrame) -> DataFrame:
     """Sentences that contain a span."""
     hit = within(spans.select("doc_id", "begin", "end").distinct(), sentences.select("doc_id", "sent_no", "begin", "end"), "s_").select("doc_id", F.col("s_sent_no").alias("sent_no")).distinct()
     return sentences.join(hit, ["doc_id", "sent_no"], "left_semi")
+
+
+def counted(df: DataFrame, keep: Column, seen: Observation) -> DataFrame:
+    """The rows to keep; seen.get has "total" and "removed" once an action has run, without a pass of their own."""
+    return df.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(~F.coalesce(keep, F.lit(False))).alias("removed")).where(keep)

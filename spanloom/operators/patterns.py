@@ -6,6 +6,9 @@
 
 A phrase in brackets begins where a chunk does and ends where one does; "." in it must have its tag. An item of the
 pattern that can be empty lets a whole phrase be absent. Parts are split at spaces, "\\ " and "\\_" stand for themselves.
+
+A pattern is compiled to a program for a machine with threads by priority; a state (instruction, token, begin of the
+phrase) that failed once isn't entered again, so that a sentence takes time in proportion to its states, whatever is nested.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,75 +84,147 @@ def compile_pattern(pattern: str) -> tuple[list[Item], int]:
     return parse(0, "", False)[0], groups
 
 
-def _one(item: Item, tokens: list[dict], i: int, spans: tuple, greedy: bool, tag: str) -> Iterator[tuple[int, tuple]]:
-    if item.kind in ("token", "any"):
-        if i < len(tokens):
-            t = tokens[i]
-            if item.kind == "any" or not item.tests:
-                ok = not tag or t.get("chunk") == tag
-            else:
-                ok = all(t.get(n) is not None and rx.fullmatch(t[n]) for n, rx in item.tests)
-            if ok:
-                yield i + 1, spans
-    elif item.kind == "group":
-        for j, own in _sequence(item.items, 0, tokens, i, spans, greedy, tag):
-            yield j, (*(s for s in own if s[0] != item.group), (item.group, i, j))
-    else:
-        for j, own in _sequence(item.items, 0, tokens, i, spans, greedy, item.tag):
-            if j == i or (tokens[i].get("chunk_begin") and tokens[j - 1].get("chunk_end")):
-                yield j, own
-
-
-def _repeat(item: Item, tokens: list[dict], i: int, spans: tuple, greedy: bool, tag: str, least: int) -> Iterator[tuple[int, tuple]]:
-    more = greedy or item.kind == "token"  # what is named is taken wherever it is
-    if least <= 0 and not more:
-        yield i, spans
-    for j, own in _one(item, tokens, i, spans, greedy, tag):
-        if j == i:
-            continue
-        if item.quantity == "?":
-            yield j, own
+@lru_cache(1000)
+def program(pattern: str) -> tuple[list[tuple], list[tuple], int]:
+    """(instructions, tests of the named tokens, number of groups).
+
+    (test, k), (any, tag), (split, whether more comes first at any rate, more, rest), (start, slot), (end, slot), (phrase,),
+    (closed,), (done,): each goes on at the next, split at one of two.
+    """
+    items, groups = compile_pattern(pattern)
+    code: list[tuple] = []
+    tests: list[tuple] = []
+
+    def single(item: Item, tag: str) -> None:
+        if item.kind == "group":
+            code.append(("start", 2 * item.group))
+            every(item.items, tag)
+            code.append(("end", 2 * item.group + 1))
+        elif item.kind == "phrase":
+            code.append(("phrase",))
+            every(item.items, item.tag)
+            code.append(("closed",))
+        elif item.kind == "any" or not item.tests:
+            code.append(("any", tag))
         else:
-            yield from _repeat(item, tokens, j, own, greedy, tag, least - 1)
-    if least <= 0 and more:
-        yield i, spans
+            code.append(("test", len(tests)))
+            tests.append(item.tests)
+
+    def every(own: list[Item], tag: str) -> None:
+        for item in own:
+            first = item.kind == "token"  # what is named is taken wherever it is
+            at = len(code)
+            if item.quantity in ("*", "?"):
+                code.append(())
+            single(item, tag)
+            if item.quantity == "?":
+                code[at] = ("split", first, at + 1, len(code))
+            elif item.quantity == "*":
+                code.append(("jump", at))
+                code[at] = ("split", first, at + 1, len(code))
+            elif item.quantity == "+":
+                code.append(("split", first, at, len(code) + 1))
+
+    every(items, "")
+    return [*code, ("done",)], tests, groups
+
+
+class Tokens:
+    """Tokens of a sentence by column. combos: a number for each (text, pos, stem); known: for tests, what they said of a number."""
+
+    def __init__(self, chunk: list, begins: list, ends: list, combos: list[int], names: list[tuple], known: dict[tuple[str, int], dict[int, bool]]):
+        self.chunk, self.begins, self.ends, self.combos, self.names, self.known = chunk, begins, ends, combos, names, known
+
+    def __len__(self) -> int:
+        return len(self.combos)
+
+
+def tokens_of(rows: list[dict]) -> Tokens:
+    places: dict[tuple, int] = {}
+    combos = [places.setdefault((t.get("text"), t.get("pos"), t.get("stem")), len(places)) for t in rows]
+    return Tokens(*([t.get(c) for t in rows] for c in ("chunk", "chunk_begin", "chunk_end")), combos, list(places), {})
+
+
+_FIELDS = {"text": 0, "pos": 1, "stem": 2}
+
+
+def _run(pattern: str, tokens: Tokens, start: int, greedy: bool, failed: set[tuple[int, int, int]]) -> tuple[int, tuple] | None:
+    code, tests, groups = program(pattern)
+    n, stack = len(tokens), [(0, start, -1, (None,) * (2 * groups))]
+    while stack:
+        pc, i, phrase, slots = stack.pop()
+        while (pc, i, phrase) not in failed:
+            failed.add((pc, i, phrase))
+            op = code[pc]
+            kind = op[0]
+            if kind in ("test", "any"):
+                if i >= n or (i == phrase and not tokens.begins[i]):
+                    break
+                if kind == "any":
+                    if op[1] and tokens.chunk[i] != op[1]:
+                        break
+                else:
+                    known, combo = tokens.known.setdefault((pattern, op[1]), {}), tokens.combos[i]
+                    if combo not in known:
+                        name = tokens.names[combo]
+                        known[combo] = all(name[_FIELDS[f]] is not None and rx.fullmatch(name[_FIELDS[f]]) for f, rx in tests[op[1]])
+                    if not known[combo]:
+                        break
+                i += 1
+            elif kind == "split":
+                _, first, more, rest = op
+                if not (first or greedy):
+                    more, rest = rest, more
+                stack.append((rest, i, phrase, slots))
+                pc = more
+                continue
+            elif kind == "jump":
+                pc = op[1]
+                continue
+            elif kind in ("start", "end"):
+                slots = (*slots[: op[1]], i, *slots[op[1] + 1 :])
+            elif kind == "phrase":
+                phrase = i
+            elif kind == "closed":
+                if i > phrase and not tokens.ends[i - 1]:
+                    break
+                phrase = -1
+            else:
+                return i, slots
+            pc += 1
+    return None
 
 
-def _sequence(items: list[Item], k: int, tokens: list[dict], i: int, spans: tuple, greedy: bool, tag: str) -> Iterator[tuple[int, tuple]]:
-    if k == len(items):
-        yield i, spans
-        return
-    item = items[k]
-    found = _repeat(item, tokens, i, spans, greedy, tag, item.quantity == "+") if item.quantity else _one(item, tokens, i, spans, greedy, tag)
-    for j, own in found:
-        yield from _sequence(items, k + 1, tokens, j, own, greedy, tag)
+def _spans(slots: tuple) -> dict[int, tuple[int, int]]:
+    return {k // 2: (slots[k], slots[k + 1]) for k in range(0, len(slots), 2) if slots[k + 1] is not None}
 
 
-def match_at(pattern: str, tokens: list[dict], i: int, greedy: bool = False) -> tuple[int, dict[int, tuple[int, int]]] | None:
+def match_at(pattern: str, tokens: list[dict] | Tokens, i: int, greedy: bool = False) -> tuple[int, dict[int, tuple[int, int]]] | None:
     """(end, spans of the groups) of the best match that begins at token i."""
-    items, _ = compile_pattern(pattern)
-    for j, own in _sequence(items, 0, tokens, i, (), greedy, ""):
-        return j, {g: (a, b) for g, a, b in own}
-    return None
+    m = _run(pattern, tokens if isinstance(tokens, Tokens) else tokens_of(tokens), i, greedy, set())
+    return m and (m[0], _spans(m[1]))
 
 
-def find(pattern: str, tokens: list[dict], start: int = 0, greedy: bool = False) -> tuple[int, int, dict[int, tuple[int, int]]] | None:
-    for i in range(start, len(tokens) + 1):
-        if m := match_at(pattern, tokens, i, greedy):
-            return i, *m
+def find(pattern: str, tokens: list[dict] | Tokens, start: int = 0, greedy: bool = False) -> tuple[int, int, dict[int, tuple[int, int]]] | None:
+    own = tokens if isinstance(tokens, Tokens) else tokens_of(tokens)
+    failed: set[tuple[int, int, int]] = set()  # of all beginnings: what failed from one fails from the next
+    for i in range(start, len(own) + 1):
+        if m := _run(pattern, own, i, greedy, failed):
+            return i, m[0], _spans(m[1])
     return None
 
 
-def find_all(pattern: str, tokens: list[dict]) -> list[tuple[int, int, dict[int, tuple[int, int]]]]:
+def find_all(pattern: str, tokens: list[dict] | Tokens) -> list[tuple[int, int, dict[int, tuple[int, int]]]]:
     """Matches, each by a greedy and, if different, a reluctant reading; the next begins after the first's leading chunk, or at its reluctant end."""
+    own = tokens if isinstance(tokens, Tokens) else tokens_of(tokens)
     out, at = [], 0
-    while at <= len(tokens) and (long := find(pattern, tokens, at, True)):
+    while at <= len(own) and (long := find(pattern, own, at, True)):
         i = long[0]
-        short = (i, *match_at(pattern, tokens, i, False))
+        short = (i, *match_at(pattern, own, i, False))
         out += [m for m in ([long] if long == short or long[2] == short[2] else [long, short]) if m[1] > m[0]]
-        if i < len(tokens) and tokens[i].get("chunk"):
+        if i < len(own) and own.chunk[i]:
             at = i + 1
-            while at < len(tokens) and not tokens[at - 1].get("chunk_end"):
+            while at < len(own) and not own.ends[at - 1]:
                 at += 1
         else:
             at = max(short[1], i + 1)
@@ -162,21 +239,34 @@ def annotate(sentences: DataFrame, resource: list[tuple[str, list[tuple[str, str
     Tokens are structs of text, pos, stem, chunk, chunk_begin, chunk_end, begin and end.
     """
     for pattern, _ in resource:
-        compile_pattern(pattern)
+        program(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, sent, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = batch.column(2)
+            flat, n = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            text, pos, stem, chunk, begins, ends, b, e = (flat.field(c).to_pylist() for c in ("text", "pos", "stem", "chunk", "chunk_begin", "chunk_end", "begin", "end"))
+            places: dict[tuple, int] = {}
+            combos = [places.setdefault(t, len(places)) for t in zip(text, pos, stem)]
+            names, known, rows = list(places), {}, []
+            cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+            for row, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                own = Tokens(chunk[lo:hi], begins[lo:hi], ends[lo:hi], combos[lo:hi], names, known)
                 for k, (pattern, pairs) in enumerate(resource):
-                    for n, (i, j, groups) in enumerate(find_all(pattern, tokens or [])):
+                    for m, (i, j, groups) in enumerate(find_all(pattern, own)):
                         spans = {-1: (i, j), **groups}
                         for part, (ns, name) in enumerate(pairs, -1):
-                            a, b = spans.get(part, (0, 0))
-                            if b > a and (ns or name):
-                                rows.append((doc, sent, k, n, tokens[a]["begin"], tokens[b - 1]["end"], ns, name, part))
+                            x, y = spans.get(part, (0, 0))
+                            if y > x and (ns or name):
+                                rows.append((row, k, m, b[lo + x], e[lo + y - 1], ns, name, part))
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "sent_no", "pattern", "match_no", "begin", "end", "namespace", "identifier", "part"), r)) for r in rows], schema)
+                at, *more = zip(*rows)
+                kinds = [pa.int32()] * 4 + [pa.string()] * 2 + [pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *map(pa.array, more, kinds)], ["doc_id", "sent_no", "pattern", "match_no", "begin", "end", "namespace", "identifier", "part"])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("sent_no", pa.int32()), ("pattern", pa.int32()), ("match_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("namespace", pa.string()), ("identifier", pa.string()), ("part", pa.int32())])
     return sentences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_no").cast("int").alias("sent_no"), "tokens").mapInArrow(run, "doc_id long, sent_no int, pattern int, match_no int, begin int, end int, namespace string, identifier string, part int")
+
+
+def hits(annotated: DataFrame) -> DataFrame:
+    """(pattern, n): how many matches each pattern of annotate() has."""
+    return annotated.select("doc_id", "sent_no", "pattern", "match_no").distinct().groupBy("pattern").agg(F.count("*").alias("n"))

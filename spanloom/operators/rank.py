@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import greek_to_latin
+from .joins import within
+
 NER = ("cell_line", "cell_type", "DNA", "protein", "RNA")
 FEATURES = ("no_ner", *NER, "confidence", "taxon_nearness", "unambiguity", "n_id", "n_name", "n_id_name", "links", "symbol", "id_symbol", "n_taxon")
 
@@ -38,13 +41,49 @@ def taxon_distance(mentions: DataFrame, taxa: DataFrame) -> DataFrame:
     return mentions.join(near, ["doc_id", "taxon", "begin", "end"], "left")
 
 
-def features(mentions: DataFrame, taxa: DataFrame, ner: DataFrame, links: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
+def distinct_offsets(mentions: DataFrame) -> DataFrame:
+    """(doc_id, match, n): at how many places of the document a text is mentioned, whatever the ids."""
+    return mentions.groupBy("doc_id", "match").agg(F.count_distinct(F.struct("begin", "end")).alias("n"))
+
+
+def ids_of(rows: DataFrame, keys: list[str], column: str = "id") -> DataFrame:
+    """(*keys, ids): the sorted ids of each group."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_set(column)).alias("ids"))
+
+
+def first_within(mentions: DataFrame, ner: DataFrame) -> DataFrame:
+    """Adds label: that of the first entity span (doc_id, begin, end, label) that contains the mention, null without one."""
+    spans = mentions.select("doc_id", "begin", "end").distinct()
+    first = within(spans, ner.select("doc_id", "begin", "end", "label"), "_n_").groupBy("doc_id", "begin", "end").agg(F.min(F.struct("_n_begin", "_n_end", "_n_label"))["_n_label"].alias("label"))
+    return mentions.join(first, ["doc_id", "begin", "end"], "left")
+
+
+def looked_up(df: DataFrame, column: str, names: DataFrame, value: str) -> DataFrame:
+    """Adds value of names (key, value) by the column as it is, else with the names of its Greek letters; null if neither is there."""
+    one, two = names.toDF("_k1", "_v1"), names.toDF("_k2", "_v2")
+    own = df.join(one, F.col(column) == F.col("_k1"), "left").join(two, F.col("_k1").isNull() & (greek_to_latin(F.col(column)) == F.col("_k2")), "left")
+    return own.withColumn(value, F.coalesce("_v1", "_v2")).drop("_k1", "_v1", "_k2", "_v2")
+
+
+def model_weights(spark: SparkSession, path: str, columns: tuple[str, ...] = FEATURES) -> dict[str, float]:
+    """The weights of a linear ranking model: lines of "number:weight" pairs, features numbered from 1, a bias at 0; lines with a # are comments."""
+    pairs = F.regexp_extract_all("value", F.lit(r"(\d+:[-+0-9.eE]+)"), F.lit(1))
+    rows = spark.read.text(path).where("not startswith(ltrim(value), '#')").select(F.explode(pairs).alias("p")).collect()
+    found = {int(k): float(v) for k, v in (r.p.split(":") for r in rows)}
+    if not found or max(found) > len(columns):
+        raise ValueError(f"{path} isn't a model of {len(columns)} features")
+    return {columns[k - 1] if k else "bias": v for k, v in sorted(found.items())}
+
+
+def features(mentions: DataFrame, taxa: DataFrame, ner: DataFrame, links: DataFrame, symbols: DataFrame, references: DataFrame, strict: bool = False) -> DataFrame:
     """The mentions with FEATURES.
 
     ner: (doc_id, begin, end, label) of equal spans; links: (id, n); symbols: (name, n); references: (id, name, n). What isn't
-    there counts 0.
+    there counts 0; strictly, mentions of unknown symbols, references or taxa go.
     """
     own = taxon_distance(counts(mentions), taxa)
+    if strict:
+        own = own.join(symbols.toDF("match", "_n"), "match", "left_semi").join(references.toDF("id", "match", "_n"), ["id", "match"], "left_semi").join(taxa, ["doc_id", "taxon"], "left_semi")
     own = own.join(ner.groupBy("doc_id", "begin", "end").agg(F.min("label").alias("_label")), ["doc_id", "begin", "end"], "left")
     own = own.join(links.toDF("id", "links"), "id", "left").join(symbols.toDF("match", "symbol"), "match", "left").join(references.toDF("id", "match", "id_symbol"), ["id", "match"], "left")
     n_taxon = taxa.groupBy("doc_id", "taxon").agg(F.count_distinct("begin", "end").alias("n_taxon"))
@@ -55,7 +94,8 @@ def features(mentions: DataFrame, taxa: DataFrame, ner: DataFrame, links: DataFr
 
 
 def linear_score(weights: dict[str, float]) -> Column:
-    return sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    """The sum of the weighted columns, and of a "bias"."""
+    return sum((F.col(c) * w for c, w in weights.items() if c != "bias"), F.lit(weights.get("bias", 0.0)))
 
 
 def top(df: DataFrame, score: Column, by: list[str], ties: list[str], n: int) -> DataFrame:

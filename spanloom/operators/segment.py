@@ -35,11 +35,19 @@ def running(lengths: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array((total - base).astype(np.int32)), mask=lengths.is_null())
 
 
-def tiled(docs: DataFrame, pattern: str, text: str = "text", *more: Column) -> DataFrame:
-    """(doc_id, *more, tiles) for each row; tiles holds (text, begin) of every match, in their order."""
+def laid_out(docs: DataFrame, pattern: str, text: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, *more, _a, _b) for each row: the texts of all matches, in their order, and where they begin."""
     own = docs.select("doc_id", *more, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)).alias("_a"))
     starts = F.arrow_udf(running, ArrayType(IntegerType()))
-    own = own.withColumn("_b", starts(F.transform("_a", lambda x: F.length(x))))
+    return own.withColumn("_b", starts(F.transform("_a", lambda x: F.length(x))))
+
+
+def tiled(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """(doc_id, tiles) for each row; tiles holds (text, begin) of every match, in their order."""
+    return zipped(laid_out(docs, pattern, text))
+
+
+def zipped(own: DataFrame) -> DataFrame:
     return own.select("doc_id", *(c for c in own.columns if c not in ("doc_id", "_a", "_b")), F.arrays_zip(F.col("_a").alias("text"), F.col("_b").alias("begin")).alias("tiles"))
 
 
@@ -49,14 +57,14 @@ def pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     return own.select("doc_id", "pos", F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 
-def word_tiles(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, tiles, off) of runs of letters and digits and of what is between; these alternate, and words are those at places off, off + 2, ..."""
-    return tiled(docs, WORDS, text, F.when(F.col(text).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1).alias("off"))
+def words_laid_out(docs: DataFrame, text: str = "text") -> DataFrame:
+    """laid_out() of runs of letters and digits and of what is between, with off; these alternate, and words are those at places off, off + 2, ..."""
+    return laid_out(docs, WORDS, text, F.when(F.col(text).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1).alias("off"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, tok_no, begin, end, text) of runs of letters and digits."""
-    own = word_tiles(docs).select("doc_id", "off", F.posexplode("tiles").alias("pos", "t")).where("(pos + off) % 2 = 0")
+    own = zipped(words_laid_out(docs)).select("doc_id", "off", F.posexplode("tiles").alias("pos", "t")).where("(pos + off) % 2 = 0")
     return own.select("doc_id", (F.floor(F.col("pos") / 2) + 1).cast("int").alias("tok_no"), F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 

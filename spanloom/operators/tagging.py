@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import subprocess
+import threading
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +17,11 @@ TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|[^\w\s]")
 KINDS = "array<struct<text: string, pos: string, stem: string, chunk: string, chunk_begin: boolean, chunk_end: boolean, begin: int, end: int, ner: string>>"
 _CLOSED = {**dict.fromkeys("the a an this that these those le la les un une der die das ein eine el los las una".split(), "DT"), **dict.fromkeys("of in on at by for with from to as de du des dans par pour von mit im zu en con del".split(), "IN"), **dict.fromkeys("and or but et ou und oder y o".split(), "CC"), **dict.fromkeys("is are was were be been has have had est ist sind es".split(), "VBZ"), **dict.fromkeys("he she it they we you i".split(), "PRP"), "not": "RB"}
 _LEMMAS = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have", "better": "well", "best": "well"}
-_SENTENCE_CHARS = 4096
 
 Tagger = Callable[[str], list[dict]]
 
 
+@lru_cache(200_000)
 def pos_of(word: str) -> str:
     low = word.lower()
     if not any(c.isalnum() for c in word):
@@ -52,16 +55,26 @@ def lemma(word: str, pos: str | None, lexicon: dict[str, dict[str, str]] | None
     return low
 
 
+_CHUNKS = {"DT": "NP", "JJ": "NP", "NN": "NP", "NNS": "NP", "CD": "NP", "PRP": "NP", "IN": "PP", "VBZ": "VP", "VBG": "VP", "VBD": "VP", "RB": "ADVP"}
+
+
+@lru_cache(200_000)
+def _word(word: str) -> tuple[str, str, str | None]:
+    pos = pos_of(word)
+    return pos, lemma(word, pos), _CHUNKS.get(pos)
+
+
 def rule_tagger(sentence: str) -> list[dict]:
     """Tokens with tags, chunks and lemmas by closed lists and endings; deterministic, no model."""
-    out, family = [], {"DT": "NP", "JJ": "NP", "NN": "NP", "NNS": "NP", "CD": "NP", "PRP": "NP", "IN": "PP", "VBZ": "VP", "VBG": "VP", "VBD": "VP", "RB": "ADVP"}
+    out: list[dict] = []
+    last = None
     for m in TOKEN.finditer(sentence):
-        pos = pos_of(m[0])
-        chunk = family.get(pos)
-        begin = bool(chunk) and (not out or out[-1]["chunk"] != chunk or pos in ("DT", "IN", "PRP"))
-        if out and out[-1]["chunk"]:
-            out[-1]["chunk_end"] = begin or chunk != out[-1]["chunk"]
-        out.append({"text": m[0], "pos": pos, "stem": lemma(m[0], pos), "chunk": chunk, "chunk_begin": begin, "chunk_end": bool(chunk), "begin": m.start(), "end": m.end(), "ner": None})
+        pos, stem, chunk = _word(m[0])
+        begin = bool(chunk) and (last is None or last["chunk"] != chunk or pos in ("DT", "IN", "PRP"))
+        if last and last["chunk"]:
+            last["chunk_end"] = begin or chunk != last["chunk"]
+        last = {"text": m[0], "pos": pos, "stem": stem, "chunk": chunk, "chunk_begin": begin, "chunk_end": bool(chunk), "begin": m.start(), "end": m.end(), "ner": None}
+        out.append(last)
     return out
 
 
@@ -82,19 +95,39 @@ def aligned(sentence: str, rows: list[list[str]]) -> list[dict]:
 
 
 class LineProcess:
-    """A program that reads a sentence a line and answers with lines up to an empty one; started anew if it ended."""
+    """A program that reads a sentence a line and answers with lines up to an empty one; started anew if it ended.
+
+    One that doesn't answer within timeout seconds is killed, which is an error of that sentence alone. What it writes to
+    its standard error goes to the log of the worker.
+    """
 
-    def __init__(self, command: list[str]):
-        self.command, self.process = command, None
+    def __init__(self, command: list[str], timeout: float = 30):
+        self.command, self.timeout, self.process = command, timeout, None
 
     def ask(self, line: str) -> list[str]:
         if self.process is None or self.process.poll() is not None:
-            self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, bufsize=1)
-        self.process.stdin.write(line.replace("\n", " ") + "\n")
-        self.process.stdin.flush()
-        out = []
-        while (got := self.process.stdout.readline()) and got.strip():
-            out.append(got.rstrip("\n"))
+            self.process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, bufsize=1)
+        late = threading.Event()
+
+        def kill() -> None:
+            late.set()
+            self.process.kill()
+
+        timer = threading.Timer(self.timeout, kill)
+        timer.start()
+        try:
+            self.process.stdin.write(line.replace("\n", " ") + "\n")
+            self.process.stdin.flush()
+            out = []
+            while (got := self.process.stdout.readline()) and got.strip():
+                out.append(got.rstrip("\n"))
+        finally:
+            timer.cancel()
+            if late.is_set():
+                self.process.wait()
+                self.process = None
+        if late.is_set():
+            raise TimeoutError(f"no answer within {self.timeout} seconds")
         return out
 
     def close(self) -> None:
@@ -102,46 +135,77 @@ class LineProcess:
             self.process.kill()
 
 
-def process_tagger(command: list[str]) -> Tagger:
-    """A tagger whose program answers with tab-separated word, stem, pos, chunk and entity tags."""
+def process_tagger(command: list[str], timeout: float = 30, most_chars: int | None = None) -> Tagger:
+    """A tagger whose program answers with tab-separated word, stem, pos, chunk and entity tags. most_chars: for a program that can't take longer sentences; they fail."""
     held: list[LineProcess] = []
 
     def tag(sentence: str) -> list[dict]:
+        if most_chars and len(sentence) > most_chars:
+            raise ValueError(f"a sentence of more than {most_chars} characters")
         if not held:
-            held.append(LineProcess(command))
+            held.append(LineProcess(command, timeout))
         return aligned(sentence, [x.split("\t") for x in held[0].ask(sentence)])
 
     return tag
 
 
-def tag_sentences(sentences: DataFrame, tagger: Tagger = rule_tagger, drop_failed: bool = True) -> DataFrame:
-    """(doc_id, sent_no, begin, end, tokens): offsets of tokens are those of the document. Sentences that are too long, or that the tagger fails on, go."""
+_TOKEN = pa.struct([("text", pa.string()), ("pos", pa.string()), ("stem", pa.string()), ("chunk", pa.string()), ("chunk_begin", pa.bool_()), ("chunk_end", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32()), ("ner", pa.string())])
+
+
+def tag_sentences(sentences: DataFrame, tagger: Tagger = rule_tagger) -> DataFrame:
+    """(doc_id, sent_no, begin, end, tokens): offsets of tokens are those of the document.
+
+    Sentences of any length are tagged. Those that the tagger fails on, and those without text, stay, with null tokens:
+    failed() lists them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, sent, b, e, text in zip(*(c.to_pylist() for c in batch.columns)):
+            sizes, flat = [], {f.name: [] for f in _TOKEN}
+            for b, text in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 try:
-                    if len(text) > _SENTENCE_CHARS:
-                        raise ValueError("too long")
-                    tokens = tagger(text)
+                    tokens = None if text is None else tagger(text)
                 except (ValueError, OSError):
-                    if drop_failed:
-                        continue
-                    tokens = []
-                rows.append((doc, sent, b, e, [t | {"begin": t["begin"] + b, "end": t["end"] + b} for t in tokens]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
+                    tokens = None
+                sizes.append(None if tokens is None else len(tokens))
+                for name, own in flat.items():
+                    if name in ("begin", "end"):
+                        own.extend([t[name] + b for t in tokens or ()])
+                    else:
+                        own.extend([t[name] for t in tokens or ()])
+            null = pa.array([n is None for n in sizes], pa.bool_())
+            offsets = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])]).astype(np.int32)
+            values = pa.StructArray.from_arrays([pa.array(flat[f.name], f.type) for f in _TOKEN], fields=list(_TOKEN))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)], ["doc_id", "sent_no", "begin", "end", "tokens"])
 
-    token = pa.struct([("text", pa.string()), ("pos", pa.string()), ("stem", pa.string()), ("chunk", pa.string()), ("chunk_begin", pa.bool_()), ("chunk_end", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32()), ("ner", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("sent_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("tokens", pa.list_(token))])
-    return sentences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_no").cast("int").alias("sent_no"), "begin", "end", "text").mapInArrow(run, f"doc_id long, sent_no int, begin int, end int, tokens {KINDS}")
+    own = sentences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_no").cast("int").alias("sent_no"), F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "text")
+    return own.mapInArrow(run, f"doc_id long, sent_no int, begin int, end int, tokens {KINDS}")
+
+
+def failed(tagged: DataFrame) -> DataFrame:
+    """(doc_id, sent_no, begin, end) of the sentences that couldn't be tagged."""
+    return tagged.where("tokens is null").drop("tokens")
 
 
 def token_rows(tagged: DataFrame) -> DataFrame:
     return tagged.select("doc_id", "sent_no", F.posexplode("tokens").alias("tok_no", "t")).select("doc_id", "sent_no", "tok_no", "t.*")
 
 
+def parsed(sentence: str, parse: Callable[[str], str | None], most: int = 200) -> list[tuple[int, int, str]]:
+    """constituents() of what parse says of the sentence; if that is nothing and the sentence has more than most characters, those of its parts at ";", then at ","."""
+    tree = parse(sentence)
+    if tree:
+        return constituents(tree, sentence)
+    for cut in ";,":
+        if len(sentence) > most and cut in sentence:
+            found, at = [], 0
+            for part in sentence.split(cut):
+                found += [(at + b, at + e, t) for b, e, t in parsed(part, parse, most)]
+                at += len(part) + 1
+            return found
+    return []
+
+
 def constituents(tree: str, sentence: str) -> list[tuple[int, int, str]]:
     """(begin, end, tag) of the phrases of a bracketed parse; the innermost of equal spans, none of the whole sentence."""
     found: dict[tuple[int, int], str] = {}

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import offsets, text
 from ..functions.similarity import column as similarity
 from ..operators import entities, extract, filters, gazetteer, joins, learn, patterns, rank, relations, segment, tagging
+from ..sinks import lines
+from ..sources import files
+from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,7 +84,17 @@ def seg_sentences_single(spark, d):
     return sents(spark, d)
 
 
-@query()
+#: Gaps first, then sentences of what is between them.
+_SUCCESSIVE = f"""WITH cut AS (SELECT doc_id, regexp_extract_all(text, '{segment._GAP}') AS g, regexp_split_to_array(text, '{segment._GAP}') AS p FROM documents),
+part AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS part, g FROM cut),
+laid AS (SELECT doc_id, i, part, coalesce(sum(length(part) + coalesce(length(g[i]), 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM part),
+own AS (SELECT doc_id, i, lo, unnest(range(1, len(a) + 1)) AS j, unnest(a) AS t FROM (SELECT *, regexp_extract_all(part, '([^.!?]*[.!?]+|[^.!?]+)') AS a FROM laid)),
+put AS (SELECT doc_id, i, j, t, regexp_replace(t, '^[ \t\n\r\f\v]+', '') AS l, lo + coalesce(sum(length(t)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM own),
+fin AS (SELECT doc_id, i, j, CAST(b + length(t) - length(l) AS INTEGER) AS "begin", regexp_replace(l, '[ \t\n\r\f\v]+$', '') AS text FROM put)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS INTEGER) AS sent_no, "begin", CAST("begin" + length(text) AS INTEGER) AS "end", text FROM fin WHERE text <> ''"""
+
+
+@query(_SUCCESSIVE, prelude=False)
 def seg_sentences_successive(spark, d):
     return segment.sentences(docs(spark, d), "successive")
 
@@ -173,7 +186,10 @@ def gaz_variants_keys(spark, d):
     return gazetteer.with_variants(own)
 
 
-@query()
+@query(WITH.replace("WITH pieces", "WITH RECURSIVE pieces") + """, k AS (SELECT name, list_sort(list(DISTINCT id)) AS ids FROM gaz GROUP BY name),
+found AS (SELECT doc_id, text, name, ids, strpos(lower(text), name) AS p FROM documents, k WHERE contains(lower(text), name)
+UNION ALL SELECT doc_id, text, name, ids, p + strpos(substring(lower(text), p + 1), name) FROM found WHERE strpos(substring(lower(text), p + 1), name) > 0)
+SELECT doc_id, CAST(p - 1 AS INTEGER) AS "begin", CAST(p - 1 + length(name) AS INTEGER) AS "end", substring(text, p, length(name)) AS "match", ids FROM found""", prelude=False)
 def gaz_exact_all_positions(spark, d):
     return gazetteer.match_everywhere(docs(spark, d), gaz(spark, d))
 
@@ -324,14 +340,16 @@ def rank_training_rows(spark, d):
 
 
 def _judged(spark, d):
-    own = mentions(spark, d)
+    """Mentions without their first and last letter, so that these are a prefix and a suffix; judged by the document's quality."""
+    own = mentions(spark, d).select("doc_id", (F.col("begin") + 1).alias("begin"), (F.col("end") - 1).alias("end"), "match").distinct()
     near = joins.surroundings(own, segment.tokens(docs(spark, d)))
     gold = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("hit"))
-    rows = own.select("doc_id", "begin", "end", "match").distinct().join(near, ["doc_id", "begin", "end"]).join(gold, "doc_id")
-    return rows.select("doc_id", "begin", "end", "hit", "before", "after", F.lit("").alias("prefix"), F.lit("").alias("suffix"), F.col("match").alias("token"))
+    rows = own.join(near, ["doc_id", "begin", "end"]).join(gold, "doc_id")
+    return rows.select("doc_id", "begin", "end", "hit", "before", "after", "prefix", "suffix", F.col("match").alias("token"))
 
 
-_JUDGED = f""", {_NEAR}, judged AS (SELECT n.doc_id, n."begin", n."end", quality = 1 AS hit, before, after, '' AS prefix, '' AS suffix, "match" AS token FROM (SELECT DISTINCT doc_id, "begin", "end", "match" FROM mentions) m JOIN near n USING (doc_id, "begin", "end") JOIN labels USING (doc_id)),
+_INNER = _NEAR.replace("SELECT DISTINCT doc_id, \"begin\", \"end\" FROM mentions", "SELECT DISTINCT doc_id, \"begin\" + 1 AS \"begin\", \"end\" - 1 AS \"end\", \"match\" FROM mentions")
+_JUDGED = f""", {_INNER}, judged AS (SELECT n.doc_id, n."begin", n."end", quality = 1 AS hit, before, after, substring("match", 1, 1) AS prefix, substring("match", length("match"), 1) AS suffix, "match" AS token FROM near n JOIN labels USING (doc_id)),
 counts AS (SELECT field, value, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT hit, unnest(['before', 'after', 'prefix', 'suffix', 'token']) AS field, unnest([before, after, prefix, suffix, token]) AS value FROM judged) WHERE value IS NOT NULL GROUP BY field, value),
 context AS (SELECT field, value FROM counts WHERE field <> 'token' AND CASE WHEN hits > 0 AND misses > 0 THEN misses / hits >= CASE WHEN field IN ('before', 'after') THEN 1.2 ELSE 1.1 END ELSE hits = 0 AND misses >= 1.2 END),
 less AS (SELECT token AS value, count(*) AS less FROM judged WHERE NOT hit AND (before IN (SELECT value FROM context WHERE field = 'before') OR after IN (SELECT value FROM context WHERE field = 'after') OR prefix IN (SELECT value FROM context WHERE field = 'prefix') OR suffix IN (SELECT value FROM context WHERE field = 'suffix')) GROUP BY token),
@@ -368,26 +386,60 @@ def agg_run_collapse(spark, d):
     return learn.collapse_runs(own, ["conv_id"], ["turn"], ["role"], "number").select("conv_id", "run", "role", "n", F.array_join("numbers", ",").alias("turns"))
 
 
+def _file(df: DataFrame, *columns) -> str:
+    """A file of tab-separated lines of the columns, in one part as resource files are."""
+    return files.scratch(df.select(F.concat_ws("\t", *columns).alias("value")).coalesce(1))
+
+
 @query("SELECT name AS key, array_to_string(list_sort(list(DISTINCT id)), ',') AS vals FROM gaz GROUP BY name")
 def src_key_sets(spark, d):
-    return gaz(spark, d).groupBy(F.col("name").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("vals"))
+    own = files.string_sets(spark, _file(gaz(spark, d), "name", "id"))
+    return own.select("key", F.array_join("values", ",").alias("vals"))
 
 
-@query("SELECT lang AS key, arg_max(source, doc_id) AS val FROM documents GROUP BY lang", prelude=False)
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS key, arg_max(s_name, s_suppkey) AS val FROM supplier GROUP BY s_nationkey", prelude=False)
 def src_last_wins(spark, d):
-    return docs(spark, d).groupBy(F.col("lang").alias("key")).agg(F.max_by("source", "doc_id").alias("val"))
+    own = read(spark, d, "supplier").orderBy("s_suppkey")
+    return files.string_map(spark, _file(own, "s_nationkey", "s_name")).withColumnRenamed("value", "val")
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL", prelude=False)
+@query("SELECT lang AS key, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY lang", prelude=False)
 def src_counters(spark, d):
-    return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return files.counters(spark, _file(docs(spark, d).groupBy("lang").count(), "lang", "count"))
+
+
+@query("SELECT lang, source, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY ALL", prelude=False)
+def src_nested_counters(spark, d):
+    own = files.nested_counters(spark, _file(docs(spark, d).groupBy("lang", "source").count(), "lang", "source", "count"))
+    return own.select(F.col("key").alias("lang"), F.explode("counts").alias("source", "n"))
 
 
-@query("SELECT n_name AS key, r AS pos, ['region', 'nation'][r + 1] AS type, CASE r WHEN 0 THEN r_name ELSE n_name END AS id FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([0, 1]) AS r)", prelude=False)
+@query("SELECT n_name AS key, ['region', 'nation'][r + 1] AS type, 'geo' AS namespace, CASE r WHEN 0 THEN r_name ELSE n_name END AS id FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([0, 1]) AS r)", prelude=False)
 def src_relation_unnest(spark, d):
     own = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    e = lambda t, c: F.struct(F.lit(t).alias("type"), F.col(c).alias("id"))
-    return own.select(F.col("n_name").alias("key"), F.posexplode(F.array(e("region", "r_name"), e("nation", "n_name"))).alias("pos", "x")).select("key", "pos", "x.type", "x.id")
+    path = _file(own, "n_name", F.lit("region"), F.lit("geo"), "r_name", F.lit("nation"), F.lit("geo"), "n_name")
+    return files.relation_entities(files.relations(spark, path))
+
+
+@query("SELECT r_name AS key, 'nation' AS type, 'geo' AS namespace, n_name AS id FROM nation JOIN region ON n_regionkey = r_regionkey", prelude=False)
+def src_entity_map(spark, d):
+    own = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return files.entities(spark, _file(own, "r_name", F.lit("nation"), F.lit("geo"), "n_name")).select("key", F.explode("entities").alias("e")).select("key", "e.*")
+
+
+@query("SELECT DISTINCT id, name FROM gaz")
+def src_line_gazetteer(spark, d):
+    return files.gazetteer(spark, _file(gaz(spark, d), "id", "name"))
+
+
+@query("SELECT doc_id, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.txt' AS file FROM documents UNION ALL SELECT -1 - page_id, regexp_extract(url, '([^/]+)/*$', 1) FROM pages WHERE false", prelude=False)
+def snk_file_names(spark, d):
+    return lines.file_names(docs(spark, d).select("doc_id"), "txt")
+
+
+@query("SELECT page_id AS doc_id, CASE WHEN n > 1 THEN name || '.' || n ELSE name END || '.txt' AS file FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) AS n FROM (SELECT page_id, regexp_replace(regexp_extract(url, '([^/]+)/*$', 1), '(.)[.][^.]*$', '\\1') AS name FROM pages))", prelude=False)
+def snk_file_names_of_uris(spark, d):
+    return lines.file_names(read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri")), "txt")
 
 
 @query("SELECT s_name AS name FROM supplier UNION SELECT p_name FROM part", prelude=False)
@@ -409,23 +461,28 @@ def sql_name_union(spark, d):
     return one.union(two).distinct()
 
 
-@query(f""", {_NEAR} SELECT doc_id, coalesce(before, '') || chr(9) || "match" || chr(9) || coalesce(after, '') || chr(9) || "begin" || ':' || "end" || chr(9) || taxon || ':' || id || chr(9) || 'name="' || name || '"' AS line FROM mentions JOIN near USING (doc_id, "begin", "end")""")
+@query(f""", {_NEAR} SELECT m.doc_id, m."begin", m."end", coalesce(before, '') || chr(9) || chr(9) || "match" || chr(9) || chr(9) || coalesce(after, '') || chr(9) || m."begin" || ':' || m."end" || chr(9) || taxon || ':' || id || chr(9) || format('{{:.5f}}', 1.0::DOUBLE / length("match")) || chr(9) || 'name="' || name || '"' AS line FROM mentions m JOIN near USING (doc_id, "begin", "end")""")
 def snk_annotation_line(spark, d):
-    own = mentions(spark, d).join(joins.neighbours(mentions(spark, d), segment.tokens(docs(spark, d))), ["doc_id", "begin", "end"])
-    line = F.concat_ws("\t", F.coalesce("before", F.lit("")), text.flat(F.col("match")), F.coalesce("after", F.lit("")), text.offset_string(F.col("begin"), F.col("end")), F.concat_ws(":", "taxon", "id"), text.quoted_property(F.lit("name"), F.col("name")))
-    return own.select("doc_id", line.alias("line"))
+    own = mentions(spark, d).withColumns({"namespace": F.col("taxon"), "identifier": F.col("id"), "confidence": F.lit(1.0) / F.length("match"), "properties": F.array(F.struct(F.lit("name").alias("name"), F.col("name").alias("value")))})
+    return lines.annotation_lines(own, segment.tokens(docs(spark, d)))
 
 
-@query(r"""SELECT s.doc_id, sent_no, string_agg(t.text || '_' || lower(t.text), ' ' ORDER BY tok_no) AS line FROM sentences s JOIN tokens t ON s.doc_id = t.doc_id AND t."begin" >= s."begin" AND t."end" <= s."end" GROUP BY ALL""")
+@query(f""", flags AS (SELECT doc_id, tok_no, CASE WHEN tag <> 'O' THEN substring(tag, 3) END AS chunk, tag LIKE 'B%' AS cb, tag <> 'O' AND (nxt IS NULL OR nxt NOT LIKE 'I%') AS ce FROM (SELECT doc_id, tok_no, tag, lead(tag) OVER (PARTITION BY doc_id ORDER BY tok_no) AS nxt FROM (SELECT *, {TAG} AS tag FROM tokens)))
+SELECT s.doc_id, sent_no AS line_no, string_agg(CASE WHEN cb THEN '[ ' || chunk || ' ' ELSE '' END || t.text || '_X_' || lower(t.text) || CASE WHEN ce THEN ' ]' ELSE '' END, ' ' ORDER BY t.tok_no) AS line
+FROM sentences s JOIN tokens t ON s.doc_id = t.doc_id AND t."begin" >= s."begin" AND t."end" <= s."end" JOIN flags f ON f.doc_id = t.doc_id AND f.tok_no = t.tok_no GROUP BY ALL""")
 def snk_tagged_sentence(spark, d):
-    both = joins.within(segment.tokens(docs(spark, d)), sents(spark, d).drop("text"), "s_")
-    word = F.concat_ws("_", text.escape_underscores(F.col("text")), F.lower("text"))
-    return both.groupBy("doc_id", F.col("s_sent_no").alias("sent_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", word.alias("w")))), lambda x: x["w"]), " ").alias("line"))
+    own = segment.chunk_flags(segment.tokens(docs(spark, d)), F.expr(TAG)).withColumns({"pos": F.lit("X"), "stem": F.lit(None).cast("string")})
+    return lines.tagged_lines(own, sents(spark, d))
+
+
+@query(r"""SELECT doc_id, CAST(sent_no * 2 AS INTEGER) AS line_no, trim(regexp_replace(text, '[\t\x0B\f\r\x1C-\x1F\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', ' ', 'g')) AS line FROM sentences""")
+def snk_sentence_line(spark, d):
+    return lines.sentence_lines(sents(spark, d), docs(spark, d))
 
 
-@query("""SELECT doc_id, taxon || chr(9) || id || chr(9) || "begin" || ':' || "end" || chr(9) || "match" AS line FROM mentions""")
+@query("""SELECT doc_id, "begin", "end", taxon || chr(9) || id || chr(9) || "begin" || ':' || "end" || chr(9) || "match" AS line FROM mentions""")
 def snk_semantic_line(spark, d):
-    return mentions(spark, d).select("doc_id", F.concat_ws("\t", "taxon", "id", text.offset_string(F.col("begin"), F.col("end")), text.flat(F.col("match"))).alias("line"))
+    return lines.semantic_lines(mentions(spark, d).withColumns({"namespace": F.col("taxon"), "identifier": F.col("id")}))
 
 
 @query("""SELECT s.doc_id, sent_no, 'rel:coocc#c=1.00000' || chr(9) || string_agg(taxon || '/' || id || '#c=1.00000', chr(9) ORDER BY CASE taxon WHEN 'en' THEN 0 ELSE 1 END, m."begin", m."end", id) AS line
@@ -433,9 +490,7 @@ FROM sentences s JOIN mentions m ON m.doc_id = s.doc_id AND m."begin" >= s."begi
 def snk_relationship_line(spark, d):
     own = annotations(spark, d)
     rel = relations.cooccurrence(sents(spark, d), own.where("namespace = 'en'"), own.where("namespace = 'fr'"))
-    conf = F.concat(F.lit("#c="), F.format_number(F.lit(1.0), 5))
-    parts = F.transform("targets", lambda t: F.concat(t["namespace"], F.lit("/"), t["identifier"], conf))
-    return rel.select("doc_id", "sent_no", F.concat_ws("\t", F.concat(F.lit("rel:coocc"), conf), F.array_join(parts, "\t")).alias("line"))
+    return lines.relation_lines(rel, "rel", "coocc")
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(text, '[\t\x0B\f\r\x1C-\x1F\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', ' ', 'g')) AS t FROM documents""", prelude=False)
@@ -480,18 +535,42 @@ def ord_canonical(spark, d):
     return offsets.canonical_order(own).select("doc_id", "begin", "end", F.col("identifier").alias("id"), "namespace")
 
 
-def _similar(name: str) -> None:
+_PAIRS = """, names AS (SELECT DISTINCT name FROM gaz), pairs AS (SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON substring(x.name, 1, 1) = substring(y.name, 1, 1) AND x.name < y.name)"""
+
+
+def _table_sql(substitution: str, unit: int, swap: str = "") -> str:
+    """The last number of the table of edits of a and b, row by row: acc is the row so far, r[2] the row before, r[1] the one before that."""
+    best = f"least(r[2][j[1] + 1] + {unit}, acc[len(acc)] + {unit}, r[2][j[1]] + {substitution}{swap})"
+    row = f"list_reduce(list_prepend([{unit} * i[1][1]], list_transform(range(1, length(b) + 1), lambda k: [k])), lambda acc, j: list_append(acc, {best}))"
+    return f"list_reduce(list_prepend([CAST([] AS BIGINT[]), list_transform(range(0, length(b) + 1), lambda k: {unit} * k)], list_transform(range(1, length(a) + 1), lambda k: [[k]])), lambda r, i: [r[2], {row}])[2][length(b) + 1]"
+
+
+_SAME = "substring(a, i[1][1], 1) = substring(b, j[1], 1)"
+_SWAP = ", CASE WHEN i[1][1] > 1 AND j[1] > 1 AND substring(a, i[1][1], 1) = substring(b, j[1] - 1, 1) AND substring(a, i[1][1] - 1, 1) = substring(b, j[1], 1) THEN r[1][j[1] - 1] + 1 ELSE 1000000 END"
+_CASES = f"CASE WHEN {_SAME} THEN 0 WHEN lower(substring(a, i[1][1], 1)) = lower(substring(b, j[1], 1)) THEN 1 ELSE 2 END"
+_HEAD = "CASE WHEN substring(a, 1, 4) = substring(b, 1, 4) THEN 4 WHEN substring(a, 1, 3) = substring(b, 1, 3) THEN 3 WHEN substring(a, 1, 2) = substring(b, 1, 2) THEN 2 ELSE 1 END"
+
+
+#: Letters that aren't ASCII as ones of their own that are: SQL's functions of the same name count bytes.
+_ACCENTS, _PLAIN = "àáâäãåæçèéêëìíîïñòóôöõøùúûüýÿßœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&"
+
+
+def _similar(name: str, sql: str) -> None:
     def run(spark, d):
         g = gaz(spark, d).select("name").distinct()
-        pairs = g.select(F.col("name").alias("a")).crossJoin(g.select(F.col("name").alias("b"))).where("substring(a, 1, 2) = substring(b, 1, 2) AND a < b")
-        return pairs.select("a", "b", similarity(name)("a", "b").alias("value"))
+        pairs = g.select(F.col("name").alias("a")).join(g.select(F.col("name").alias("b")), F.expr("substring(a, 1, 1) = substring(b, 1, 1) AND a < b"))
+        value = similarity(name)(F.translate("a", _ACCENTS, _PLAIN), F.translate("b", _ACCENTS, _PLAIN)) if "jaro" in name else similarity(name)("a", "b")
+        return pairs.select("a", "b", (value if name.endswith("distance") else F.round(value, 9)).alias("value"))
 
     run.__name__ = f"sim_{name}"
-    query()(run)
+    query(f"{_PAIRS} SELECT a, b, {sql} AS value FROM pairs")(run)
 
 
-for _name in ("leitner_similarity", "osa_distance", "jaro", "jaro_winkler"):
-    _similar(_name)
+_similar("case_similarity", f"round(1 - ({_table_sql(_CASES, 2)}) / (2 * greatest(length(a), length(b))), 9)")
+_similar("osa_distance", f"CAST({_table_sql(f'CASE WHEN {_SAME} THEN 0 ELSE 1 END', 1, _SWAP)} AS INTEGER)")
+_JARO = f"jaro_similarity(translate(a, '{_ACCENTS}', '{_PLAIN}'), translate(b, '{_ACCENTS}', '{_PLAIN}'))"
+_similar("jaro", f"round({_JARO}, 9)")
+_similar("jaro_winkler", f"round({_JARO} + {_HEAD} * 0.1 * (1 - {_JARO}), 9)")
 
 
 @query(f""", {_NEAR} SELECT m.doc_id, m."begin", m."end", "match", m.id, taxon, CAST(1.0 AS DOUBLE) AS confidence, before, after FROM mentions m JOIN near USING (doc_id, "begin", "end")""")
@@ -534,9 +613,10 @@ def pat_syntax(spark, d):
     return patterns.annotate(tagging.tag_sentences(sents(spark, d)), resource)
 
 
-@query()
+@query("""SELECT doc_id, unnest([0, 0, 10]) AS "begin", unnest([7, 7, 17]) AS "end", unnest(['gene7-9', 'gene7-9', 'gene7/9']) AS "match", unnest(['8', '9', '9']) AS id FROM documents WHERE text IS NOT NULL""", prelude=False)
 def gaz_expansions(spark, d):
-    own = docs(spark, d).select("doc_id", F.concat(F.lit("gene7-9 : gene7/9, "), F.substring("text", 1, 20)).alias("text"))
+    """Whole texts, each after two lists; the texts themselves have none of these names."""
+    own = docs(spark, d).select("doc_id", F.concat(F.lit("gene7-9 : gene7/9, "), "text").alias("text"))
     genes = spark.createDataFrame([(str(i), f"gene{i}") for i in range(12)], "id string, name string")
     return gazetteer.match_expansions(own, gazetteer.match_tokens(own, genes), genes)
 
@@ -549,14 +629,140 @@ def ent_known_regex(spark, d):
     return entities.known_entities(docs(spark, d), wanted, names)
 
 
-@query()
+_BEST = """, best AS (SELECT *, 1 - len(list_filter(range(1, length("match") + 1), lambda i: substring("match", i, 1) <> substring(name, i, 1))) / (2.0 * length("match")) AS conf FROM mentions)"""
+
+
+@query(_BEST + """ SELECT doc_id, "begin", "end", "match", id, name, round(conf, 9) AS confidence FROM best""")
 def gaz_best_names(spark, d):
+    """A mention differs from its name by case alone, which is less than from any other name."""
     g = gaz(spark, d)
     own = mentions(spark, d).select("doc_id", "begin", "end", "match", "id")
-    return gazetteer.best_names(own, g.select("id", "name"), least=0.5)
+    return gazetteer.best_names(own, g.select("id", "name"), least=0.5).select("doc_id", "begin", "end", "match", "id", "name", F.round("confidence", 9).alias("confidence"))
 
 
 @query("""SELECT doc_id, CAST(begin AS INTEGER) AS "begin", CAST(begin AS INTEGER) AS utf16 FROM (SELECT doc_id, "begin" AS begin FROM tokens)""")
 def str_utf16_offset(spark, d):
     own = segment.tokens(docs(spark, d)).select("doc_id", "begin").join(docs(spark, d).select("doc_id", "text"), "doc_id")
     return own.select("doc_id", "begin", offsets.to_utf16_offset(F.col("text"), F.col("begin")).cast("int").alias("utf16"))
+
+
+@query(""", scopes AS (SELECT doc_id, "begin", "end" FROM sentences WHERE sent_no % 2 = 0) SELECT m.* FROM mentions m JOIN scopes s ON m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" """)
+def gaz_scope(spark, d):
+    g = gaz(spark, d)
+    return gazetteer.in_scope(docs(spark, d), sents(spark, d).where("sent_no % 2 = 0"), lambda x: gazetteer.match_tokens(x, g))
+
+
+@query("""SELECT t.doc_id, tok_no, k.name AS key FROM tokens t JOIN (SELECT DISTINCT substring(name, 1, 4) AS name FROM gaz UNION SELECT DISTINCT name FROM gaz) k ON starts_with(lower(t.text), k.name)""")
+def join_prefix(spark, d):
+    g = gaz(spark, d)
+    keys = g.select(F.substring("name", 1, 4).alias("key")).union(g.select("name")).distinct()
+    return gazetteer.prefixes(segment.tokens(docs(spark, d)).select("doc_id", "tok_no", F.lower("text").alias("text")), keys).select("doc_id", "tok_no", "key")
+
+
+@query("""SELECT doc_id, "match", count(DISTINCT ("begin", "end")) AS n FROM mentions GROUP BY ALL""")
+def agg_distinct_offsets(spark, d):
+    return rank.distinct_offsets(mentions(spark, d))
+
+
+@query("""SELECT doc_id, "begin", "end", "match", array_to_string(list_sort(list(DISTINCT id)), ',') AS ids FROM mentions GROUP BY ALL""")
+def agg_ids(spark, d):
+    return rank.ids_of(mentions(spark, d), ["doc_id", "begin", "end", "match"]).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("""SELECT m.doc_id, m."begin", m."end", m.id, CASE WHEN s.sent_no % 2 = 0 THEN 'even' END AS label FROM mentions m LEFT JOIN (SELECT * FROM sentences WHERE sent_no % 2 = 0) s ON m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" """)
+def join_first_within(spark, d):
+    own = rank.first_within(mentions(spark, d), sents(spark, d).where("sent_no % 2 = 0").withColumn("label", F.lit("even")))
+    return own.select("doc_id", "begin", "end", "id", "label")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'by letter' WHEN n_nationkey % 3 = 1 THEN 'by name' END AS found FROM nation""", prelude=False)
+def str_greek_fallback(spark, d):
+    k = F.col("n_nationkey")
+    own = read(spark, d, "nation").select("n_nationkey", F.concat(F.when(k % 3 == 2, "x-δ").otherwise(F.concat("n_name", F.lit("-β")))).alias("name"))
+    known = read(spark, d, "nation").select(F.concat("n_name", F.when(k % 3 == 0, "-β").otherwise("-beta")).alias("key"), F.when(k % 3 == 0, "by letter").otherwise("by name").alias("value"))
+    return rank.looked_up(own, "name", known, "found").select("n_nationkey", "found")
+
+
+@query("SELECT n_nationkey, n_name || '(geo:' || n_nationkey || ')' AS t FROM nation", prelude=False)
+def str_entity(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", text.entity_string(F.col("n_name"), F.lit("geo"), F.col("n_nationkey").cast("string")).alias("t"))
+
+
+_OPTIONS = pipelines.Options(newlines="single")
+
+
+def _longest(sentence: str) -> list[dict]:
+    """A tagger for which words of ten characters and more are entities."""
+    return [t | {"ner": "B-LONG" if len(t["text"]) >= 10 else "O"} for t in tagging.rule_tagger(sentence)]
+
+
+@query()
+def pipe_extract(spark, d):
+    own = read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), F.lit("text/html").alias("mime"), F.col("html").alias("raw"))
+    return pipelines.text_of(own).select("doc_id", "text")
+
+
+@query("SELECT * FROM sentences WHERE regexp_matches(text, 'th[aeiou]nd') OR regexp_matches(text, '^[AEIOU]')")
+def pipe_split(spark, d):
+    return pipelines.split(docs(spark, d), pipelines.Options(newlines="single", sentence_patterns=REGEX))
+
+
+@query("""SELECT doc_id, sent_no, "begin", "end" FROM sentences""")
+def pipe_pre(spark, d):
+    return pipelines.preprocess(docs(spark, d), _OPTIONS).where("tokens is not null").select("doc_id", "sent_no", "begin", "end")
+
+
+@query()
+def pipe_tag(spark, d):
+    return pipelines.tag(docs(spark, d), _OPTIONS)
+
+
+@query()
+def pipe_grep(spark, d):
+    return pipelines.grep(docs(spark, d), [("( [ NP DT_* . + ] ) [ PP IN_* ] ( [ NP . + ] )", [("rel", "of"), ("sem", "head"), ("sem", "part")])], _OPTIONS)
+
+
+@query("""SELECT doc_id, "begin", "end", "match", id AS taxon, CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 0.5 ELSE round(1.0 / count(*) OVER (PARTITION BY doc_id, "begin", "end"), 9) END AS confidence FROM mentions""")
+def pipe_match(spark, d):
+    species = gaz(spark, d).select("id", "name", F.when(F.col("id").cast("int") % 2 == 0, 0.5).alias("prob"))
+    return pipelines.match_taxa(docs(spark, d), species).withColumn("confidence", F.round(F.col("confidence").cast("double"), 9))
+
+
+@query()
+def pipe_bioner(spark, d):
+    return pipelines.entity_spans(docs(spark, d), pipelines.Options(newlines="single", tagger=_longest))
+
+
+@query(_BEST + """ SELECT DISTINCT doc_id, "begin", "end", "match", id, taxon, name, round(conf, 9) AS confidence FROM best""")
+def pipe_norm(spark, d):
+    return pipelines.normalize(docs(spark, d), gaz(spark, d), _OPTIONS).select("doc_id", "begin", "end", "match", "id", "taxon", "name", F.round("confidence", 9).alias("confidence"))
+
+
+@query("""SELECT s.doc_id, sent_no, string_agg(m."begin" || ':' || m."end" || ':' || id, ';' ORDER BY CASE taxon WHEN 'en' THEN 0 ELSE 1 END, m."begin", m."end", id) AS targets
+FROM sentences s JOIN mentions m ON m.doc_id = s.doc_id AND m."begin" >= s."begin" AND m."end" <= s."end" WHERE taxon IN ('en', 'fr') GROUP BY s.doc_id, sent_no HAVING count(DISTINCT taxon) = 2""")
+def pipe_ginx(spark, d):
+    g = gaz(spark, d)
+    rel = pipelines.interactions(docs(spark, d), g.where("taxon = 'en'"), g.where("taxon = 'fr'"), _OPTIONS)
+    return rel.select("doc_id", "sent_no", F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["begin"], t["end"], t["identifier"])), ";").alias("targets"))
+
+
+@query()
+def pipe_grex(spark, d):
+    own = pipelines.regulations(docs(spark, d), [("( [ NP . + ] )", [("rel", "any"), ("sem", "head")])], {"head": gaz(spark, d)}, _OPTIONS)
+    return own.select("doc_id", "rel_id")
+
+
+def _wanted(spark, d):
+    wanted = docs(spark, d).select("doc_id", F.lit("word").alias("type"), F.lit("gaz").alias("namespace"), F.explode(F.array((F.col("doc_id") % 40).cast("string"), ((F.col("doc_id") + 1) % 40).cast("string"))).alias("id"))
+    return wanted, gaz(spark, d).select(F.lit("gaz").alias("namespace"), "id", "name")
+
+
+@query()
+def pipe_entities(spark, d):
+    return pipelines.known(docs(spark, d), *_wanted(spark, d))
+
+
+@query()
+def pipe_patterns(spark, d):
+    rel = docs(spark, d).select("doc_id", F.array((F.col("doc_id") % 40).cast("string"), ((F.col("doc_id") + 1) % 40).cast("string")).alias("rel"))
+    return pipelines.relation_texts(docs(spark, d), *_wanted(spark, d), rel, _OPTIONS)

@@ -26,6 +26,7 @@ class Options:
     context_whitelist: bool = False
     minimum_similarity: float = 0.0
     weights: dict[str, float] | None = None
+    variants: bool = True  #: names match with "-", a space or nothing at their gaps
 
 
 def text_of(raw: DataFrame, o: Options = Options(), kind: Column | None = None) -> DataFrame:
@@ -89,7 +90,8 @@ def normalize(docs: DataFrame, genes: DataFrame, o: Options = Options(), taxa: D
     taxa restricts documents to the taxa they mention; references map ids; counts are (links, symbols, references) of the
     features.
     """
-    own = gazetteer.match_tokens(docs, gazetteer.with_greek(genes), most_words=None)
+    names = gazetteer.with_greek(genes)
+    own = gazetteer.match_variants(docs, names).unionByName(gazetteer.match_tokens(docs, names, most_words=None)) if o.variants else gazetteer.match_tokens(docs, names, most_words=None)
     own = gazetteer.best_names(own.dropDuplicates(["doc_id", "begin", "end", "id"]), genes, least=o.minimum_similarity)
     if taxa is not None:
         own = gazetteer.in_taxa(own, taxa)
@@ -151,4 +153,4 @@ def relation_texts(docs: DataFrame, wanted: DataFrame, names: DataFrame, known_r
                 spans.append((start - begin, c["end"] - begin, c["chunk"]))
         return tagging.relation_patterns(text, [(x["begin"] - begin, x["end"] - begin, x["identifier"]) for x in e], spans, most)
 
-    return per.select("doc_id", "sent_no", F.explode(F.udf(texts, "array<string>")("s_begin", "s_text", "e", "chunks")).alias("pattern")).distinct()
+    return per.select("doc_id", "sent_no", F.explode(F.udf(texts, "array<string>", useArrow=True)("s_begin", "s_text", "e", "chunks")).alias("pattern")).distinct()

@@ -1,12 +1,17 @@
-"""Lines of text from annotations, and their writing to one file for each document or to one table."""
+"""Lines of text from annotations, and their writing to tables, or to one file for each document."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.joins import neighbours, surroundings, within
+from ..operators.joins import surroundings, within
 from ..operators.segment import gaps
 
 
@@ -57,10 +62,30 @@ def semantic_lines(annotations: DataFrame, separator: str = "\t") -> DataFrame:
 
 
 def relation_lines(relations: DataFrame, namespace: str, identifier: str, separator: str = "\t") -> DataFrame:
-    """"ns:id#c=1.00000" and "ns/id#c=1.00000" of each target of (doc_id, sent_no, targets)."""
-    conf = F.concat(F.lit("#c="), F.format_number(F.lit(1.0), 5))
-    parts = F.transform("targets", lambda t: F.concat(t["namespace"], F.lit("/"), t["identifier"], conf))
-    return relations.select("doc_id", "sent_no", F.concat_ws(separator, F.concat(F.lit(f"{namespace}:{identifier}"), conf), F.array_join(parts, separator)).alias("line"))
+    """"ns:id#c=1.00000" and "ns/id#c=1.00000&name="value"" of each target of (doc_id, sent_no, targets).
+
+    A confidence of the relation, confidences and properties of targets are shown if there are such columns and fields; a
+    confidence that isn't there is 1.
+    """
+    fields = relations.schema["targets"].dataType.elementType.fieldNames()
+    conf = lambda c: F.concat(F.lit("#c="), F.format_number(c, 5))
+    own = conf(F.coalesce("confidence", F.lit(1.0)) if "confidence" in relations.columns else F.lit(1.0))
+
+    def part(t: Column) -> Column:
+        line = F.concat(F.coalesce(t["namespace"], F.lit("")), F.lit("/"), F.coalesce(t["identifier"], F.lit("")), conf(F.coalesce(t["confidence"], F.lit(1.0)) if "confidence" in fields else F.lit(1.0)))
+        more = F.array_join(F.transform(t["properties"], lambda p: F.concat(F.lit("&"), T.quoted_property(p["name"], T.flat(p["value"])))), "") if "properties" in fields else F.lit("")
+        return F.concat(line, F.coalesce(more, F.lit("")))
+
+    return relations.select("doc_id", "sent_no", F.concat_ws(separator, F.concat(F.lit(f"{namespace}:{identifier}"), own), F.array_join(F.transform("targets", part), separator)).alias("line"))
+
+
+def normalized_targets(relations: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The relations (doc_id, sent_no, sources, targets) with the annotations of other namespaces within a target in its place."""
+    t = relations.select("doc_id", "sent_no", F.explode("targets").alias("t")).select("doc_id", "sent_no", "t.begin", "t.end", F.col("t.namespace").alias("_ns")).distinct()
+    own = annotations.select("doc_id", "begin", "end", "namespace", "identifier").distinct()
+    inner = within(own, t, "_t_").where(~F.col("namespace").eqNullSafe(F.col("_t__ns")))
+    per = inner.groupBy("doc_id", F.col("_t_sent_no").alias("sent_no")).agg(F.array_sort(F.collect_set(F.struct("begin", "end", "namespace", "identifier"))).alias("targets"))
+    return relations.drop("targets").join(per, ["doc_id", "sent_no"])
 
 
 def evidence_lines(relations: DataFrame, docs: DataFrame) -> DataFrame:
@@ -76,8 +101,51 @@ def evidence_lines(relations: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str], mode: str = "errorifexists", extension: str = "txt") -> None:
-    """A folder for each document, in it its lines in order; encoded in UTF-8. Documents spread over the tasks by a hash of doc_id."""
-    lines.repartition("doc_id").sortWithinPartitions("doc_id", *order).select("doc_id", F.col("line").alias("value")).write.mode(mode).partitionBy("doc_id").option("fileExtension", extension).text(path)
+    """All lines, those of a document together and in order, in as many files as there are tasks; documents spread by a hash of doc_id. UTF-8."""
+    lines.repartition("doc_id").sortWithinPartitions("doc_id", *order).select(F.col("line").alias("value")).write.mode(mode).option("fileExtension", extension).text(path)
+
+
+def file_names(docs: DataFrame, extension: str) -> DataFrame:
+    """(doc_id, file): the last part of the document's uri without its ending, or doc-000001 by doc_id; of equal names, all but the first by doc_id get .2, .3 and so on."""
+    base = T.base_name(F.col("uri"), False) if "uri" in docs.columns else F.lit(None).cast("string")
+    own = docs.select("doc_id", F.coalesce(F.when(base != "", base), F.format_string("doc-%06d", F.col("doc_id"))).alias("_name"))
+    n = F.row_number().over(Window.partitionBy("_name").orderBy("doc_id"))
+    return own.withColumn("_n", n).select("doc_id", F.concat("_name", F.when(F.col("_n") > 1, F.concat(F.lit("."), F.col("_n"))).otherwise(""), F.lit("." + extension)).alias("file"))
+
+
+def write_files(lines: DataFrame, docs: DataFrame, folder: str, order: list[str], extension: str = "txt", encoding: str = "utf-8", overwrite: bool = False) -> DataFrame:
+    """One file of lines for each of docs (doc_id, uri), an empty one for a document without any; returns (file, n) of what was written.
+
+    For output that people read: a file a document isn't for large corpora, which write_lines() and write_table() are.
+    Tasks write files of their own under other names first, so that a task that runs again does no harm. The folder is
+    one that all executors share. Without overwrite it must be empty or absent.
+    """
+    system, path = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+    if not overwrite and system.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+        raise FileExistsError(folder)
+    system.create_dir(path, recursive=True)
+    per = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]).alias("lines"))
+    own = file_names(docs, extension).join(per, "doc_id", "left").select("file", "lines")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, where = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+        for batch in batches:
+            counts = []
+            for file, own in zip(*(c.to_pylist() for c in batch.columns)):
+                part = f"{where}/_{uuid.uuid4().hex}"
+                with out.open_output_stream(part) as f:
+                    f.write("".join(f"{x}\n" for x in own or ()).encode(encoding, "replace"))
+                out.move(part, f"{where}/{file}")
+                counts.append(len(own or ()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["file", "n"])
+
+    written = own.mapInArrow(write, "file string, n long").toArrow()
+    return lines.sparkSession.createDataFrame(written)
+
+
+def write_filters(filters: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Lines of field and value, tab-separated."""
+    filters.select(F.concat_ws("\t", "field", T.flat(F.col("value"))).alias("value")).write.mode(mode).text(path)
 
 
 def write_table(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -89,4 +157,4 @@ def write_libsvm(lines: DataFrame, path: str, mode: str = "errorifexists") -> No
     lines.select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
-__all__ = ["annotation_lines", "evidence_lines", "neighbours", "relation_lines", "semantic_lines", "sentence_lines", "tagged_lines", "write_libsvm", "write_lines", "write_table"]
+__all__ = ["annotation_lines", "evidence_lines", "file_names", "normalized_targets", "relation_lines", "semantic_lines", "sentence_lines", "tagged_lines", "write_files", "write_filters", "write_libsvm", "write_lines", "write_table"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 TAB = r"(?<!\\)\t"
 
 
-def documents(spark: SparkSession, paths: str | list[str] | None = None, mime: str | None = None, recursive: bool = False) -> DataFrame:
+def documents(spark: SparkSession, paths: str | list[str] | None = None, mime: str | None = None, recursive: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """(doc_id, uri, mime, raw) of the files of a folder, of a list of files, or of the working folder.
 
     doc_id is a hash of the path, so that it doesn't depend on listing order. A listed local file that isn't there is an error.
+    mime is the one given, else by the name's ending, else by how the content begins, else null.
     """
     if paths is None:
         paths = os.getcwd()
@@ -23,8 +26,25 @@ def documents(spark: SparkSession, paths: str | list[str] | None = None, mime: s
             raise FileNotFoundError(missing[0])
     own = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     guess = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.lit(mime) if mime else F.when(guess.isin("htm", "html", "xhtml"), "text/html").when(guess.isin("xml", "nxml"), "application/xml").when(guess == "txt", "text/plain")
-    return own.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("uri"), kind.alias("mime"), F.decode("content", "UTF-8").alias("raw"))
+    raw = F.decode("content", encoding)
+    head = F.lower(F.ltrim(F.substring(raw, 1, 200), F.lit(" \t\r\n\ufeff")))
+    kind = F.when(guess.isin("htm", "html", "xhtml"), "text/html").when(guess.isin("xml", "nxml"), "application/xml").when(guess == "txt", "text/plain").when(head.startswith("<!doctype html") | head.startswith("<html"), "text/html").when(head.startswith("<?xml"), "application/xml").when(F.lower(F.hex(F.substring("content", 1, 4))) == "25504446", "application/pdf")
+    return own.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("uri"), (F.lit(mime) if mime else kind).alias("mime"), raw.alias("raw"))
+
+
+def scratch(lines: DataFrame) -> str:
+    """The path of a table of text lines in the folder of spark.checkpoint.dir (a local session without one has its own), gone when the application ends."""
+    spark = lines.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.gettempdir()
+    path = f"{folder}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
 
 
 def rows(spark: SparkSession, path: str, separator: str = TAB) -> DataFrame:
@@ -128,3 +148,15 @@ def query_lines(path: str) -> list[str]:
     """The SQL of each line of a file."""
     with open(path, encoding="utf-8") as f:
         return [line.strip() for line in f if line.strip()]
+
+
+def ranges(column: Column) -> Column:
+    """b:e;b:e as an array of structs with begin and end."""
+    part = lambda x: F.split(x, ":")
+    return F.transform(F.split(column, ";"), lambda x: F.struct(F.get(part(x), F.lit(0)).cast("int").alias("begin"), F.get(part(x), F.lit(1)).cast("int").alias("end")))
+
+
+def gold(spark: SparkSession, path: str) -> DataFrame:
+    """(article, item) of lines of an article and one or more items."""
+    own = rows(spark, path, "\t")
+    return own.select(F.col("cols")[0].alias("article"), F.explode(F.slice("cols", F.lit(2), F.size("cols"))).alias("item")).where("item <> ''").distinct()

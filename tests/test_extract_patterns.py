@@ -1,4 +1,8 @@
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from spanloom.operators import extract as E
 from spanloom.operators import patterns as P
@@ -72,9 +76,74 @@ def test_finding():
             P.compile_pattern(bad)
 
 
+def test_nested_repetitions_take_linear_time():
+    own = [{"text": "a", "pos": "a", "stem": "a"}] * 3000
+    began = time.perf_counter()
+    assert P.find("( ( a + ) + ) b", own) is None and P.find("( ( . * ) * ) * b", own[:500]) is None
+    assert time.perf_counter() - began < 5
+    assert P.find("( ( a + ) + ) a", own[:50], 0, True)[:2] == (0, 50) and P.find("( b * ) + a", own)[:2] == (0, 1)
+
+
+def brute(items, tokens, i, greedy, tag=""):
+    """Ends of all matches of items at token i, by priority: plain backtracking."""
+    if not items:
+        yield i
+        return
+    first, rest = items[0], items[1:]
+
+    def once(i):
+        if first.kind == "group":
+            yield from brute(first.items, tokens, i, greedy, tag)
+        elif first.kind == "phrase":
+            for j in brute(first.items, tokens, i, greedy, first.tag):
+                if j == i or (tokens[i]["chunk_begin"] and tokens[j - 1]["chunk_end"]):
+                    yield j
+        elif i < len(tokens):
+            t = tokens[i]
+            if all(t[n] and rx.fullmatch(t[n]) for n, rx in first.tests) if first.tests else not tag or t["chunk"] == tag:
+                yield i + 1
+
+    def many(i, least):
+        more = greedy or first.kind == "token"
+        if least <= 0 and not more:
+            yield i
+        for j in once(i):
+            if j > i:
+                yield from [j] if first.quantity == "?" else many(j, 0)
+            elif least:
+                yield j
+        if least <= 0 and more:
+            yield i
+
+    for j in many(i, first.quantity == "+") if first.quantity else once(i):
+        yield from brute(rest, tokens, j, greedy, tag)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", ". *", ". +", "a ?", "b *", "( a b ? )", "( . * )", "[ NP . + ]", "[ NP a * ] ?", "( a ) *", "[ VP . * b ]"]), min_size=1, max_size=4), st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from(["NP", "VP", None]), st.booleans(), st.booleans()), max_size=6), st.booleans())
+def test_machine_is_backtracking(parts, rows, greedy):
+    tokens = [{"text": t, "pos": t, "stem": t, "chunk": c, "chunk_begin": b, "chunk_end": e} for t, c, b, e in rows]
+    pattern = " ".join(parts)
+    for i in range(len(tokens) + 1):
+        want = next(brute(P.compile_pattern(pattern)[0], tokens, i, greedy), None)
+        got = P.match_at(pattern, tokens, i, greedy)
+        assert (got and got[0]) == want
+
+
 def test_annotate_rows(spark):
     kind = "array<struct<text: string, pos: string, stem: string, chunk: string, chunk_begin: boolean, chunk_end: boolean, begin: int, end: int>>"
     df = spark.createDataFrame([(1, 1, ONE), (1, 2, TWO), (2, 1, [])], f"doc_id long, sent_no int, tokens {kind}")
     pairs = [("rel", "interaction"), ("sem", "actor"), ("sem", "action"), ("sem", "qualifier"), ("sem", "actor")]
     got = P.annotate(df, [("( [ NP . + ] ) [ VP . * ( . ) ] [ PP ( . * ) ] ( [ NP . + ] )", pairs)]).orderBy("sent_no", "part").collect()
     assert [r.identifier for r in got] == ["interaction", "actor", "action", "qualifier", "actor", "interaction", "actor", "action", "actor"]
+    assert [tuple(r) for r in P.hits(P.annotate(df, [("( [ NP . + ] )", pairs[:2])])).collect()] == [(0, 4)]  # two noun phrases a sentence
+
+
+def test_plain_text_is_whole(spark):
+    df = spark.createDataFrame([(1, "<head>no</head><body class=x>" + "ab " * 500_000 + "</body> no"), (2, "x")], "doc_id long, raw string")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in E.extract(df, kind=F.lit("clean")).collect()}
+    assert len(got[1].text) == 1_499_999 and got[2].text == "x"
+    got = {r.doc_id: r for r in E.extract(df, kind=F.lit("clean"), most_chars=1000).collect()}
+    assert len(got[1].text) == 1000 and got[1].cut and not got[2].cut

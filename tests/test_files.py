@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from spanloom.operators import segment
+from spanloom.operators import filters, joins, rank, segment
 from spanloom.sinks import lines
 from spanloom.sources import files
 
@@ -77,3 +78,72 @@ def test_other_lines(spark):
     docs = spark.createDataFrame([(1, "The a_b. More")], "doc_id long, text string")
     assert lines.evidence_lines(rel, docs).first().line == 'The <e ns="ns" id="id">a_b</e>.'
     assert lines.relation_lines(rel, "r", "x").first().line == "r:x#c=1.00000\tns/id#c=1.00000"
+
+
+def test_mime_by_content_and_encodings(spark, tmp_path):
+    (tmp_path / "a").write_bytes("<!DOCTYPE html><p>é".encode("latin-1"))
+    (tmp_path / "b").write_bytes(b" <?xml version='1.0'?><r/>")
+    (tmp_path / "c").write_bytes(b"%PDF-1.4")
+    got = {r.uri.split("/")[-1]: (r.mime, r.raw) for r in files.documents(spark, str(tmp_path), encoding="ISO-8859-1").collect()}
+    assert got["a"] == ("text/html", "<!DOCTYPE html><p>é") and got["b"][0] == "application/xml" and got["c"][0] == "application/pdf"
+
+
+def test_files_of_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "file:/x/a.html"), (2, "/y/a.xml"), (3, None), (4, "/y/.hidden"), (5, "/z/none")], "doc_id long, uri string")
+    own = spark.createDataFrame([(1, 2, "second é"), (1, 1, "first"), (2, 1, "x"), (3, 1, "y"), (9, 1, "of no document")], "doc_id long, line_no int, line string")
+    folder = f"{tmp_path}/out"
+    got = {r.file: r.n for r in lines.write_files(own, docs, folder, ["line_no"], encoding="latin-1").collect()}
+    assert got == {"a.txt": 2, "a.2.txt": 1, "doc-000003.txt": 1, ".hidden.txt": 0, "none.txt": 0}
+    assert (tmp_path / "out" / "a.txt").read_bytes() == "first\nsecond é\n".encode("latin-1") and (tmp_path / "out" / "none.txt").read_text() == ""
+    with pytest.raises(FileExistsError):
+        lines.write_files(own, docs, folder, ["line_no"])
+    assert lines.write_files(own.limit(0), docs, folder, ["line_no"], overwrite=True).count() == 5
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    assert sorted(tuple(r) for r in files.gold(spark, put(tmp_path, "gold", "a\t1\t2\na\t1\nb\t3\n")).collect()) == [("a", "1"), ("a", "2"), ("b", "3")]
+    r = spark.createDataFrame([("1:2;30:4",)], "o string").select(files.ranges(F.col("o")).alias("x")).first().x
+    assert [tuple(x) for x in r] == [(1, 2), (30, 4)]
+    model = put(tmp_path, "model", "## Linear\n## x\n0:0.5 1:2.0 7:-1e-1\n")
+    assert rank.model_weights(spark, model) == {"bias": 0.5, "no_ner": 2.0, "confidence": -0.1}
+    df = spark.createDataFrame([(1.0, 3.0)], "no_ner double, confidence double")
+    assert df.select(rank.linear_score(rank.model_weights(spark, model)).alias("s")).first().s == pytest.approx(2.2)
+    with pytest.raises(ValueError):
+        rank.model_weights(spark, put(tmp_path, "bad", "# nothing\n"))
+    lines.write_filters(spark.createDataFrame([("before", "a\tb")], "field string, value string"), f"{tmp_path}/f")
+    assert spark.read.text(f"{tmp_path}/f").first().value == "before\ta b"
+
+
+def test_counters_without_a_pass_of_their_own(spark):
+    seen = Observation()
+    df = filters.counted(spark.range(10).withColumn("x", F.when(F.col("id") > 1, F.col("id"))), F.col("x") % 2 == 0, seen)
+    assert df.count() == 4 and seen.get == {"total": 10, "removed": 6}
+
+
+def test_inner_entities_of_relations(spark):
+    rel = spark.createDataFrame([(1, 1, [(0, 9)], [(0, 9, "a", "1")])], "doc_id long, sent_no int, sources array<struct<begin: int, end: int>>, targets array<struct<begin: int, end: int, namespace: string, identifier: string>>")
+    ann = spark.createDataFrame([(1, 0, 9, "a", "1"), (1, 2, 5, "b", "2"), (1, 5, 12, "b", "3"), (2, 2, 5, "b", "4")], "doc_id long, begin int, end int, namespace string, identifier string")
+    (r,) = lines.normalized_targets(rel, ann).collect()
+    assert [tuple(t) for t in r.targets] == [(2, 5, "b", "2")]
+    one = rel.withColumn("targets", F.transform("targets", lambda t: F.struct(t["begin"], t["end"], t["namespace"], t["identifier"], F.lit(0.25).alias("confidence"), F.array(F.struct(F.lit("n").alias("name"), F.lit('x"y').alias("value"))).alias("properties"))))
+    assert lines.relation_lines(one, "r", "x").first().line == 'r:x#c=1.00000\ta/1#c=0.25000&n="x\\"y"'
+
+
+def test_strict_features(spark):
+    own = spark.createDataFrame([(1, 0, 3, "abc", "1", "t", 1.0), (1, 5, 8, "new", "2", "t", 1.0)], "doc_id long, begin int, end int, match string, id string, taxon string, confidence double")
+    taxa = spark.createDataFrame([(1, "t", 20, 25), (1, "t", 4, 5)], "doc_id long, taxon string, begin int, end int")
+    ner = spark.createDataFrame([(1, 0, 4, "protein")], "doc_id long, begin int, end int, label string")
+    links, symbols, refs = (spark.createDataFrame(r, s) for r, s in (([("1", 2)], "id string, n int"), ([("abc", 3)], "name string, n int"), ([("1", "abc", 4)], "id string, name string, n int")))
+    loose = {r.id: r for r in rank.features(own, taxa, ner, links, symbols, refs).collect()}
+    assert loose["1"].distance == 2 and loose["2"].distance == 1 and loose["2"].symbol == 0 and loose["1"].no_ner == 1
+    assert [r.id for r in rank.features(own, taxa, ner, links, symbols, refs, strict=True).collect()] == ["1"]
+    assert {r.id: r.label for r in rank.first_within(own, ner).collect()} == {"1": "protein", "2": None}
+
+
+def test_linear_joins_on_a_long_document(spark):
+    """200,000 words in one document: containment and neighbours without products."""
+    docs = spark.createDataFrame([(1, "ab cde. " * 100_000)], "doc_id long, text string")
+    tok, sent = segment.tokens(docs), segment.sentences(docs)
+    assert joins.within(tok, sent.drop("text"), "s_").count() == 200_000
+    near = joins.neighbours(tok.where("tok_no % 1000 = 0"), tok).agg(F.count("before"), F.count("after")).first()
+    assert tuple(near) == (200, 199)

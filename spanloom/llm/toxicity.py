@@ -146,24 +146,23 @@ class Evidence:
     toxic: np.ndarray
 
 
-def gather(rows: list[tuple[int, int, list[str], bytes, bytes]], names: list[str]) -> Evidence:
-    """From (toxic, sentences, forms, word, sentence) of each document."""
-    place = {n: i for i, n in enumerate(names)}
-    ids: dict[str, int] = {}
-    lists: list[list[int]] = []
-    tokens, sentences, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-    for _, n, forms, word, sentence in rows:
-        for form in forms:
-            if form not in ids:
-                ids[form] = len(ids)
-                lists.append([place[f] for f in features(form) if f in place])
-        own = np.fromiter((ids[f] for f in forms), np.int32, len(forms))
-        tokens.append(own[np.frombuffer(word, np.int32)])
-        sentences.append(np.frombuffer(sentence, np.int32) + np.int32(base))
-        base += n
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    docs = np.concatenate([[0], np.cumsum([n for _, n, *_ in rows])]).astype(np.int64)
-    return Evidence(names, np.array([f for x in lists for f in x], np.int32), ends, np.concatenate(tokens), np.concatenate(sentences), docs, np.array([t for t, *_ in rows], bool))
+def gather(rows: pa.Table, names: list[str]) -> Evidence:
+    """From what encoded() says of the documents; forms stay Arrow arrays until they are distinct."""
+    rows = rows.combine_chunks()
+    column = lambda c: rows[c].chunk(0) if rows.num_rows else pa.array([], rows.schema.field(c).type)
+    lists, word, sentence = column("forms"), *(column(c) for c in ("word", "sentence"))
+    forms = lists.flatten().dictionary_encode()
+    codes = np.asarray(forms.indices).astype(np.int32)
+    n = np.asarray(pc.binary_length(word)).astype(np.int64) // 4
+    sizes = np.asarray(column("sentences")).astype(np.int64)
+    docs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))])
+    flat = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int32)
+    tokens = codes[np.repeat(first[:-1], n) + flat(word)] if len(codes) else np.zeros(0, np.int32)
+    place = {x: i for i, x in enumerate(names)}
+    own = [[place[f] for f in features(form) if f in place] for form in forms.dictionary.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+    return Evidence(names, np.fromiter((f for x in own for f in x), np.int32), ends, tokens, (np.repeat(docs[:-1], n) + flat(sentence)).astype(np.int32), docs, np.asarray(column("toxic")).astype(bool))
 
 
 def slopes(w: np.ndarray, b: float, e: Evidence) -> tuple[float, np.ndarray, float]:
@@ -213,9 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, chars: i
     rows = checkpoint(texts.join(own.where(at("id") < least), F.col("doc") == F.col("id")).select("doc", F.xxhash64("text").alias("txt"), "toxic", "text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     rows = rows.where(at("doc") < int(least * min(1.0, chars / max(size, 1))))
-    names = sorted(r.feature for r in rows.select("text").mapInArrow(feature_counts, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("feature").collect())
+    names = sorted(rows.select("text").mapInArrow(feature_counts, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("feature").toArrow()["feature"].to_pylist())
     found = rows.mapInArrow(encoded(set(names)), "doc long, txt long, toxic int, sentences int, forms array<string>, word binary, sentence binary")
-    return fit(gather([tuple(r)[2:] for r in sorted(found.toLocalIterator(), key=lambda r: (r.doc, r.txt))], names))
+    return fit(gather(found.toArrow().sort_by([("doc", "ascending"), ("txt", "ascending")]), names))
 
 
 def detect(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -53,8 +53,7 @@ def test_slopes_are_those_of_the_likelihood():
     toxic = [int(i % 3 == 0) for i in range(12)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(range(12), pa.int64()), pa.array(toxic, pa.int32()), pa.array(texts)], ["doc", "txt", "toxic", "text"])
     names = sorted({f for t in texts for *_, own in T.spans(t) for w in own for f in T.features("".join(c for c in w.lower() if c.isalnum()))})
-    rows = [tuple(x.values())[2:] for b in T.encoded(set(names))(iter([batch])) for x in b.to_pylist()]
-    e = T.gather(rows, names)
+    e = T.gather(pa.Table.from_batches(list(T.encoded(set(names))(iter([batch])))), names)
     w, b = np.array([r.gauss(0, 0.3) for _ in names]), -1.5
 
     def loss(w, b):

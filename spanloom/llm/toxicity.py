@@ -8,6 +8,7 @@ sentences is. The weights are fitted to labels of documents, and then say which
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -113,7 +114,8 @@ def feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def encoded(known: set[str]):
-    """(doc, txt, toxic, sentences, forms, word, sentence): each text's words with a feature among the known, as int32 of their forms and sentences."""
+    """(doc, txt, toxic, sentences, packed): each text's words with a feature among the known, packed as their distinct
+    forms, the form of each word and how many words each sentence has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,8 +128,9 @@ def encoded(known: set[str]):
                 rows = []
                 for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
                     own, code = np.unique(word[lo:hi], return_inverse=True)
-                    rows.append((int(n[i]), [forms[k] for k in own.tolist()], code.astype(np.int32).tobytes(), (sentence[lo:hi] - first[i]).astype(np.int32).tobytes()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(n)) for c in ("doc", "txt", "toxic")), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary())))], ["doc", "txt", "toxic", "sentences", "forms", "word", "sentence"])
+                    sizes = np.bincount(sentence[lo:hi] - first[i], minlength=n[i])
+                    rows.append(zlib.compress(b"\0".join([str(len(code)).encode(), "\n".join(forms[k] for k in own.tolist()).encode(), code.astype(np.int32).tobytes() + sizes.astype(np.int32).tobytes()]), 1))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(n)) for c in ("doc", "txt", "toxic")), pa.array(n.astype(np.int32)), pa.array(rows, pa.binary())], ["doc", "txt", "toxic", "sentences", "packed"])
                 at += len(n)
 
     return run
@@ -147,22 +150,21 @@ class Evidence:
 
 
 def gather(rows: pa.Table, names: list[str]) -> Evidence:
-    """From what encoded() says of the documents; forms stay Arrow arrays until they are distinct."""
-    rows = rows.combine_chunks()
-    column = lambda c: rows[c].chunk(0) if rows.num_rows else pa.array([], rows.schema.field(c).type)
-    lists, word, sentence = column("forms"), *(column(c) for c in ("word", "sentence"))
-    forms = lists.flatten().dictionary_encode()
-    codes = np.asarray(forms.indices).astype(np.int32)
-    n = np.asarray(pc.binary_length(word)).astype(np.int64) // 4
-    sizes = np.asarray(column("sentences")).astype(np.int64)
-    docs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))])
-    flat = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.int32)
-    tokens = codes[np.repeat(first[:-1], n) + flat(word)] if len(codes) else np.zeros(0, np.int32)
+    """From what encoded() says of the documents, unpacked one at a time."""
+    ids: dict[str, int] = {}
+    tokens, sentences, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for n, packed in zip(rows["sentences"].to_pylist(), (x.as_py() for x in rows["packed"])):
+        many, forms, numbers = zlib.decompress(packed).split(b"\0", 2)
+        own = np.fromiter((ids.setdefault(f, len(ids)) for f in forms.decode().split("\n")), np.int32) if forms else np.zeros(0, np.int32)
+        numbers = np.frombuffer(numbers, np.int32)
+        tokens.append(own[numbers[: int(many)]])
+        sentences.append(np.repeat(np.arange(base, base + n, dtype=np.int32), numbers[int(many) :]))
+        base += n
     place = {x: i for i, x in enumerate(names)}
-    own = [[place[f] for f in features(form) if f in place] for form in forms.dictionary.to_pylist()]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    return Evidence(names, np.fromiter((f for x in own for f in x), np.int32), ends, tokens, (np.repeat(docs[:-1], n) + flat(sentence)).astype(np.int32), docs, np.asarray(column("toxic")).astype(bool))
+    lists = [[place[f] for f in features(form) if f in place] for form in ids]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    docs = np.concatenate([[0], np.cumsum(np.asarray(rows["sentences"]).astype(np.int64))]).astype(np.int64)
+    return Evidence(names, np.fromiter((f for x in lists for f in x), np.int32), ends, np.concatenate(tokens), np.concatenate(sentences), docs, np.asarray(rows["toxic"]).astype(bool))
 
 
 def slopes(w: np.ndarray, b: float, e: Evidence) -> tuple[float, np.ndarray, float]:
@@ -213,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, chars: i
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     rows = rows.where(at("doc") < int(least * min(1.0, chars / max(size, 1))))
     names = sorted(rows.select("text").mapInArrow(feature_counts, "feature string, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("feature").toArrow()["feature"].to_pylist())
-    found = rows.mapInArrow(encoded(set(names)), "doc long, txt long, toxic int, sentences int, forms array<string>, word binary, sentence binary")
+    found = rows.mapInArrow(encoded(set(names)), "doc long, txt long, toxic int, sentences int, packed binary")
     return fit(gather(found.toArrow().sort_by([("doc", "ascending"), ("txt", "ascending")]), names))
 
 

@@ -30,6 +30,7 @@ from .common import GOLDEN, binary, checkpoint, fixed, mix, plain, run_starts, s
 
 WORDS, PER_WORD, SEGMENT = 8, 3, 18
 SEGMENTS = WORDS * PER_WORD
+BYTES = -(-PER_WORD * SEGMENT // 8)  #: of a word that segments are in
 USED = np.uint64((1 << PER_WORD * SEGMENT) - 1)
 PART = np.uint64((1 << SEGMENT) - 1)
 MAX_DISTANCE, CHAIN = 72, 6
@@ -139,17 +140,28 @@ def linked(key: np.ndarray, ids: np.ndarray, sigs: np.ndarray, k: int, chain: in
     return np.concatenate([none, *left]), np.concatenate([none, *right]), np.sort(np.concatenate([none, *leaders]))
 
 
+def packed(sigs: np.ndarray) -> np.ndarray:
+    """Rows of bytes, without the byte of each word that has no segment."""
+    return np.ascontiguousarray(sigs).view(np.uint8).reshape(len(sigs), WORDS, 8)[:, :, :BYTES].reshape(len(sigs), WORDS * BYTES)
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    out = np.zeros((len(column), WORDS, 8), np.uint8)
+    out[:, :, :BYTES] = fixed(column, WORDS * BYTES).reshape(-1, WORDS, BYTES)
+    return out.view(np.uint64).reshape(-1, WORDS)
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in slices(batch.column(1)):
             sigs, keys, some = signed(batch.column(1).slice(lo, hi - lo))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(some)), binary(sigs[some].view(np.uint8)), binary(keys[some].view(np.uint8))], ["id", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(pa.array(some)), binary(packed(sigs[some])), binary(keys[some].view(np.uint8))], ["id", "sig", "bands"])
 
 
 def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each segment, whose place on the ring and bits are the key of a bucket, and for each band."""
     for batch in batches:
-        sigs = fixed(batch.column(1), 64).view(np.uint64)
+        sigs = unpacked(batch.column(1))
         own = fixed(batch.column(2), 4 * BANDS).view(np.int32)
         keys = np.concatenate([np.stack([segment(sigs, j).astype(np.int32) | np.int32(j << SEGMENT) for j in range(SEGMENTS)], axis=1), own], axis=1).ravel() if len(sigs) else np.zeros(0, np.int32)
         at = pa.array(np.repeat(np.arange(len(sigs)), SEGMENTS + BANDS))
@@ -172,7 +184,7 @@ def link(k: int, chain: int):
         size = 0
         for batch in batches:
             if batch.num_rows:
-                held.append((np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)), fixed(batch.column(2), 64).view(np.uint64)))
+                held.append((np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)), unpacked(batch.column(2))))
                 size += batch.num_rows
                 if size >= 100_000:
                     yield flush(False)

@@ -101,7 +101,7 @@ def test_edge_cases(spark, docs):
 def test_long_buckets_flow_over_batches():
     t = text(1)
     sigs, _ = simhash.signatures(pa.array([t, text(2)] * 2))
-    rows = [pa.RecordBatch.from_arrays([pa.array([5] * 60_000, pa.int32()), pa.array(range(lo, lo + 60_000), pa.int64()), simhash.binary(np.repeat(sigs[:1], 60_000, axis=0).view(np.uint8))], ["key", "id", "sig"]) for lo in range(0, 240_000, 60_000)]
+    rows = [pa.RecordBatch.from_arrays([pa.array([5] * 60_000, pa.int32()), pa.array(range(lo, lo + 60_000), pa.int64()), simhash.binary(simhash.packed(np.repeat(sigs[:1], 60_000, axis=0)))], ["key", "id", "sig"]) for lo in range(0, 240_000, 60_000)]
     pairs = pa.Table.from_batches(list(simhash.link(72, 6)(iter(rows))))
     assert pairs.num_rows == 239_999 and set(pairs["a"].to_pylist()) == {0}
 
@@ -135,7 +135,7 @@ def test_pairs_recall_of_more_changes(share, n):
     rows = base + [changed(t, i, share) for i, t in enumerate(base)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(rows)], ["id", "text"])
     signed = pa.Table.from_batches(list(simhash.sign(iter([batch])))).combine_chunks()
-    sigs = simhash.fixed(signed["sig"], 64).view(np.uint64)
+    sigs = simhash.unpacked(signed["sig"])
     near = np.bitwise_count(sigs[:300] ^ sigs[300:]).sum(axis=1) <= simhash.MAX_DISTANCE
     buckets = pa.Table.from_batches(list(simhash.spread(iter(signed.to_batches())))).sort_by([("key", "ascending"), ("id", "ascending")]).combine_chunks()
     linked = pa.Table.from_batches(list(simhash.link(simhash.MAX_DISTANCE, simhash.CHAIN)(iter(buckets.to_batches()))))

@@ -57,9 +57,9 @@ def pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     return own.select("doc_id", "pos", F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 
-def words_laid_out(docs: DataFrame, text: str = "text") -> DataFrame:
+def words_laid_out(docs: DataFrame, text: str = "text", *more: Column) -> DataFrame:
     """laid_out() of runs of letters and digits and of what is between, with off; these alternate, and words are those at places off, off + 2, ..."""
-    return laid_out(docs, WORDS, text, F.when(F.col(text).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1).alias("off"))
+    return laid_out(docs, WORDS, text, F.when(F.col(text).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1).alias("off"), *more)
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -68,6 +68,15 @@ def tokens(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", (F.floor(F.col("pos") / 2) + 1).cast("int").alias("tok_no"), F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 
+def utf16_begins(docs: DataFrame) -> DataFrame:
+    """(doc_id, begin, utf16) of tokens(): where they begin, in code points and in UTF-16 code units, which differ in rows with characters of two units. Within the row, like the tokens."""
+    own = words_laid_out(docs, "text", F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]").alias("_wide"))
+    units = F.transform("_a", lambda x: F.length(x) + F.length(F.regexp_replace(x, r"[^\x{10000}-\x{10FFFF}]", "")))
+    own = own.withColumn("_u", F.arrow_udf(running, ArrayType(IntegerType()))(F.when(F.col("_wide"), units)))
+    both = F.arrays_zip(F.col("_b").alias("begin"), F.coalesce("_u", "_b").alias("utf16"))
+    return own.select("doc_id", "off", F.posexplode(both).alias("pos", "t")).where("(pos + off) % 2 = 0").select("doc_id", "t.begin", "t.utf16")
+
+
 def sentences(docs: DataFrame, newlines: str = "successive") -> DataFrame:
     """(doc_id, sent_no, begin, end, text), without white space at the ends.
 

@@ -25,14 +25,23 @@ SENTENCES = {
 
 
 def running(lengths: pa.Array) -> pa.Array:
-    """Of each list, the sums of the values before each place."""
-    n = np.asarray(pc.fill_null(pc.list_value_length(lengths), 0)).astype(np.int64)
-    values = np.asarray(lengths.flatten()).astype(np.int64)
-    total = np.cumsum(values) - values
-    first = np.cumsum(n) - n
-    base = np.repeat(total[np.minimum(first, max(len(total) - 1, 0))] if len(total) else np.zeros(len(n), np.int64), n)
-    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((total - base).astype(np.int32)), mask=lengths.is_null())
+    """Of each list, the sums of the values before each place.
+
+    One array of 32 bits is made, and worked on in place: a batch needs little memory beside what comes and goes. It may
+    wrap round on its way, which differences don't see.
+    """
+    n = np.asarray(pc.fill_null(pc.list_value_length(lengths), 0))
+    values = np.asarray(lengths.flatten())
+    total = np.cumsum(values, dtype=np.int32)
+    total -= values
+    ends = np.cumsum(n, dtype=np.int64)
+    for lo in range(0, len(n), 64):
+        own, last = n[lo : lo + 64], ends[lo : lo + 64]
+        b, e = int(last[0] - own[0]), int(last[-1])
+        if e > b:
+            total[b:e] -= np.repeat(total[np.minimum(last - own, e - 1)], own)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(total), mask=lengths.is_null())
 
 
 def laid_out(docs: DataFrame, pattern: str, text: str = "text", *more: Column) -> DataFrame:

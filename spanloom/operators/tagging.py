@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,18 +65,58 @@ def _word(word: str) -> tuple[str, str, str | None]:
     return pos, lemma(word, pos), _CHUNKS.get(pos)
 
 
-def rule_tagger(sentence: str) -> list[dict]:
-    """Tokens with tags, chunks and lemmas by closed lists and endings; deterministic, no model."""
-    out: list[dict] = []
-    last = None
-    for m in TOKEN.finditer(sentence):
-        pos, stem, chunk = _word(m[0])
-        begin = bool(chunk) and (last is None or last["chunk"] != chunk or pos in ("DT", "IN", "PRP"))
-        if last and last["chunk"]:
-            last["chunk_end"] = begin or chunk != last["chunk"]
-        last = {"text": m[0], "pos": pos, "stem": stem, "chunk": chunk, "chunk_begin": begin, "chunk_end": bool(chunk), "begin": m.start(), "end": m.end(), "ner": None}
-        out.append(last)
-    return out
+_TOKEN = pa.struct([("text", pa.string()), ("pos", pa.string()), ("stem", pa.string()), ("chunk", pa.string()), ("chunk_begin", pa.bool_()), ("chunk_end", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32()), ("ner", pa.string())])
+_TILES = re.compile(f"({TOKEN.pattern})")
+
+
+class RuleTagger:
+    """Tokens with tags, chunks and lemmas by closed lists and endings; deterministic, no model. entity: the entity tag of a word."""
+
+    def __init__(self, entity: Callable[[str], str | None] = lambda word: None):
+        self.entity = entity
+
+    def __call__(self, sentence: str) -> list[dict]:
+        out: list[dict] = []
+        last = None
+        for m in TOKEN.finditer(sentence):
+            pos, stem, chunk = _word(m[0])
+            begin = bool(chunk) and (last is None or last["chunk"] != chunk or pos in ("DT", "IN", "PRP"))
+            if last and last["chunk"]:
+                last["chunk_end"] = begin or chunk != last["chunk"]
+            last = {"text": m[0], "pos": pos, "stem": stem, "chunk": chunk, "chunk_begin": begin, "chunk_end": bool(chunk), "begin": m.start(), "end": m.end(), "ner": self.entity(m[0])}
+            out.append(last)
+        return out
+
+    def columns(self, texts: list[str], begins: list[int]) -> tuple[np.ndarray, pa.StructArray]:
+        """The numbers of tokens of texts, and all tokens, each as above, at their places in documents. Words are looked at once a call, tokens as arrays."""
+        parts = _TILES.split("\n".join(texts))  # a line feed is in no token
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        b, e = ends[0:-1:2], ends[1::2]
+        words = pa.array(parts[1::2], pa.string())
+        coded = words.dictionary_encode()
+        at, known = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        found = [_word(w) for w in known]
+        pos, stem, chunk = (pa.array([x[k] for x in found], pa.string()) for k in range(3))
+        kinds = {c: i for i, c in enumerate(sorted(set(_CHUNKS.values())))}
+        kind = np.array([kinds.get(x[2], -1) for x in found], np.int8)[at] if known else np.zeros(0, np.int8)
+        opens = np.array([x[0] in ("DT", "IN", "PRP") for x in found], bool)[at] if known else np.zeros(0, bool)
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        starts = np.cumsum(size) - size
+        row = np.searchsorted(starts, b, "right") - 1
+        new = np.ones(len(b), bool)  # the first of its sentence, or of another kind than the last
+        new[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])
+        begin = (kind >= 0) & (new | opens)
+        end = kind >= 0
+        end[:-1] &= new[1:] | begin[1:]
+        shift = np.asarray(begins, np.int64) - starts
+        base = shift[row] if len(row) else np.zeros(0, np.int64)
+        ner = pa.array([self.entity(w) for w in known], pa.string())
+        take = lambda a: a.take(coded.indices)
+        cols = [words, take(pos), take(stem), take(chunk), pa.array(begin), pa.array(end), pa.array((b + base).astype(np.int32)), pa.array((e + base).astype(np.int32)), take(ner)]
+        return np.bincount(row, minlength=len(texts)), pa.StructArray.from_arrays(cols, fields=list(_TOKEN))
+
+
+rule_tagger = RuleTagger()
 
 
 def aligned(sentence: str, rows: list[list[str]]) -> list[dict]:
@@ -149,7 +190,51 @@ def process_tagger(command: list[str], timeout: float = 30, most_chars: int | No
     return tag
 
 
-_TOKEN = pa.struct([("text", pa.string()), ("pos", pa.string()), ("stem", pa.string()), ("chunk", pa.string()), ("chunk_begin", pa.bool_()), ("chunk_end", pa.bool_()), ("begin", pa.int32()), ("end", pa.int32()), ("ner", pa.string())])
+#: Characters, and sentences, that are tagged at a time: memory doesn't grow with batches.
+STEP_CHARS, STEP_ROWS = 1_000_000, 4096
+
+
+def _each(tagger: Tagger, texts: list[str | None], begins: list[int]) -> tuple[list[int | None], pa.StructArray]:
+    sizes: list[int | None] = []
+    flat: dict[str, list] = {f.name: [] for f in _TOKEN}
+    for b, text in zip(begins, texts):
+        try:
+            tokens = None if text is None else tagger(text)
+        except (ValueError, OSError):
+            tokens = None
+        sizes.append(None if tokens is None else len(tokens))
+        for name, own in flat.items():
+            if name in ("begin", "end"):
+                own.extend([t[name] + b for t in tokens or ()])
+            else:
+                own.extend([t[name] for t in tokens or ()])
+    return sizes, pa.StructArray.from_arrays([pa.array(flat[f.name], f.type) for f in _TOKEN], fields=list(_TOKEN))
+
+
+def tagged_batches(batches: Iterator[pa.RecordBatch], tagger: Tagger) -> Iterator[pa.RecordBatch]:
+    """Of batches of (doc_id, sent_no, begin, end, text), those of (doc_id, sent_no, begin, end, tokens)."""
+    for whole in batches:
+        chars = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(whole.column(4)), 0)), dtype=np.int64)
+        lo = 0
+        while lo < whole.num_rows:
+            before = int(chars[lo - 1]) if lo else 0
+            hi = min(max(int(np.searchsorted(chars, before + STEP_CHARS, "right")), lo + 1), lo + STEP_ROWS, whole.num_rows)
+            batch = whole.slice(lo, hi - lo)
+            lo = hi
+            begins, texts = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            if isinstance(tagger, RuleTagger):
+                n, values = tagger.columns([t or "" for t in texts], [b or 0 for b in begins])
+                sizes = [None if t is None else k for t, k in zip(texts, n.tolist())]
+            else:
+                sizes, values = _each(tagger, texts, begins)
+            null = pa.array([n is None for n in sizes], pa.bool_())
+            offsets = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)], ["doc_id", "sent_no", "begin", "end", "tokens"])
+
+
+def as_sentences(sentences: DataFrame) -> DataFrame:
+    """The columns that tagged_batches() takes."""
+    return sentences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_no").cast("int").alias("sent_no"), F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "text")
 
 
 def tag_sentences(sentences: DataFrame, tagger: Tagger = rule_tagger) -> DataFrame:
@@ -158,28 +243,7 @@ def tag_sentences(sentences: DataFrame, tagger: Tagger = rule_tagger) -> DataFra
     Sentences of any length are tagged. Those that the tagger fails on, and those without text, stay, with null tokens:
     failed() lists them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, flat = [], {f.name: [] for f in _TOKEN}
-            for b, text in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
-                try:
-                    tokens = None if text is None else tagger(text)
-                except (ValueError, OSError):
-                    tokens = None
-                sizes.append(None if tokens is None else len(tokens))
-                for name, own in flat.items():
-                    if name in ("begin", "end"):
-                        own.extend([t[name] + b for t in tokens or ()])
-                    else:
-                        own.extend([t[name] for t in tokens or ()])
-            null = pa.array([n is None for n in sizes], pa.bool_())
-            offsets = np.concatenate([[0], np.cumsum([n or 0 for n in sizes])]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array(flat[f.name], f.type) for f in _TOKEN], fields=list(_TOKEN))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)], ["doc_id", "sent_no", "begin", "end", "tokens"])
-
-    own = sentences.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sent_no").cast("int").alias("sent_no"), F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "text")
-    return own.mapInArrow(run, f"doc_id long, sent_no int, begin int, end int, tokens {KINDS}")
+    return as_sentences(sentences).mapInArrow(lambda batches: tagged_batches(batches, tagger), f"doc_id long, sent_no int, begin int, end int, tokens {KINDS}")
 
 
 def failed(tagged: DataFrame) -> DataFrame:

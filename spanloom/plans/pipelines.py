@@ -48,19 +48,18 @@ def preprocess(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
 def tag(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """tag: (doc_id, line_no, line) of tagged sentences."""
-    own = preprocess(docs, o)
-    return lines.tagged_lines(tagging.token_rows(own), own)
+    return lines.lines_of_tagged(preprocess(docs, o))
 
 
 def grep(docs: DataFrame, resource: list[tuple[str, list[tuple[str, str]]]], o: Options = Options()) -> DataFrame:
     """grep: annotations of syntax patterns."""
-    own = patterns.annotate(preprocess(docs, o), resource)
+    own = patterns.annotate(split(docs, o), resource, o.tagger)
     return own.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").withColumn("match", F.substring("_t", F.col("begin") + 1, F.col("end") - F.col("begin"))).drop("_t")
 
 
 def grep_sentences(docs: DataFrame, resource: list[tuple[str, list[tuple[str, str]]]], o: Options = Options()) -> DataFrame:
     """grep -c: the sentences with a match."""
-    hit = patterns.annotate(preprocess(docs, o), resource).select("doc_id", "sent_no").distinct()
+    hit = patterns.annotate(split(docs, o), resource, o.tagger).select("doc_id", "sent_no").distinct()
     return split(docs, o).join(hit, ["doc_id", "sent_no"], "left_semi")
 
 

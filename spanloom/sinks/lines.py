@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
@@ -28,12 +28,21 @@ def sentence_lines(sentences: DataFrame, docs: DataFrame, other: bool = False, n
     return own.withColumn("line", F.explode(F.split("line", "\r?\n"))) if newlines else own
 
 
+def _word(t: Callable[[str], Column]) -> Column:
+    word = F.concat_ws("_", *(T.escape_underscores(c) for c in (t("text"), F.coalesce(t("pos"), F.lit("")), F.coalesce(t("stem"), F.lower(t("text"))))))
+    return F.concat(F.when(t("chunk_begin"), F.concat(F.lit("[ "), t("chunk"), F.lit(" "))).otherwise(""), word, F.when(t("chunk_end"), " ]").otherwise(""))
+
+
 def tagged_lines(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): "[ NP The_DT_the dog_NN_dog ] runs_VBZ_run" for each sentence. A null stem is the small form."""
     both = within(tokens, sentences.select("doc_id", "sent_no", "begin", "end"), "s_")
-    word = F.concat_ws("_", *(T.escape_underscores(c) for c in (F.col("text"), F.coalesce("pos", F.lit("")), F.coalesce("stem", F.lower("text")))))
-    word = F.concat(F.when(F.col("chunk_begin"), F.concat(F.lit("[ "), F.col("chunk"), F.lit(" "))).otherwise(""), word, F.when(F.col("chunk_end"), " ]").otherwise(""))
-    return both.groupBy("doc_id", F.col("s_sent_no").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", word.alias("w")))), lambda x: x["w"]), " ").alias("line"))
+    return both.groupBy("doc_id", F.col("s_sent_no").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", _word(F.col).alias("w")))), lambda x: x["w"]), " ").alias("line"))
+
+
+def lines_of_tagged(tagged: DataFrame) -> DataFrame:
+    """tagged_lines() of sentences with their own tokens (doc_id, sent_no, tokens): within the row, nothing is shuffled."""
+    own = tagged.where("doc_id is not null and size(tokens) > 0")
+    return own.select("doc_id", F.col("sent_no").alias("line_no"), F.array_join(F.transform("tokens", lambda t: _word(lambda c: t[c])), " ").alias("line"))
 
 
 def property_fields(properties: Column) -> Column:
@@ -157,4 +166,4 @@ def write_libsvm(lines: DataFrame, path: str, mode: str = "errorifexists") -> No
     lines.select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
-__all__ = ["annotation_lines", "evidence_lines", "file_names", "normalized_targets", "relation_lines", "semantic_lines", "sentence_lines", "tagged_lines", "write_files", "write_filters", "write_libsvm", "write_lines", "write_table"]
+__all__ = ["annotation_lines", "evidence_lines", "file_names", "lines_of_tagged", "normalized_targets", "relation_lines", "semantic_lines", "sentence_lines", "tagged_lines", "write_files", "write_filters", "write_libsvm", "write_lines", "write_table"]

@@ -78,7 +78,10 @@ def match_taxa(docs: DataFrame, species: DataFrame, stop: DataFrame | None = Non
 
 def entity_spans(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """bioner: (doc_id, begin, end, label, match) by the entity tags of the tagger."""
-    tok = tagging.token_rows(preprocess(docs, o)).withColumn("key", F.struct("sent_no", "tok_no"))
+    own = preprocess(docs, o)
+    out = lambda t: F.coalesce(t["ner"], F.lit("O")) == "O"
+    kept = F.filter("tokens", lambda t, i: ~out(t) | (i == 0) | ~out(F.get("tokens", i - 1)))  # of tokens without a tag in a row, the first alone ends a span
+    tok = tagging.token_rows(own.withColumn("tokens", kept)).withColumn("key", F.struct("sent_no", "tok_no"))
     own = segment.bio_spans(tok.drop("tok_no").withColumnRenamed("key", "tok_no"), F.coalesce("ner", F.lit("O")))
     return own.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").withColumn("match", F.substring("_t", F.col("begin") + 1, F.col("end") - F.col("begin"))).drop("_t")
 

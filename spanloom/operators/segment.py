@@ -86,18 +86,33 @@ def utf16_begins(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "off", F.posexplode(both).alias("pos", "t")).where("(pos + off) % 2 = 0").select("doc_id", "t.begin", "t.utf16")
 
 
-def sentences(docs: DataFrame, newlines: str = "successive") -> DataFrame:
-    """(doc_id, sent_no, begin, end, text), without white space at the ends.
-
-    newlines: "single" ends a sentence at every line feed, "successive" at two or more, "ignore" at none.
-    """
+def _trimmed(tiles: Column) -> Column:
     blank = F.lit(" \t\n\r\f\x0b")
 
     def trimmed(t: Column) -> Column:
         left = F.ltrim(t["text"], blank)
         return F.struct((t["begin"] + F.length(t["text"]) - F.length(left)).cast("int").alias("begin"), F.rtrim(left, blank).alias("text"))
 
-    own = tiled(docs, SENTENCES[newlines]).select("doc_id", F.posexplode(F.filter(F.transform("tiles", trimmed), lambda t: t["text"] != "")).alias("pos", "t"))
+    return F.filter(F.transform(tiles, trimmed), lambda t: t["text"] != "")
+
+
+def sentence_words(docs: DataFrame, newlines: str = "successive") -> DataFrame:
+    """(doc_id, sent_no, words, before, total): the tokens() of each of sentences(), how many the document has before, and in all.
+
+    No end of a sentence is in a token, and no token outside all sentences: what joins of both by their places give is within the row.
+    """
+    own = tiled(docs, SENTENCES[newlines]).select("doc_id", F.transform(_trimmed(F.col("tiles")), lambda t: F.regexp_extract_all(t["text"], F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("words"))
+    own = own.withColumn("_n", F.transform("words", lambda w: F.size(w))).withColumn("before", F.arrow_udf(running, ArrayType(IntegerType()))("_n"))
+    total = F.try_element_at("before", F.lit(-1)) + F.try_element_at("_n", F.lit(-1))
+    return own.select("doc_id", total.alias("total"), F.posexplode(F.arrays_zip("words", "before")).alias("pos", "t")).select("doc_id", (F.col("pos") + 1).alias("sent_no"), "t.words", "t.before", "total")
+
+
+def sentences(docs: DataFrame, newlines: str = "successive") -> DataFrame:
+    """(doc_id, sent_no, begin, end, text), without white space at the ends.
+
+    newlines: "single" ends a sentence at every line feed, "successive" at two or more, "ignore" at none.
+    """
+    own = tiled(docs, SENTENCES[newlines]).select("doc_id", F.posexplode(_trimmed(F.col("tiles"))).alias("pos", "t"))
     return own.select("doc_id", (F.col("pos") + 1).alias("sent_no"), F.col("t.begin").alias("begin"), (F.col("t.begin") + F.length("t.text")).cast("int").alias("end"), F.col("t.text").alias("text"))
 
 

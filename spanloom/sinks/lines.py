@@ -45,6 +45,20 @@ def lines_of_tagged(tagged: DataFrame) -> DataFrame:
     return own.select("doc_id", F.col("sent_no").alias("line_no"), F.array_join(F.transform("tokens", lambda t: _word(lambda c: t[c])), " ").alias("line"))
 
 
+def lines_of_words(sentences: DataFrame, tag: Callable[[Column], Column], pos: str) -> DataFrame:
+    """tagged_lines() of sentence_words(), with B-X, I-X and O tags by the number of a token in its document, and one pos: within the row."""
+
+    def word(w: Column, i: Column) -> Column:
+        k = F.col("before") + i + 1
+        own, after = tag(k), F.when(k < F.col("total"), tag(k + 1))
+        inside = own != "O"
+        cols = {"text": w, "pos": F.lit(pos), "stem": F.lit(None).cast("string"), "chunk": F.when(inside, F.substring(own, 3, 1000)), "chunk_begin": own.startswith("B"), "chunk_end": inside & (after.isNull() | ~after.startswith("I"))}
+        return _word(cols.__getitem__)
+
+    own = sentences.where("doc_id is not null and size(words) > 0")
+    return own.select("doc_id", F.col("sent_no").alias("line_no"), F.array_join(F.transform("words", word), " ").alias("line"))
+
+
 def property_fields(properties: Column) -> Column:
     return F.array_join(F.transform(properties, lambda p: T.quoted_property(p["name"], p["value"])), "\t")
 
@@ -166,4 +180,4 @@ def write_libsvm(lines: DataFrame, path: str, mode: str = "errorifexists") -> No
     lines.select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
-__all__ = ["annotation_lines", "evidence_lines", "file_names", "lines_of_tagged", "normalized_targets", "relation_lines", "semantic_lines", "sentence_lines", "tagged_lines", "write_files", "write_filters", "write_libsvm", "write_lines", "write_table"]
+__all__ = ["annotation_lines", "evidence_lines", "file_names", "lines_of_tagged", "lines_of_words", "normalized_targets", "relation_lines", "semantic_lines", "sentence_lines", "tagged_lines", "write_files", "write_filters", "write_libsvm", "write_lines", "write_table"]

@@ -102,6 +102,11 @@ def _shape(names: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("bare", pa.string()), ("gaps", pa.list_(pa.int32())), ("must", pa.list_(pa.int32()))]))
 
 
+def with_gaps(gazetteer: DataFrame) -> bool:
+    """Whether a name has variants other than itself."""
+    return not gazetteer.where("name is not null").select(F.arrow_udf(_shape, "bare string, gaps array<int>, must array<int>")("name").alias("_s")).where(F.size("_s.gaps") > 0).isEmpty()
+
+
 def with_greek(gazetteer: DataFrame) -> DataFrame:
     """Names with the names of Greek letters are there with the letters as well."""
     return gazetteer.union(gazetteer.withColumn("name", latin_to_greek(F.col("name")))).distinct()
@@ -163,8 +168,8 @@ def match_variants(docs: DataFrame, gazetteer: DataFrame, case_sensitive: bool =
     shape = F.arrow_udf(_shape, "bare string, gaps array<int>, must array<int>")
     own = gazetteer.where("name is not null").distinct().withColumn("_s", shape("name"))
     most = own.agg(F.max(F.size("_s.gaps"))).first()[0]
-    if most is None:
-        return match_tokens(docs, gazetteer.limit(0), case_sensitive)
+    if not most:  # without gaps, a name is its only variant, and its run is one word
+        return match_tokens(docs, gazetteer.limit(0) if most is None else gazetteer, case_sensitive)
     text = _bare_runs(docs, list(range(1, most + 2)), case_sensitive).where(F.forall("_seps", lambda s: s.isin("-", " ")))
     found = text.join(own.withColumn("_key", key(F.col("_s.bare"), case_sensitive)), "_key").where((F.size(F.array_except("_cuts", "_s.gaps")) == 0) & (F.size(F.array_except("_s.must", "_cuts")) == 0))
     return found.select("doc_id", "begin", (F.col("begin") + F.length("match")).cast("int").alias("end"), "match", *gazetteer.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, extract, filters, gazetteer, joins, patterns, rank, relations, segment, tagging
 from ..sinks import lines
+from ..sources import files
 
 
 @dataclass
@@ -93,8 +94,11 @@ def normalize(docs: DataFrame, genes: DataFrame, o: Options = Options(), taxa: D
     features.
     """
     names = gazetteer.with_greek(genes)
-    own = gazetteer.match_variants(docs, names).unionByName(gazetteer.match_tokens(docs, names, most_words=None)) if o.variants else gazetteer.match_tokens(docs, names, most_words=None)
-    own = gazetteer.best_names(own.dropDuplicates(["doc_id", "begin", "end", "id"]), genes, least=o.minimum_similarity)
+    own = gazetteer.match_tokens(docs, names, most_words=None)
+    if o.variants and gazetteer.with_gaps(names):
+        own = gazetteer.match_variants(docs, names).unionByName(own)
+    own = files.kept(own.dropDuplicates(["doc_id", "begin", "end", "id"]))  # read twice, for names and for mentions
+    own = gazetteer.best_names(own, genes, least=o.minimum_similarity)
     if taxa is not None:
         own = gazetteer.in_taxa(own, taxa)
     if o.pos_tags or o.context:

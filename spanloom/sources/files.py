@@ -32,21 +32,42 @@ def documents(spark: SparkSession, paths: str | list[str] | None = None, mime: s
     return own.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("uri"), (F.lit(mime) if mime else kind).alias("mime"), raw.alias("raw"))
 
 
+def _scratch_folder(spark: SparkSession) -> str | None:
+    """That of spark.checkpoint.dir; a local session without one has its own, others have none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    return folder or (tempfile.gettempdir() if local else None)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
+
+
 def scratch(lines: DataFrame) -> str:
     """The path of a table of text lines in the folder of spark.checkpoint.dir (a local session without one has its own), gone when the application ends."""
     spark = lines.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = _scratch_folder(spark)
     if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.gettempdir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{folder}/lines-{uuid.uuid4().hex}"
     lines.write.text(path)
-    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
+    _at_exit(spark, path)
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows from a Parquet table beside those of scratch(), for what a plan would compute several times. As it is without a folder for that, or of a stream."""
+    spark = df.sparkSession
+    folder = _scratch_folder(spark)
+    if df.isStreaming or not folder:
+        return df
+    path = f"{folder}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rows(spark: SparkSession, path: str, separator: str = TAB) -> DataFrame:
     """(line_no, cols) of each line that isn't blank; the separator is a regular expression, escaped tabs stay."""
     own = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.trim("value").alias("v")).where("v <> ''")

@@ -34,35 +34,41 @@ def within(inner: DataFrame, outer: DataFrame, prefix: str = "outer_", how: str
     return inner.join(out, on, how).drop("_doc", "_slot")
 
 
-def covering(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Pairs of spans and the tokens within or around them: (doc_id, begin, end) of the span, t_ columns of the token."""
-    s = spans.select("doc_id", "begin", "end").distinct()
-    around = within(s, tokens, "t_")
-    inside = within(tokens, s, "s_", strict=True)
-    inside = inside.select("doc_id", F.col("s_begin").alias("begin"), F.col("s_end").alias("end"), *(F.col(c).alias("t_" + c) for c in tokens.columns if c != "doc_id"))
-    return around.unionByName(inside)
+#: Characters of a slot of met(): few, as a span meets all tokens of its slots.
+NEAR = 64
 
 
-def neighbours(spans: DataFrame, tokens: DataFrame, gap: int = 10) -> DataFrame:
-    """(doc_id, begin, end, before, after): the nearest token that ends at or before the span, and that begins at or after, fewer than gap characters away.
+def met(spans: DataFrame, tokens: DataFrame, gap: int, covering: bool) -> DataFrame:
+    """(doc_id, begin, end) of each distinct span with the tokens (tb, te, tok, pos) that end or begin fewer than gap characters beside it (_before, _after) and, if covering, those within or around it (_own).
 
-    Only tokens of the slots within the gap are looked at, met by equality of document and slot: no product, and no
-    sorting of tokens. Of tokens equally near, before is the one that begins last. A span with a null doc_id has no neighbours.
+    One join by equality of document and slot, for which a token is there once, or once for each slot it reaches over: no
+    product, and no sorting of tokens. A pair may come twice; a span without tokens comes once, with nulls.
     """
     s = spans.select("doc_id", "begin", "end").distinct()
-    width = max(gap, 16)
+    b, e, tb, te = (F.col(c) for c in ("begin", "end", "tb", "te"))
+    lo = F.greatest(b - (gap - 1), F.lit(0))
+    probes = s.withColumn("_slot", F.explode(F.sequence(slot(lo, NEAR), slot(F.greatest(e + (gap - 1), b, lo), NEAR))))
+    pos = F.col("pos") if "pos" in tokens.columns and covering else F.lit(None).cast("string")
+    t = tokens.select(F.col("doc_id").alias("_doc"), b.alias("tb"), e.alias("te"), F.col("text").alias("tok"), pos.alias("pos"))
+    t = t.withColumn("_at", F.explode(F.sequence(slot(tb, NEAR), slot(F.greatest(tb, te), NEAR))))
+    before, after = (te <= b) & (b - te < gap), (tb >= e) & (tb - e < gap)
+    own = contains(tb, te, b, e) | contains(b, e, tb, te) if covering else F.lit(False)
+    near = before | after | own if covering else before | after
+    both = probes.join(t, (F.col("doc_id") == F.col("_doc")) & (F.col("_slot") == F.col("_at")) & near, "left")
+    return both.withColumns({"_before": before, "_after": after, "_own": own})
+
+
+def _sides() -> tuple[Column, Column]:
+    before = F.max(F.when(F.col("_before"), F.struct("te", "tb", "tok")))["tok"]
+    return before.alias("before"), F.min(F.when(F.col("_after"), F.struct("tb", "te", "tok")))["tok"].alias("after")
 
-    def probe(kind: int, lo: Column, hi: Column) -> Column:
-        return F.transform(F.sequence(slot(lo, width), slot(hi, width)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("slot")))
 
-    probes = s.select("doc_id", "begin", "end", F.explode(F.concat(probe(0, F.greatest(F.col("begin") - (gap - 1), F.lit(0)), F.col("begin")), probe(1, F.col("end"), F.col("end") + (gap - 1)))).alias("_p"))
-    places = F.array(F.struct(F.lit(0).alias("kind"), slot(F.col("end"), width).alias("slot")), F.struct(F.lit(1).alias("kind"), slot(F.col("begin"), width).alias("slot")))
-    t = tokens.select(F.col("doc_id").alias("_doc"), F.col("begin").alias("tb"), F.col("end").alias("te"), F.col("text").alias("tok"), F.explode(places).alias("_t"))
-    near = F.when(F.col("_p.kind") == 0, (F.col("te") <= F.col("begin")) & (F.col("begin") - F.col("te") < gap)).otherwise((F.col("tb") >= F.col("end")) & (F.col("tb") - F.col("end") < gap))
-    both = probes.join(t, (F.col("doc_id") == F.col("_doc")) & (F.col("_p.kind") == F.col("_t.kind")) & (F.col("_p.slot") == F.col("_t.slot")) & near, "left")
-    before = F.max(F.when(F.col("_t.kind") == 0, F.struct("te", "tb", "tok")))["tok"]
-    after = F.min(F.when(F.col("_t.kind") == 1, F.struct("tb", "te", "tok")))["tok"]
-    return both.groupBy("doc_id", "begin", "end").agg(before.alias("before"), after.alias("after"))
+def neighbours(spans: DataFrame, tokens: DataFrame, gap: int = 10) -> DataFrame:
+    """(doc_id, begin, end, before, after): the nearest token that ends at or before the span, and that begins at or after, fewer than gap characters away.
+
+    Of tokens equally near, before is the one that begins last. A span with a null doc_id has no neighbours.
+    """
+    return met(spans, tokens, gap, False).groupBy("doc_id", "begin", "end").agg(*_sides())
 
 
 def surroundings(spans: DataFrame, tokens: DataFrame, gap: int = 10) -> DataFrame:
@@ -71,14 +77,13 @@ def surroundings(spans: DataFrame, tokens: DataFrame, gap: int = 10) -> DataFram
     prefix is the first token within or around the span if it begins no later, suffix the last if it ends no earlier; a
     single token is both if it covers the span. pos is that of the prefix, if tokens have one.
     """
-    pos = F.col("t_pos") if "pos" in tokens.columns else F.lit(None).cast("string")
-    own = covering(tokens, spans).groupBy("doc_id", "begin", "end").agg(F.sort_array(F.collect_set(F.struct(F.col("t_begin").alias("b"), F.col("t_end").alias("e"), F.col("t_text").alias("text"), pos.alias("pos")))).alias("t"))
-    first, last, one = F.element_at("t", 1), F.element_at("t", -1), F.size("t") == 1
+    within = F.collect_set(F.when(F.col("_own"), F.struct(F.col("tb").alias("b"), F.col("te").alias("e"), F.col("tok").alias("text"), "pos")))
+    both = met(spans, tokens, gap, True).groupBy("doc_id", "begin", "end").agg(*_sides(), F.sort_array(within).alias("t"))
+    first, last, one = F.try_element_at("t", F.lit(1)), F.try_element_at("t", F.lit(-1)), F.size("t") == 1
     b, e = F.col("begin"), F.col("end")
     prefix = F.when(F.when(one, (first.b <= b) & (first.e >= e)).otherwise(first.b <= b), first)
     suffix = F.when(F.when(one, (first.b <= b) & (first.e >= e)).otherwise(last.e >= e), last)
-    own = own.select("doc_id", "begin", "end", prefix.alias("p"), suffix.alias("s"))
-    both = neighbours(spans, tokens, gap).join(own, ["doc_id", "begin", "end"], "left")
+    both = both.select("doc_id", "begin", "end", "before", "after", prefix.alias("p"), suffix.alias("s"))
     head = F.substring(F.col("p.text"), F.lit(1), F.greatest(b - F.col("p.b"), F.lit(0)))
     tail = F.substring(F.col("s.text"), F.length("s.text") - F.greatest(F.col("s.e") - e, F.lit(0)) + 1, F.greatest(F.col("s.e") - e, F.lit(0)))
     return both.select("doc_id", "begin", "end", "before", head.alias("prefix"), tail.alias("suffix"), "after", F.col("p.pos").alias("pos"))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import kept
+
 POS = ("NN", "JJ", "NNP", "NNS", "DT", "NULL")
 CUTOFFS = {"before": 1.2, "after": 1.2, "prefix": 1.1, "suffix": 1.1, "token": 1.2}
 
 
 def field_counts(judged: DataFrame, fields: tuple[str, ...] = tuple(CUTOFFS)) -> DataFrame:
-    """(field, value, hits, misses) of the values of each field; judged has a boolean hit."""
+    """(field, value, hits, misses) of the values of each field; judged has a boolean hit, and may have n, how often there is such a row."""
     stack = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields)))
-    return judged.select("hit", stack.alias("x")).where("x.value is not null").groupBy("x.field", "x.value").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    n = F.col("n") if "n" in judged.columns else F.lit(1)
+    sums = (F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(name) for hit, name in ((F.col("hit"), "hits"), (~F.col("hit"), "misses")))
+    return judged.select("hit", n.cast("long").alias("n"), stack.alias("x")).where("x.value is not null").groupBy("x.field", "x.value").agg(*sums)
 
 
 def over_cutoff(cutoff: Column) -> Column:
@@ -21,12 +25,17 @@ def over_cutoff(cutoff: Column) -> Column:
 
 
 def learn_filters(judged: DataFrame) -> DataFrame:
-    """(field, value) to be filtered. Misses that a context field filters already no longer count against tokens."""
+    """(field, value) to be filtered. Misses that a context field filters already no longer count against tokens.
+
+    Equal rows are one with their number, and all is learnt from that table, which is computed once.
+    """
     cut = F.element_at(F.create_map(*(F.lit(x) for kv in CUTOFFS.items() for x in kv)), F.col("field"))
-    context = field_counts(judged, ("before", "after", "prefix", "suffix")).where(over_cutoff(cut)).select("field", "value")
-    filtered = apply_filters(judged, context, ("before", "after", "prefix", "suffix"), invert=True)
-    counts = field_counts(judged, ("token",)).join(filtered.where(~F.col("hit")).groupBy(F.col("token").alias("value")).agg(F.count("*").alias("less")), "value", "left")
-    tokens = counts.withColumn("misses", F.greatest(F.col("misses") - F.coalesce("less", F.lit(0)), F.lit(0))).where(over_cutoff(F.lit(CUTOFFS["token"]))).select("field", "value")
+    own = kept(judged.groupBy("hit", *CUTOFFS).agg(F.count("*").alias("n")))
+    counts = kept(field_counts(own))
+    context = counts.where((F.col("field") != "token") & over_cutoff(cut)).select("field", "value")
+    filtered = apply_filters(own, context, ("before", "after", "prefix", "suffix"), invert=True)
+    less = filtered.where(~F.col("hit")).groupBy(F.col("token").alias("value")).agg(F.sum("n").alias("less"))
+    tokens = counts.where("field = 'token'").join(less, "value", "left").withColumn("misses", F.greatest(F.col("misses") - F.coalesce("less", F.lit(0)), F.lit(0))).where(over_cutoff(F.lit(CUTOFFS["token"]))).select("field", "value")
     return context.union(tokens)
 
 
